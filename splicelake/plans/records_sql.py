@@ -129,7 +129,7 @@ def _islands(src: str, tbl: str, entity: str, keys: str, step: int) -> str:
 SELECT '{tbl}' AS tbl, {entity} AS entity, kind, p_start, p_end FROM (
   WITH v AS ({src}),
   a AS (SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM v),
-  b AS (SELECT *, sum(CASE WHEN prev IS NULL OR s - {step} > prev THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM a),
+  b AS (SELECT *, sum(CASE WHEN prev IS NULL OR s - {step} > prev THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY s, e) AS isl FROM a),
   p AS (SELECT {keys}, isl, min(s) AS p_start, max(e) AS p_end FROM b GROUP BY {keys}, isl),
   g AS (SELECT *, lag(p_end) OVER (PARTITION BY {keys} ORDER BY isl) AS before FROM p)
   SELECT {keys}, 'period' AS kind, p_start, p_end FROM p
