@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -146,3 +147,42 @@ def pivot_ancestor(triples: DataFrame, ancestor: str, leaves: Sequence[str] = ()
     aggs = [F.first(F.when(path == p, val), ignorenulls=True).alias(x) for p, x in leaf.items()]
     aggs += [F.count(F.when(path == p, 1)).alias(f"n_{x}") for p, x in child.items()]
     return part.groupBy("__id", "ords").agg(F.first(F.when(path == ancestor, val), ignorenulls=True).alias("value"), *aggs)
+
+
+@dataclass(frozen=True)
+class Ancestor:
+    """One table to pivot: name, the repeated ancestor (a path that ends in ``[]``), a leaf
+    to take (None: the element itself) or a child array to count."""
+
+    name: str
+    path: str
+    leaf: str | None = None
+    count: str | None = None
+
+
+def pivot_all(triples: DataFrame, tables: Sequence[Ancestor]) -> DataFrame:
+    """Several tables pivoted in one pass over the triples.
+
+    Rows (__id, name, path, ords, value, n): ords are the positions down to the
+    element, value the leaf (or scalar) as text, n the number of counted children.
+    A triple joins each table of which its path is the ancestor, leaf or child; the
+    grouping key is (record, table, ancestor, ordinals), so one shuffle serves all.
+    """
+    roles: dict[str, list[tuple[str, str, int, int]]] = {}
+    for t in tables:
+        depth = t.path.count("[]")
+        roles.setdefault(t.path, []).append((t.name, t.path, depth, 1 if t.leaf is None and t.count is None else 0))
+        if t.leaf:
+            roles.setdefault(f"{t.path}.{t.leaf}", []).append((t.name, t.path, depth, 1))
+        if t.count:
+            roles.setdefault(f"{t.path}.{t.count}[]", []).append((t.name, t.path, depth, 2))
+    role = F.lit(None)
+    for path, rs in roles.items():
+        made = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("path"), F.lit(d).alias("depth"), F.lit(k).alias("kind")) for n, p, d, k in rs])
+        role = F.when(F.col("__path") == path, made).otherwise(role)
+    x = triples.select("__id", "__ords", "__val", F.explode(role).alias("r"))
+    x = x.select("__id", "r.name", "r.path", "r.kind", F.slice("__ords", F.lit(1), F.col("r.depth")).alias("ords"), "__val")
+    return x.groupBy("__id", "name", "path", "ords").agg(
+        F.first(F.when(F.col("kind") == 1, F.col("__val")), ignorenulls=True).alias("value"),
+        F.count(F.when(F.col("kind") == 2, 1)).alias("n"),
+    )

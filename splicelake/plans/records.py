@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from splicelake.operators.islands import periods_and_gaps
 from splicelake.operators.logs import log_entries
-from splicelake.operators.nested import path_triples, pivot_ancestor
+from splicelake.operators.nested import Ancestor, path_triples, pivot_all
 from splicelake.operators.packed import INTEGERS, NAMES, SPANS, split_packed
 from splicelake.operators.rejects import Layout, judge_lines
 from splicelake.operators.skew import per_key_report
@@ -97,33 +97,24 @@ def _long(c: str):
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    t = _triples(spark, d)
-    none = F.lit(-1)
-
-    def rows(child: str, ancestor: str, leaf: str | None = None, count: str | None = None) -> DataFrame:
-        depth = ancestor.count("[]")
-        in_graph = ancestor.startswith("graphs[]")
-        p = pivot_ancestor(t, ancestor, [leaf] if leaf else [], [count] if count else [])
-        at = lambda k: F.element_at("ords", k)
-        nested = child == "transfrag_node"
-        val = F.col(f"n_{count}") if count else _long(leaf or "value")
-        return p.select(
-            F.col("__id").alias("snap_id"),
-            F.lit(child).alias("child"),
-            (at(1) if in_graph else none).alias("graph_pos"),
-            (at(depth - 1) if nested else none).alias("parent_pos"),
-            at(depth).alias("pos"),
-            val.cast("long").alias("val"),
-        )
-
-    parts = [rows("junction", "junctions[]", leaf="donor")]
+    tables = [Ancestor("junction", "junctions[]", leaf="donor")]
     for top in ("", "graphs[]."):
-        parts += [
-            rows("node", f"{top}nodes[]", leaf="id"),
-            rows("transfrag", f"{top}transfrags[]", count="node_ids"),
-            rows("transfrag_node", f"{top}transfrags[].node_ids[]"),
+        tables += [
+            Ancestor("node", f"{top}nodes[]", leaf="id"),
+            Ancestor("transfrag", f"{top}transfrags[]", count="node_ids"),
+            Ancestor("transfrag_node", f"{top}transfrags[].node_ids[]"),
         ]
-    return reduce(DataFrame.unionByName, parts)
+    p = pivot_all(_triples(spark, d), tables)
+    none, at = F.lit(-1), lambda k: F.element_at("ords", k)
+    nested = F.col("name") == "transfrag_node"
+    return p.select(
+        F.col("__id").alias("snap_id"),
+        F.col("name").alias("child"),
+        F.when(F.col("path").startswith("graphs[]"), at(1)).otherwise(none).alias("graph_pos"),
+        F.when(nested, at(-2)).otherwise(none).alias("parent_pos"),
+        at(-1).alias("pos"),
+        F.when(F.col("name") == "transfrag", F.col("n")).otherwise(_long("value")).alias("val"),
+    )
 
 
 def _judged(spark: SparkSession, d: str) -> list[DataFrame]:
