@@ -1,7 +1,7 @@
 """Splice graphs and the flow on them.
 
 Construction, read mapping and edge capacities are relational. Order-dependent
-graph algorithms run once per graph inside ``applyInPandas``; what reaches a
+graph algorithms run once per graph in a fold over groups; what reaches a
 group are distinct nodes, edges or paths with added weights, never single reads,
 so its size follows the structure of a locus and not the depth of sequencing.
 """
@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections import defaultdict, deque
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from splicelake.functions import chains
+from splicelake.operators.folding import Rows, fold_groups, key_schema
 from splicelake.operators.islands import label_islands
 from splicelake.operators.ranges import overlap_join
 
@@ -311,75 +311,62 @@ def best_match(path: Sequence[int], kept: Sequence[Sequence[int]]) -> list[int]:
 # the same, per graph of a DataFrame ------------------------------------------
 
 
-def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
-    return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+def _edges(rows: Rows) -> list[tuple[int, int, float]]:
+    return [(r["u"], r["v"], r["capacity"]) for r in rows]
 
 
 def decompose(capacities: DataFrame, keys: Sequence[str], least: float = EPS, most: int = 10_000) -> DataFrame:
     """Greedy decomposition of every graph: keys, iter_idx, path, bottleneck, total_flow_after."""
-    keys = list(keys)
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        got = greedy_decomposition(list(zip(p["u"], p["v"], p["capacity"])), least=least, most=most)
-        out = pd.DataFrame(
-            {"iter_idx": range(1, len(got) + 1), "path": [g[0] for g in got], "bottleneck": [g[1] for g in got], "total_flow_after": [g[2] for g in got]}
-        )
-        for k in keys:
-            out[k] = p[k].iloc[0]
-        return out.astype({"iter_idx": "int32"})[[*keys, "iter_idx", "path", "bottleneck", "total_flow_after"]]
+    def run(rows: Rows):
+        own = [rows[0][k] for k in keys]
+        for i, (path, flow, total) in enumerate(greedy_decomposition(_edges(rows), least=least, most=most), 1):
+            yield (*own, i, path, flow, total)
 
-    return capacities.groupBy(*keys).applyInPandas(
-        run, f"{_key_schema(capacities, keys)}, iter_idx int, path array<bigint>, bottleneck double, total_flow_after double"
-    )
+    schema = f"{key_schema(capacities, keys)}, iter_idx int, path array<bigint>, bottleneck double, total_flow_after double"
+    return fold_groups(capacities, keys, ["u", "v"], run, schema)
 
 
 def flow_values(capacities: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Maximum flow of every graph."""
-    keys = list(keys)
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        total, _ = max_flow(list(zip(p["u"], p["v"], p["capacity"])))
-        return pd.DataFrame([[*[p[k].iloc[0] for k in keys], total]], columns=[*keys, "max_flow"])
+    def run(rows: Rows):
+        yield (*[rows[0][k] for k in keys], max_flow(_edges(rows))[0])
+
+    return fold_groups(capacities, keys, ["u", "v"], run, f"{key_schema(capacities, keys)}, max_flow double")
 
-    return capacities.groupBy(*keys).applyInPandas(run, f"{_key_schema(capacities, keys)}, max_flow double")
+
+def longest_path(g: Graph) -> int:
+    """Most inner nodes on a path to the sink; -1 if the graph has a cycle."""
+    try:
+        order = topological(g)
+    except ValueError:
+        return -1
+    depth: dict[int, int] = {}
+    for u in order:
+        d = depth.setdefault(u, 0) + (u >= 0)
+        for v in g.get(u, {}):
+            depth[v] = max(depth.get(v, 0), d)
+    return depth.get(-2, 0)
 
 
 def graph_stats(capacities: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Nodes, edges, components without source and sink, longest path in nodes."""
-    keys = list(keys)
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        g = build(list(zip(p["u"], p["v"], p["capacity"])))
+    def run(rows: Rows):
+        g = build(_edges(rows))
         inner = (set(g) | {v for x in g.values() for v in x}) - {-1, -2}
-        try:
-            depth: dict[int, int] = {}
-            for u in topological(g):
-                d = depth.setdefault(u, 0) + (u >= 0)
-                for v in g.get(u, {}):
-                    depth[v] = max(depth.get(v, 0), d)
-            longest = depth.get(-2, 0)
-        except ValueError:
-            longest = -1
-        parts = undirected_components(g, (-1, -2))
-        row = [*[p[k].iloc[0] for k in keys], len(inner), len(p), len(parts), longest]
-        return pd.DataFrame([row], columns=[*keys, "n_nodes", "n_edges", "n_parts", "longest_path"]).astype(
-            {c: "int32" for c in ("n_nodes", "n_edges", "n_parts", "longest_path")}
-        )
+        yield (*[rows[0][k] for k in keys], len(inner), len(rows), len(undirected_components(g, (-1, -2))), longest_path(g))
 
-    return capacities.groupBy(*keys).applyInPandas(
-        run, f"{_key_schema(capacities, keys)}, n_nodes int, n_edges int, n_parts int, longest_path int"
-    )
+    schema = f"{key_schema(capacities, keys)}, n_nodes int, n_edges int, n_parts int, longest_path int"
+    return fold_groups(capacities, keys, ["u", "v"], run, schema)
 
 
 def absorb(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Contiguous sub-paths absorbed, per graph: keys, path, abundance."""
-    keys = list(keys)
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        got = absorb_subpaths([(tuple(int(y) for y in x), float(w)) for x, w in zip(p["path"], p["abundance"])])
-        out = pd.DataFrame({"path": [list(g[0]) for g in got], "abundance": [g[1] for g in got]})
-        for k in keys:
-            out[k] = p[k].iloc[0]
-        return out[[*keys, "path", "abundance"]]
+    def run(rows: Rows):
+        for nodes, w in absorb_subpaths([(tuple(r["path"]), r["abundance"]) for r in rows]):
+            yield (*[rows[0][k] for k in keys], list(nodes), w)
 
-    return paths.groupBy(*keys).applyInPandas(run, f"{_key_schema(paths, keys)}, path array<bigint>, abundance double")
+    return fold_groups(paths, keys, ["path"], run, f"{key_schema(paths, keys)}, path array<bigint>, abundance double")

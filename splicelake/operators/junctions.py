@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splicelake.functions import chains
+from splicelake.operators.folding import fold_groups, key_schema
+from splicelake.operators.islands import label_islands
 from splicelake.operators.ranges import nearest_join, overlap_semi, tolerance_join
+from splicelake.session import cut
 
 JKEY = ("chrom", "strand", "donor", "acceptor")
 LONG_INTRON, NEAR = 100_000, 25
@@ -186,8 +188,6 @@ def redirect_to_stronger(stats: DataFrame, window: int = NEAR, share: float = 0.
 
 def resolve_redirects(pointers: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 32) -> DataFrame:
     """Pointers followed to their end by doubling. A cycle ends at its smallest member."""
-    from splicelake.session import cut
-
     cur = cut(pointers.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL"))
     for _ in range(rounds):
         hop = cur.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
@@ -226,8 +226,6 @@ def coalesce_junctions(stats: DataFrame, tolerance: int = 10, share: float = 0.4
     Order matters inside a cluster only. Rows are first cut into chains of donors
     closer than the tolerance, so a fold sees one chain; it holds distinct junctions.
     """
-    from splicelake.operators.islands import label_islands
-
     by = ["chrom", "strand"]
     lab = label_islands(stats, by, "donor", "donor", slack=tolerance).select(
         *[F.col(k).alias(f"__{k}") for k in by], F.col("__s").alias("__d"), "__island"
@@ -235,34 +233,35 @@ def coalesce_junctions(stats: DataFrame, tolerance: int = 10, share: float = 0.4
     x = stats.join(lab, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by] + [F.col("donor") == F.col("__d")]).drop(
         "__d", *[f"__{k}" for k in by]
     )
-    sums = ["mrcount", "nreads_good", "leftsupport", "rightsupport", "nm", "mm"]
+    cols = [f.name for f in stats.schema]
+    sums = ("mrcount", "nreads_good", "leftsupport", "rightsupport", "nm", "mm")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["donor", "acceptor"]).to_dict("records")
-        out, free = [], list(range(len(rows)))
+    def best_first(r: dict) -> tuple:
+        return (not r.get("guide_match"), not r.get("consensus"), -r["mrcount"], r["donor"], r["acceptor"])
+
+    def fold(rows: list[dict]):
+        free = rows
         while free:
-            seed = rows[free[0]]
-            near = [
-                k for k in free
-                if abs(rows[k]["donor"] - seed["donor"]) <= tolerance and abs(rows[k]["acceptor"] - seed["acceptor"]) <= tolerance
-            ]
-            top = max(rows[k]["mrcount"] for k in near)
-            strongest = next(k for k in near if rows[k]["mrcount"] == top)
-            group = [k for k in near if k == strongest or k == free[0] or rows[k]["mrcount"] <= share * top]
-            if strongest != free[0] and seed["mrcount"] > share * top:
-                group = [free[0]]
-            rep = min(group, key=lambda k: (not rows[k].get("guide_match", False), not rows[k].get("consensus", False), -rows[k]["mrcount"], rows[k]["donor"], rows[k]["acceptor"]))
-            new = dict(rows[rep])
+            seed = free[0]
+            near = [r for r in free if r["donor"] - seed["donor"] <= tolerance and abs(r["acceptor"] - seed["acceptor"]) <= tolerance]
+            top = max(r["mrcount"] for r in near)
+            if seed["mrcount"] < top and seed["mrcount"] > share * top:
+                group = [seed]
+            else:
+                first = next(r for r in near if r["mrcount"] == top)
+                group = [r for r in near if r is first or r is seed or r["mrcount"] <= share * top]
+            new = dict(min(group, key=best_first))
             for c in sums:
-                new[c] = sum(rows[k][c] for k in group)
-            new["n_merged"] = len(group)
-            out.append(new)
-            free = [k for k in free if k not in set(group)]
-        return pd.DataFrame(out).drop(columns="__island")
+                new[c] = sum(r[c] for r in group)
+            yield (*[new[c] for c in cols], len(group))
+            free = [r for r in free if all(r is not g for g in group)]
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema) + ", n_merged int"
-    cols = [f.name for f in stats.schema] + ["n_merged"]
-    return x.groupBy(*by, "__island").applyInPandas(lambda p: fold(p)[cols].astype({"n_merged": "int32"}), schema)
+    schema = f"{key_schema(stats, cols)}, n_merged int"
+    # a chain of one row has nothing to fold and never leaves the JVM
+    n = x.groupBy(*by, "__island").agg(F.count(F.lit(1)).alias("__n"))
+    x = x.join(n, [*by, "__island"])
+    alone = x.where("__n = 1").select(*cols, F.lit(1).alias("n_merged"))
+    return alone.unionByName(fold_groups(x.where("__n > 1"), [*by, "__island"], ["donor", "acceptor"], fold, schema))
 
 
 def usage(transcripts: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -306,8 +305,6 @@ def intron_pairs(reads: DataFrame) -> DataFrame:
 def endpoint_map(points: DataFrame, keys: Sequence[str], radius: int = 10) -> DataFrame:
     """Every position with its representative: the heaviest position (ties: the
     smallest) of the chain of positions closer than ``radius``."""
-    from splicelake.operators.islands import label_islands
-
     keys = list(keys)
     w = points.groupBy(*keys, "pos").agg(F.sum("weight").alias("__w"))
     lab = label_islands(w, keys, "pos", "pos", slack=radius).select(

@@ -15,6 +15,7 @@ from splicelake.functions import chains
 from splicelake.operators.components import connected_components
 from splicelake.operators.islands import label_islands
 from splicelake.operators.ranges import overlap_join
+from splicelake.session import cut
 
 PLACE = ("chrom", "strand")
 
@@ -335,8 +336,8 @@ def gene_ids(tx: DataFrame) -> DataFrame:
         *[F.col(k).alias(f"__{k}") for k in PLACE], F.col("__s").alias("__st"), "__island"
     )
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in PLACE] + [F.col("start") == F.col("__st")]
-    x = ex.join(lab, on).select("tx_id", *PLACE, "__island").distinct()
-    # a negative id for islands keeps both kinds of vertices apart
+    x = cut(ex.join(lab, on).select("tx_id", *PLACE, "__island").distinct())
+    # an island is stood for by its first transcript, so all vertices are transcripts
     first = x.groupBy(*PLACE, "__island").agg(F.min("tx_id").alias("__first"))
     links = x.join(first, [*PLACE, "__island"]).select(F.col("tx_id").alias("src"), F.col("__first").alias("dst"))
     comp = connected_components(links, vertices=x.select(F.col("tx_id").alias("node")))
@@ -360,11 +361,11 @@ def structural_merge(inputs: Sequence[DataFrame], min_length: int = 200, toleran
     for x in inputs[1:]:
         u = u.unionByName(x)
     u = u.withColumn("coverage", F.lit(1.0))
-    u = chain_dedup(exact_dedup(u))
+    u = cut(chain_dedup(cut(exact_dedup(u))))
     p = near_chain_pairs(u, tolerance)
     span = lambda a: F.col(f"{a}end") - F.col(f"{a}start")
     lost = p.select(F.when(span("") >= span("r_"), F.col("r_tx_id")).otherwise(F.col("tx_id")).alias("tx_id")).distinct()
-    return length_filters(contained_merge(u.join(lost, "tx_id", "left_anti")), min_length=min_length)
+    return length_filters(contained_merge(cut(u.join(lost, "tx_id", "left_anti"))), min_length=min_length)
 
 
 def rank_in_locus(tx: DataFrame, n: int) -> DataFrame:

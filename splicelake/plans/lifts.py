@@ -43,10 +43,10 @@ def chain_transcripts(r: DataFrame) -> DataFrame:
 
 
 def halves(r: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reads of runs with even and with odd number: two samples to compare."""
-    odd = F.pmod(F.regexp_extract("run_id", "([0-9]+)$", 1).cast("int"), F.lit(2)) == 1
-    x = r.where("run_id IS NOT NULL")
-    return x.where(~odd), x.where(odd)
+    """Reads of cells 1 and 2 and of all other cells (named in the read): two samples to compare."""
+    x = r.where("read_name IS NOT NULL").withColumn("__cell", F.regexp_extract("read_name", "_s([0-9]+)/", 1))
+    first = F.col("__cell").isin("1", "2")
+    return x.where(first).drop("__cell"), x.where(~first).drop("__cell")
 
 
 def flow_paths(spark: SparkSession, d: str) -> DataFrame:

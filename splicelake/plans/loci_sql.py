@@ -13,9 +13,9 @@ r0 AS (SELECT row_id, run_id, chrom, coalesce(strand, 0) AS strand, read_name,
 reads AS (SELECT *, ex[1].s AS s, ex[len(ex)].e AS e, 1::BIGINT AS w FROM r0 WHERE len(ex) > 0
   AND len(list_filter(ex, lambda x: x.s >= x.e)) = 0
   AND len(list_filter(range(1, len(ex)), lambda i: ex[i].e > ex[i + 1].s)) = 0),
-exon AS (SELECT row_id, chrom, strand, u.i, u.x.s AS s, u.x.e AS e, len(ex) AS n, w, run_id
+exon AS (SELECT row_id, chrom, strand, u.i, u.x.s AS s, u.x.e AS e, len(ex) AS n, w, read_name
   FROM reads, LATERAL (SELECT unnest(ex) AS x, unnest(range(1, len(ex) + 1)) AS i) u),
-junc AS (SELECT row_id, run_id, chrom, strand, w, u.i, ex[u.i].e AS donor, ex[u.i + 1].s AS acceptor, ex
+junc AS (SELECT row_id, read_name, chrom, strand, w, u.i, ex[u.i].e AS donor, ex[u.i + 1].s AS acceptor, ex
   FROM reads, LATERAL (SELECT unnest(range(1, len(ex))) AS i) u)"""
 
 STATS = (
@@ -59,8 +59,8 @@ RAW = (
 raw AS (SELECT chrom, strand, ex, min(row_id) AS tx_id, sum(w)::BIGINT AS cov, ex[1].s AS s, ex[len(ex)].e AS e, len(ex) AS n
   FROM reads WHERE list_sum(list_transform(ex, lambda x: x.e - x.s)) >= 200 GROUP BY chrom, strand, ex)"""
 )
-_RUN = "regexp_extract(run_id, '([0-9]+)$', 1)::INT % 2"
-TWO = READS + "," + _tx("ta", "reads", f"{_RUN} = 0") + "," + _tx("tb", "reads", f"{_RUN} = 1")
+_RUN = "CASE WHEN read_name IS NULL THEN NULL WHEN regexp_extract(read_name, '_s([0-9]+)/', 1) IN ('1', '2') THEN 0 ELSE 1 END"
+TWO = READS + "," + _tx("ta", "reads", f"({_RUN}) = 0") + "," + _tx("tb", "reads", f"({_RUN}) = 1")
 REGION = (
     READS
     + """,
@@ -190,12 +190,12 @@ ORACLES = {
     "demoted_alternatives": w(STATS, f"SELECT x.chrom, x.strand, x.donor, x.acceptor, y.donor AS to_donor FROM stats x JOIN stats y ON {_SAME} AND x.acceptor = y.acceptor AND abs(x.donor - y.donor) <= 50 AND x.donor <> y.donor WHERE x.mrcount < y.mrcount * 0.5 QUALIFY row_number() OVER (PARTITION BY x.chrom, x.strand, x.donor, x.acceptor ORDER BY y.mrcount DESC, y.donor) = 1"),
     "intron_pairs": w(READS, "SELECT chrom, strand, ex[i].e AS d1, ex[i + 1].s AS a1, ex[i + 1].e AS d2, ex[i + 2].s AS a2, sum(w)::BIGINT AS n_reads FROM (SELECT chrom, strand, ex, w, unnest(range(1, len(ex) - 1)) AS i FROM reads) GROUP BY ALL"),
     "junction_usage": w(
-        STATS + "," + _tx("ta", "reads", f"{_RUN} = 0") + f", known AS (SELECT DISTINCT {_JK} FROM jx WHERE {_RUN} = 1), u AS (SELECT chrom, strand, tx_id, unnest(chain) AS j FROM ta)",
+        STATS + "," + _tx("ta", "reads", f"({_RUN}) = 0") + f", known AS (SELECT DISTINCT {_JK} FROM jx WHERE ({_RUN}) = 1), u AS (SELECT chrom, strand, tx_id, unnest(chain) AS j FROM ta)",
         "SELECT u.chrom, u.strand, j.d AS donor, j.a AS acceptor, count(DISTINCT tx_id) AS n_tx, NOT bool_or(k.donor IS NOT NULL) AS novel FROM u LEFT JOIN known k ON u.chrom = k.chrom AND u.strand = k.strand AND j.d = k.donor AND j.a = k.acceptor GROUP BY ALL",
     ),
     "dominated_novel": w(TX + ", u AS (SELECT chrom, strand, j.d AS donor, j.a AS acceptor, count(DISTINCT tx_id) AS n FROM (SELECT chrom, strand, tx_id, unnest(chain) AS j FROM tx) GROUP BY ALL)", f"SELECT {_JK} FROM u QUALIFY n <= 1 AND greatest(max(n) OVER (PARTITION BY chrom, strand, donor), max(n) OVER (PARTITION BY chrom, strand, acceptor)) >= 3"),
     "junction_set_compare": w(
-        READS + f", a AS (SELECT DISTINCT {_JK} FROM junc WHERE acceptor - donor >= 20 AND {_RUN} = 0), b AS (SELECT DISTINCT {_JK} FROM junc WHERE acceptor - donor >= 20 AND {_RUN} = 1), f AS (SELECT count(*) AS n FROM a JOIN b USING ({_JK}))",
+        READS + f", a AS (SELECT DISTINCT {_JK} FROM junc WHERE acceptor - donor >= 20 AND ({_RUN}) = 0), b AS (SELECT DISTINCT {_JK} FROM junc WHERE acceptor - donor >= 20 AND ({_RUN}) = 1), f AS (SELECT count(*) AS n FROM a JOIN b USING ({_JK}))",
         "SELECT n AS found, (SELECT count(*) FROM b) - n AS missing, (SELECT count(*) FROM a) - n AS extra, round(n / (SELECT count(*) FROM b), 6) AS sensitivity, round(n / (SELECT count(*) FROM a), 6) AS precision FROM f",
     ),
     "dup_collapse": w(READS, f"SELECT chrom, strand, {EXON_TEXT} AS exons, sum(w)::BIGINT AS weight, count(*) AS n_reads, min(row_id) AS row_id FROM reads GROUP BY chrom, strand, ex"),
@@ -221,7 +221,7 @@ ORACLES = {
         f"SELECT DISTINCT x.tx_id FROM x JOIN i y ON {_SAME} AND x.b.s < y.d AND x.b.e > y.a WHERE x.cov < 0.5 * y.c",
     ),
     "unwitnessed": w(
-        TWO + f", seen AS (SELECT DISTINCT chrom, strand, ex[i].e AS d1, ex[i + 1].s AS a1, ex[i + 1].e AS d2, ex[i + 2].s AS a2 FROM (SELECT chrom, strand, ex, unnest(range(1, len(ex) - 1)) AS i FROM reads WHERE {_RUN} = 1)), p AS (SELECT chrom, strand, tx_id, chain[i].d AS d1, chain[i].a AS a1, chain[i + 1].d AS d2, chain[i + 1].a AS a2 FROM (SELECT chrom, strand, tx_id, chain, unnest(range(1, len(chain))) AS i FROM ta))",
+        TWO + f", seen AS (SELECT DISTINCT chrom, strand, ex[i].e AS d1, ex[i + 1].s AS a1, ex[i + 1].e AS d2, ex[i + 2].s AS a2 FROM (SELECT chrom, strand, ex, unnest(range(1, len(ex) - 1)) AS i FROM reads WHERE ({_RUN}) = 1)), p AS (SELECT chrom, strand, tx_id, chain[i].d AS d1, chain[i].a AS a1, chain[i + 1].d AS d2, chain[i + 1].a AS a2 FROM (SELECT chrom, strand, tx_id, chain, unnest(range(1, len(chain))) AS i FROM ta))",
         "SELECT DISTINCT tx_id FROM p ANTI JOIN seen USING (chrom, strand, d1, a1, d2, a2)",
     ),
     "supported_introns": w(STATS + "," + _tx("tx", "reads"), "SELECT tx_id FROM tx WHERE tx_id NOT IN (SELECT tx_id FROM (SELECT tx_id, chrom, strand, j.d AS donor, j.a AS acceptor FROM (SELECT tx_id, chrom, strand, unnest(chain) AS j FROM tx)) ANTI JOIN (SELECT * FROM stats WHERE nreads_good >= 2) USING (chrom, strand, donor, acceptor))"),
@@ -236,7 +236,7 @@ ORACLES = {
     "reference_subset": w(TWO, f"SELECT tx_id FROM ta x WHERE EXISTS (SELECT 1 FROM tb y WHERE {_SAME} AND {_PART}) AND tx_id NOT IN (SELECT tx_id FROM ({_EXACT}))"),
     "zero_novel_not_exact": w(TWO, f"SELECT tx_id FROM ta WHERE tx_id NOT IN (SELECT tx_id FROM (SELECT tx_id, chrom, strand, unnest(chain) AS j FROM ta) ANTI JOIN (SELECT chrom, strand, unnest(chain) AS j FROM tb) USING (chrom, strand, j)) AND tx_id NOT IN (SELECT tx_id FROM ({_EXACT}))"),
     "recovered_guides": w(
-        READS + "".join(f", r{k} AS (SELECT chrom, strand, ex, min(row_id) AS tx_id, sum(w)::DOUBLE AS cov FROM reads WHERE {_RUN} = {k} AND list_sum(list_transform(ex, lambda x: x.e - x.s)) >= 200 GROUP BY chrom, strand, ex)" for k in (0, 1)),
+        READS + "".join(f", r{k} AS (SELECT chrom, strand, ex, min(row_id) AS tx_id, sum(w)::DOUBLE AS cov FROM reads WHERE ({_RUN}) = {k} AND list_sum(list_transform(ex, lambda x: x.e - x.s)) >= 200 GROUP BY chrom, strand, ex)" for k in (0, 1)),
         "SELECT tx_id, cov AS coverage FROM r0 UNION ALL SELECT tx_id, cov FROM r1 ANTI JOIN r0 USING (chrom, strand, ex)",
     ).replace("r0 AS (SELECT chrom, strand, ex,", "q0 AS (SELECT chrom, strand, ex,").replace("FROM r0 UNION ALL SELECT tx_id, cov FROM r1 ANTI JOIN r0", "FROM q0 UNION ALL SELECT tx_id, cov FROM r1 ANTI JOIN q0"),
     "loss_report": """SELECT fate, count(*) AS n FROM (SELECT l.locus_id, CASE WHEN m IS NULL THEN 'missed' WHEN m.c IN ('=', 'j') THEN 'matched' ELSE 'partial_' || m.c END AS fate
