@@ -17,6 +17,7 @@ import hashlib
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,33 +51,25 @@ def _ignorable(o: int) -> bool:
 class Table(dict):
     """A character map for str.translate that fills itself, once per distinct character."""
 
-    def __init__(self, folded: bool) -> None:
-        self.folded = folded
-
     def __missing__(self, o: int) -> str:
+        c = chr(o)
         if o < 128:
-            to = chr(o).lower() if self.folded else chr(o)
+            to = c
         elif _ignorable(o):
             to = ""
+        elif unicodedata.category(c) == "Zs":
+            to = " "
         else:
-            c = chr(o)
-            if unicodedata.category(c) == "Zs":
-                to = " "
-            else:
-                tag = unicodedata.decomposition(c).partition(" ")[0]
-                keep = tag.startswith("<") and tag not in SAME_LOOK and not self.folded
-                x = c if keep else unicodedata.normalize("NFKC", c)
-                if self.folded:
-                    x = unicodedata.normalize("NFKC", x.casefold())
-                # accents apart, so that look-alike letters are found under them
-                to = "".join(_LATIN.get(ord(y), y) for y in unicodedata.normalize("NFD", x))
-                if self.folded:
-                    to = to.casefold()
+            tag = unicodedata.decomposition(c).partition(" ")[0]
+            other_look = tag.startswith("<") and tag not in SAME_LOOK
+            x = c if other_look else unicodedata.normalize("NFKC", c)
+            # accents apart, so that look-alike letters are found under them
+            to = "".join(_LATIN.get(ord(y), y) for y in unicodedata.normalize("NFD", x))
         self[o] = to
         return to
 
 
-_VISIBLE, _FOLDED = Table(False), Table(True)
+_VISIBLE = Table()
 
 
 def visible(text: str) -> str:
@@ -84,9 +77,16 @@ def visible(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_VISIBLE))
 
 
+def fold(seen: str) -> str:
+    """The folded form of a visible form."""
+    if seen.isascii():
+        return seen.lower()
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", seen).casefold())
+
+
 def folded(text: str) -> str:
     """The folded form: equal for all texts with equal visible form, and for more."""
-    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text.translate(_FOLDED))
+    return fold(visible(text))
 
 
 def _digest(s: str) -> bytes:
@@ -101,7 +101,7 @@ def _forms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if t is None:
                 continue
             v = visible(t)
-            seen[t] = (_digest(t), _digest(folded(t)), _digest(v)) if v.strip() else None
+            seen[t] = (_digest(t), _digest(fold(v)), _digest(v)) if v.strip() else None
         keep = [i for i, t in enumerate(texts) if t is not None and seen[t] is not None]
         rows = [seen[texts[i]] for i in keep]
         yield pa.RecordBatch.from_arrays(
@@ -118,14 +118,13 @@ def form_keys(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
     )
 
 
-def consistent_text(df: DataFrame, text: str = "text", into: str = "text_norm", fold: bool = False) -> DataFrame:
+def consistent_text(df: DataFrame, text: str = "text", into: str = "text_norm", case_fold: bool = False) -> DataFrame:
     """``df`` with the visible (or folded) form of ``text`` in a further column; null stays null.
 
     Worked out once per distinct value of a batch."""
     if into in df.columns:
         raise ValueError(f"column {into} exists")
-    form = folded if fold else visible
-    import pandas as pd
+    form = folded if case_fold else visible
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
