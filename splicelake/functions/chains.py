@@ -20,7 +20,7 @@ def packed_exons(text: Column) -> Column:
 
     def one(x: Column) -> Column:
         part = F.split(x, "-")
-        return F.struct((part[0].cast("long") - 1).alias("start"), part[1].cast("long").alias("end"))
+        return F.struct((part[0].try_cast("long") - 1).alias("start"), part[1].try_cast("long").alias("end"))
 
     return F.transform(blocks, one)
 
@@ -125,7 +125,7 @@ def align_lengths(a: Column, b: Column, gap: float = 500.0, per_base: float = 0.
             best = F.greatest(
                 F.get(prev, j) - diff * F.lit(per_base),
                 F.get(prev, j + 1) - F.lit(gap),
-                F.element_at(acc, -1) - F.lit(gap),
+                F.try_element_at(acc, F.lit(-1)) - F.lit(gap),
             )
             return F.concat(acc, F.array(best))
 
@@ -142,7 +142,7 @@ def merge_gaps(exons: Column, gap: int = 0) -> Column:
     empty = F.array().cast(EXONS)
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
         return F.when(
             (F.size(acc) > 0) & (x["start"] - F.get(acc, F.size(acc) - 1)["end"] <= gap),
@@ -188,7 +188,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def shorten_terminal(exons: Column, n: int, last: bool) -> Column:
     """Trim up to ``n`` bases from the last (or first) exon, keeping at least one."""
     k = F.size(exons)
-    e = F.element_at(exons, -1) if last else exons[0]
+    e = F.try_element_at(exons, F.lit(-1)) if last else F.get(exons, F.lit(0))
     cut = F.least(F.lit(n).cast("long"), e["end"] - e["start"] - 1)
     new = F.struct(
         (e["start"] + (0 if last else cut)).alias("start") if not last else e["start"].alias("start"),

@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,28 +108,30 @@ def shred(record: str | None, arrays: frozenset[str], wanted: frozenset[str] | N
 
 
 _SHRED_SCHEMA = "__id long, __path string, __ords array<int>, __val string"
+_SHRED_ARROW = pa.schema([("__id", pa.int64()), ("__path", pa.string()), ("__ords", pa.list_(pa.int32())), ("__val", pa.string())])
 
 
 def path_triples(df: DataFrame, ident: str, record: str, arrays: Iterable[str], wanted: Iterable[str] | None = None) -> DataFrame:
     """Triples (__id, __path, __ords, __val) of all records."""
     arr, want = frozenset(arrays), None if wanted is None else frozenset(wanted)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, paths, ords, vals = [], [], [], []
-            for i, r in zip(b["__id"], b["__rec"]):
-                for p, o, v in shred(r, arr, want):
-                    ids.append(i)
-                    paths.append(p)
-                    ords.append(o)
-                    vals.append(v)
-                if len(ids) > 50_000:
-                    yield pd.DataFrame({"__id": ids, "__path": paths, "__ords": ords, "__val": vals})
-                    ids, paths, ords, vals = [], [], [], []
-            yield pd.DataFrame({"__id": ids, "__path": paths, "__ords": ords, "__val": vals})
+            out: list[tuple] = []
+            for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                out += [(i, *t) for t in shred(r, arr, want)]
+                if len(out) > 50_000:
+                    yield _arrow(out)
+                    out = []
+            yield _arrow(out)
 
     base = df.select(F.col(ident).cast("long").alias("__id"), F.col(record).alias("__rec")).where(F.col("__rec").isNotNull())
-    return base.mapInPandas(run, _SHRED_SCHEMA)
+    return base.mapInArrow(run, _SHRED_SCHEMA)
+
+
+def _arrow(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SHRED_ARROW)], schema=_SHRED_ARROW)
 
 
 def pivot_ancestor(triples: DataFrame, ancestor: str, leaves: Sequence[str] = (), counts: Sequence[str] = ()) -> DataFrame:

@@ -77,7 +77,7 @@ def chain_dedup(tx: DataFrame, prefer: Column | None = None) -> DataFrame:
 
 def near_chain_pairs(tx: DataFrame, tolerance: int, bin_size: int = 1 << 14) -> DataFrame:
     """Pairs of multi-exon transcripts of one place whose chains agree within the tolerance (a before b)."""
-    x = with_structure(tx).where("n_exons > 1").withColumn("__d", F.col("chain")[0]["donor"])
+    x = with_structure(tx).where("n_exons > 1").withColumn("__d", F.get("chain", F.lit(0))["donor"])
     w = tolerance + 1
     left = x.select("tx_id", *PLACE, "chain", "n_exons", "start", "end", "coverage", F.floor(F.col("__d") / w).alias("__b"))
     right = x.withColumn("__b", F.explode(F.array(*[F.floor(F.col("__d") / w) + d for d in (-1, 0, 1)])))
@@ -145,7 +145,7 @@ def length_filters(tx: DataFrame, min_exon: int = 1, min_length: int = 200, term
     size = lambda x: x["end"] - x["start"]
     ok = F.forall(e, lambda x: size(x) >= min_exon) & (chains.exonic_length(e) >= min_length)
     if terminal:
-        ok = ok & ((F.size(e) == 1) | ((size(e[0]) >= terminal) & (size(F.element_at(e, -1)) >= terminal)))
+        ok = ok & ((F.size(e) == 1) | ((size(F.get(e, F.lit(0))) >= terminal) & (size(F.try_element_at(e, F.lit(-1))) >= terminal)))
     return tx.where(ok)
 
 

@@ -21,8 +21,8 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     Unmapped records keep null exons. Positions become 0-based half-open."""
     lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.length("value") > 0))
     p = F.split("value", "\t", 12)
-    x = lines.select(*[p[i].alias(n) for i, n in enumerate(SAM_FIELDS)], F.coalesce(F.get(p, F.lit(11)), F.lit("")).alias("tags"))
-    flag = F.col("flag").cast("int")
+    x = lines.select(*[F.get(p, F.lit(i)).alias(n) for i, n in enumerate(SAM_FIELDS)], F.coalesce(F.get(p, F.lit(11)), F.lit("")).alias("tags"))
+    flag = F.col("flag").try_cast("int")
     mapped = (flag.bitwiseAND(4) == 0) & (F.col("cigar") != "*")
     reverse = flag.bitwiseAND(16) != 0
     clip = S.clips(F.col("cigar"))
@@ -30,26 +30,26 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
         "read_name",
         flag.alias("flag"),
         F.when(F.col("chrom") != "*", F.col("chrom")).alias("chrom"),
-        (F.col("pos").cast("long") - 1).alias("start"),
-        F.col("mapq").cast("int").alias("mapq"),
+        (F.col("pos").try_cast("long") - 1).alias("start"),
+        F.col("mapq").try_cast("int").alias("mapq"),
         "cigar",
         "seq",
         mapped.alias("is_mapped"),
         (flag.bitwiseAND(0x900) == 0).alias("is_primary"),
         reverse.alias("reverse"),
-        F.when(mapped, S.exons_of_cigar(F.col("pos").cast("long") - 1, F.col("cigar"))).alias("exons"),
-        F.coalesce(_tag(F.col("tags"), "NH").cast("int"), F.lit(1)).alias("nh"),
-        F.coalesce(_tag(F.col("tags"), "HI").cast("int"), F.lit(0)).alias("hi"),
-        _tag(F.col("tags"), "NM").cast("long").alias("nm_tag"),
-        _tag(F.col("tags"), "nM").cast("long").alias("n_m_tag"),
-        F.coalesce(_tag(F.col("tags"), "YC").cast("double"), F.lit(1.0)).alias("yc"),
-        F.coalesce(_tag(F.col("tags"), "YK").cast("double"), F.lit(0.0)).alias("yk"),
+        F.when(mapped, S.exons_of_cigar(F.col("pos").try_cast("long") - 1, F.col("cigar"))).alias("exons"),
+        F.coalesce(_tag(F.col("tags"), "NH").try_cast("int"), F.lit(1)).alias("nh"),
+        F.coalesce(_tag(F.col("tags"), "HI").try_cast("int"), F.lit(0)).alias("hi"),
+        _tag(F.col("tags"), "NM").try_cast("long").alias("nm_tag"),
+        _tag(F.col("tags"), "nM").try_cast("long").alias("n_m_tag"),
+        F.coalesce(_tag(F.col("tags"), "YC").try_cast("double"), F.lit(1.0)).alias("yc"),
+        F.coalesce(_tag(F.col("tags"), "YK").try_cast("double"), F.lit(0.0)).alias("yk"),
         _tag(F.col("tags"), "ts").alias("ts"),
-        _tag(F.col("tags"), "HP").cast("int").alias("hp"),
-        _tag(F.col("tags"), "AS").cast("long").alias("score"),
-        ((clip["left"] > 0).cast("int") + (clip["right"] > 0).cast("int")).alias("clipped_ends"),
+        _tag(F.col("tags"), "HP").try_cast("int").alias("hp"),
+        _tag(F.col("tags"), "AS").try_cast("long").alias("score"),
+        ((clip["left"] > 0).try_cast("int") + (clip["right"] > 0).try_cast("int")).alias("clipped_ends"),
     )
-    return x.withColumn("end", F.element_at("exons", -1)["end"]).withColumn(
+    return x.withColumn("end", F.try_element_at("exons", F.lit(-1))["end"]).withColumn(
         "strand", S.read_strand(F.col("ts"), F.col("reverse"))
     ).withColumn("weight", S.read_weight(F.col("yk"), F.col("yc"), F.col("nh"))).withColumn(
         "edits", S.edit_distance(F.col("nm_tag"), F.col("n_m_tag"), F.col("flag").bitwiseAND(1) != 0, F.col("clipped_ends"))
@@ -94,15 +94,15 @@ def tile(contigs: DataFrame, size: int = 5000, stride: int | None = None, overla
     """Contigs cut into tiles (name, start, seq), each ``overlap`` bases longer than its stride allows."""
     step = stride or size
     last = F.floor(F.greatest(F.length("seq") - 1, F.lit(0)) / step)
-    return contigs.select("name", "seq", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i")).select(
-        "name", (F.col("i") * step).alias("start"), F.substring("seq", (F.col("i") * step + 1).cast("int"), F.lit(size + overlap)).alias("seq")
+    return contigs.select("name", "seq", F.explode(F.sequence(F.lit(0).try_cast("long"), last)).alias("i")).select(
+        "name", (F.col("i") * step).alias("start"), F.substring("seq", (F.col("i") * step + 1).try_cast("int"), F.lit(size + overlap)).alias("seq")
     )
 
 
 def fetch(contigs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Half-open sub-sequences of ``ranges`` (chrom, start, end, ...), clamped to the contig."""
     c = contigs.select(F.col("name").alias("chrom"), F.col("seq").alias("__seq"))
-    sub = F.substring("__seq", (F.greatest("start", F.lit(0)) + 1).cast("int"), F.greatest(F.col("end") - F.greatest("start", F.lit(0)), F.lit(0)).cast("int"))
+    sub = F.substring("__seq", (F.greatest("start", F.lit(0)) + 1).try_cast("int"), F.greatest(F.col("end") - F.greatest("start", F.lit(0)), F.lit(0)).try_cast("int"))
     return ranges.join(c, "chrom").withColumn("seq", sub).drop("__seq")
 
 
@@ -140,10 +140,11 @@ def reference_junctions(transcripts: DataFrame) -> DataFrame:
 def read_tracking(spark: SparkSession, path: str) -> DataFrame:
     """Comparison tracking rows: query_id, xloc, ref_gene, ref_id, class_code."""
     p = F.split("value", "\t")
+    at = lambda k: F.get(p, F.lit(k))
     return spark.read.text(path).where(F.size(p) >= 4).select(
-        p[0].alias("query_id"), p[1].alias("xloc"),
-        F.when(p[2] != "-", F.split(p[2], r"\|")[0]).alias("ref_gene"),
-        F.when(p[2] != "-", F.get(F.split(p[2], r"\|"), F.lit(1))).alias("ref_id"), p[3].alias("class_code"),
+        at(0).alias("query_id"), at(1).alias("xloc"),
+        F.when(at(2) != "-", F.get(F.split(at(2), r"\|"), F.lit(0))).alias("ref_gene"),
+        F.when(at(2) != "-", F.get(F.split(at(2), r"\|"), F.lit(1))).alias("ref_id"), at(3).alias("class_code"),
     )
 
 
@@ -152,7 +153,7 @@ def read_bundle_log(spark: SparkSession, path: str) -> DataFrame:
     pat = r"^>bundle\s+(\S+):([0-9]+)-([0-9]+)"
     x = spark.read.text(path).where(F.col("value").rlike(pat))
     g = lambda k: F.regexp_extract("value", pat, k)
-    return x.select(g(1).alias("chrom"), g(2).cast("long").alias("start"), g(3).cast("long").alias("end"))
+    return x.select(g(1).alias("chrom"), g(2).try_cast("long").alias("start"), g(3).try_cast("long").alias("end"))
 
 
 def parse_chain(text: str) -> list[tuple[int, int]]:
