@@ -192,3 +192,126 @@ def shared_kmers(kmers: DataFrame, min_jaccard: float) -> DataFrame:
     n = both.groupBy("a", "b", "size", "sb").agg(F.count(F.lit(1)).alias("shared"))
     j = F.col("shared") / (F.col("size") + F.col("sb") - F.col("shared"))
     return n.withColumn("jaccard", j).where(F.col("jaccard") >= min_jaccard).select("a", "b", "shared", "jaccard")
+
+
+# structures of a family ---------------------------------------------------------------
+
+
+def gene_loci(tx: DataFrame, gap: int = 5000) -> DataFrame:
+    """V9: transcripts of a family chained into gene loci while the gap is at most ``gap``:
+    family, chrom, locus_start, locus_end, n_tx. Needs family, chrom, start, end."""
+    from splicelake.operators.islands import label_islands
+
+    keys = ["family", "chrom"]
+    lab = label_islands(tx, keys, slack=gap).select(
+        F.col("family").alias("__f"), F.col("chrom").alias("__c"), F.col("__s").alias("__st"), F.col("__island").alias("locus_start")
+    )
+    on = F.col("family").eqNullSafe(F.col("__f")) & F.col("chrom").eqNullSafe(F.col("__c")) & (F.col("start") == F.col("__st"))
+    return tx.join(lab, on).groupBy(*keys, "locus_start").agg(F.max("end").alias("locus_end"), F.count(F.lit(1)).alias("n_tx"))
+
+
+def exon_classes(exons: DataFrame, least: float = 0.3) -> DataFrame:
+    """Exons of a family, in coordinates relative to their copy, clustered by reciprocal
+    overlap of at least ``least`` (connected): adds node, the smallest exon_id of the class.
+    Needs family, exon_id (unique), start, end."""
+    from splicelake.operators.ranges import overlap_join
+
+    x = exons.select("family", "exon_id", "start", "end")
+    p = overlap_join(x, x, ["family"], bin_size=1 << 12).where("exon_id < r_exon_id")
+    p = p.where(coords.reciprocal_overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")) >= least)
+    comp = connected_components(p, "exon_id", "r_exon_id", vertices=x.select(F.col("exon_id").alias("node")))
+    return exons.join(comp.select(F.col("node").alias("exon_id"), F.col("component").alias("node")), "exon_id")
+
+
+def split_by_minimizers(members: DataFrame, least: float = 0.3) -> DataFrame:
+    """Classes split where sequences don't share enough minimizers: members of one node
+    stay together while linked by a Jaccard of at least ``least``. Needs node, exon_id, seq; adds part."""
+    from splicelake.functions.sequences import minimizers
+
+    k = members.select(F.col("exon_id").alias("id"), F.explode(minimizers(F.upper("seq"))).alias("kmer"))
+    pairs = shared_kmers(k, least)
+    n = members.select("exon_id", "node")
+    same = pairs.join(n.select(F.col("exon_id").alias("a"), F.col("node").alias("na")), "a").join(
+        n.select(F.col("exon_id").alias("b"), F.col("node").alias("nb")), "b"
+    )
+    comp = connected_components(same.where("na = nb"), "a", "b", vertices=n.select(F.col("exon_id").alias("node")))
+    return members.join(comp.select(F.col("node").alias("exon_id"), F.col("component").alias("part")), "exon_id")
+
+
+def family_edges(members: DataFrame) -> DataFrame:
+    """Edges between exon classes: consecutive exons of a copy, with the copies that show them.
+    Needs family, copy, node, start. A family with exons of both strands must be split before."""
+    w = Window.partitionBy("family", "copy").orderBy("start", "node")
+    x = members.withColumn("next", F.lead("node").over(w)).where("next IS NOT NULL")
+    return x.groupBy("family", F.col("node").alias("u"), F.col("next").alias("v")).agg(F.countDistinct("copy").alias("support"))
+
+
+def representative_copy(members: DataFrame) -> DataFrame:
+    """Per family the copy in most classes (ties: the smallest)."""
+    n = members.groupBy("family", "copy").agg(F.countDistinct("node").alias("n"))
+    return n.groupBy("family").agg(F.min(F.struct((-F.col("n")).alias("k"), "copy")).alias("m")).select("family", F.col("m.copy").alias("copy"))
+
+
+def synthesize_bundles(reads: DataFrame, least: int = 3) -> DataFrame:
+    """Rescued reads with one node path as a bundle: family, path, n_reads, loglik (mean)."""
+    g = reads.groupBy("family", "path").agg(F.count(F.lit(1)).alias("n_reads"), F.avg("loglik").alias("loglik"))
+    return g.where(F.col("n_reads") >= least)
+
+
+def rescue_class(reads: DataFrame, k: int = 15, masked: str = "masked_share", hits: str = "hits") -> DataFrame:
+    """Rescue class: hits * k below 40: below; masked share above .3: masked; else external."""
+    c = F.when(F.col(hits) * k < 40, "below").when(F.col(masked) > 0.3, "masked").otherwise("external")
+    return reads.withColumn("rescue_class", c)
+
+
+def novel_reads(reads: DataFrame, family_kmers: DataFrame, k: int = 15, least: int = 3, share: float = 0.01) -> DataFrame:
+    """Unmapped reads matched to families by k-mers of both strands: read, family, hits.
+
+    Windows are counted, repeats included; per family the better strand counts; at least
+    ``least`` hits and ``share`` of the windows; the best family wins (ties: the smallest).
+    ``reads``: read, seq; ``family_kmers``: family, kmer."""
+    from splicelake.functions.sequences import kmers, reverse_complement
+
+    up = F.upper("seq")
+    both = F.explode(F.array(F.struct(F.lit(1).alias("s"), up.alias("q")), F.struct(F.lit(-1).alias("s"), reverse_complement(up).alias("q"))))
+    x = reads.where("seq IS NOT NULL").select("read", F.greatest(F.length("seq") - k + 1, F.lit(0)).alias("n"), both.alias("b"))
+    x = x.select("read", "n", "b.s", F.explode(kmers(F.col("b.q"), k)).alias("kmer"))
+    # one row per distinct k-mer of a read, so the join carries counts and not windows
+    x = x.groupBy("read", "n", "s", "kmer").agg(F.count(F.lit(1)).alias("c"))
+    h = x.join(family_kmers.select("family", "kmer").distinct(), "kmer").groupBy("read", "n", "family", "s").agg(F.sum("c").alias("hits"))
+    h = h.groupBy("read", "n", "family").agg(F.max("hits").alias("hits"))
+    h = h.where((F.col("hits") >= least) & (F.col("hits") >= F.col("n") * F.lit(share)))
+    best = h.groupBy("read").agg(F.min(F.struct((-F.col("hits")).alias("m"), "family")).alias("b"))
+    return best.select("read", F.col("b.family").alias("family"), (-F.col("b.m")).alias("hits"))
+
+
+def template_families(tx: DataFrame, by_gene: bool = True, gap: int = 100) -> DataFrame:
+    """Annotation transcripts grouped to templates: by gene, or by overlapping spans with
+    gaps of at most ``gap``. Adds template. Needs gene_id, chrom, strand, start, end."""
+    if by_gene:
+        return tx.withColumn("template", F.col("gene_id"))
+    from splicelake.operators.islands import label_islands
+
+    keys = ["chrom", "strand"]
+    lab = label_islands(tx, keys, slack=gap).select(
+        *[F.col(k).alias(f"__{k}") for k in keys], F.col("__s").alias("__st"), F.col("__island").alias("__i")
+    )
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("start") == F.col("__st")]
+    x = tx.join(lab, on)
+    return x.withColumn("template", F.concat_ws(":", "chrom", "strand", "__i")).drop("__st", "__i", *[f"__{k}" for k in keys])
+
+
+def family_names(tx: DataFrame, templates: DataFrame, least: float = 0.3) -> DataFrame:
+    """Transcripts named after the template with the best Jaccard of junction sets
+    above ``least`` (ties: the smaller name): tx_id, name (``<template>-like``), jaccard.
+    Both need chrom, strand, exons; ``templates`` has template."""
+    from splicelake.functions.chains import junctions
+
+    own = tx.select("tx_id", "chrom", "strand", F.explode(junctions(F.col("exons"))).alias("j")).distinct()
+    ref = templates.select("template", "chrom", "strand", F.explode(junctions(F.col("exons"))).alias("j")).distinct()
+    n1 = own.groupBy("tx_id").agg(F.count(F.lit(1)).alias("n1"))
+    n2 = ref.groupBy("template").agg(F.count(F.lit(1)).alias("n2"))
+    both = own.join(ref, ["chrom", "strand", "j"]).groupBy("tx_id", "template").agg(F.count(F.lit(1)).alias("n"))
+    x = both.join(n1, "tx_id").join(n2, "template").withColumn("jaccard", F.col("n") / (F.col("n1") + F.col("n2") - F.col("n")))
+    best = x.where(F.col("jaccard") > least).groupBy("tx_id").agg(F.min(F.struct((-F.col("jaccard")).alias("k"), "template")).alias("m"))
+    return best.select("tx_id", F.concat("m.template", F.lit("-like")).alias("name"), (-F.col("m.k")).alias("jaccard"))

@@ -258,6 +258,7 @@ def coalesce_junctions(stats: DataFrame, tolerance: int = 10, share: float = 0.4
 
     schema = f"{key_schema(stats, cols)}, n_merged int"
     # a chain of one row has nothing to fold and never leaves the JVM
+    x = cut(x)
     n = x.groupBy(*by, "__island").agg(F.count(F.lit(1)).alias("__n"))
     x = x.join(n, [*by, "__island"])
     alone = x.where("__n = 1").select(*cols, F.lit(1).alias("n_merged"))
@@ -322,3 +323,72 @@ def rank_sites(stats: DataFrame) -> DataFrame:
     """Rank of each junction among those of its donor by reads (ties by acceptor)."""
     w = Window.partitionBy("chrom", "strand", "donor").orderBy(F.desc("mrcount"), "acceptor")
     return stats.withColumn("rank", F.row_number().over(w))
+
+
+def inject_guides(stats: DataFrame, guides: DataFrame, weight: float = 1.0) -> DataFrame:
+    """Q18, guide junctions: guide junctions that are missing are added with ``weight`` everywhere."""
+    new = guides.select(*JKEY).distinct().join(stats.select(*JKEY), list(JKEY), "left_anti")
+    one = [F.lit(weight).cast(stats.schema[c].dataType).alias(c) for c in ("mrcount", "nreads_good", "leftsupport", "rightsupport")]
+    return stats.unionByName(new.select(*JKEY, *one), allowMissingColumns=True)
+
+
+def two_splice_witness(pairs: DataFrame, reads: DataFrame, tolerance: int = 5) -> DataFrame:
+    """Q7: whether some read holds both junctions of a pair in order, within the tolerance.
+    ``pairs``: pair_id, chrom, d1, a1, d2, a2 (donor and acceptor of both). Adds seen."""
+    j = reads.select("row_id", "chrom", F.posexplode(chains.junctions(F.col("exons"))).alias("i", "j")).select(
+        "row_id", "i", "chrom", F.col("j.donor").alias("donor"), F.col("j.acceptor").alias("acceptor")
+    )
+    side = lambda d, a: pairs.select("pair_id", "chrom", F.col(d).alias("donor"), F.col(a).alias("acceptor"))
+    one = tolerance_join(side("d1", "a1"), j, ["chrom"], ["donor", "acceptor"], tolerance).select("pair_id", F.col("r_row_id").alias("row_id"), F.col("r_i").alias("i1"))
+    two = tolerance_join(side("d2", "a2"), j, ["chrom"], ["donor", "acceptor"], tolerance).select("pair_id", F.col("r_row_id").alias("row_id"), F.col("r_i").alias("i2"))
+    hit = one.join(two, ["pair_id", "row_id"]).where("i1 < i2").select("pair_id").distinct().withColumn("seen", F.lit(True))
+    return pairs.join(hit, "pair_id", "left").fillna(False, ["seen"])
+
+
+def demote_high_error(stats: DataFrame, window: int = NEAR) -> DataFrame:
+    """Q4: junctions all of whose reads mismatch (nm >= mrcount) walk to a better neighbour.
+
+    Rows are visited by donor, then acceptor, within chains of donors closer than
+    ``window``; each looks for the neighbour, within ``window`` at both ends, with most
+    reads that itself is not demoted; it needs more reads than the tiered share of the
+    distance allows (1 up to 25 bases, .5 up to 100, .25 up to 200, else .1). Adds
+    to_donor and to_acceptor (null where nothing changes); earlier decisions count for later rows."""
+    by = ["chrom", "strand"]
+    lab = label_islands(stats, by, "donor", "donor", slack=window).select(
+        *[F.col(k).alias(f"__{k}") for k in by], F.col("__s").alias("__d"), "__island"
+    )
+    x = stats.join(lab, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by] + [F.col("donor") == F.col("__d")]).drop(
+        "__d", *[f"__{k}" for k in by]
+    )
+    cols = [f.name for f in stats.schema]
+
+    def tier(d: int) -> float:
+        return 1.0 if d <= 25 else 0.5 if d <= 100 else 0.25 if d <= 200 else 0.1
+
+    def fold(rows: list[dict]):
+        gone: set[int] = set()
+        for i, r in enumerate(rows):
+            to = None
+            if r["mrcount"] > 0 and (r["nm"] or 0) >= r["mrcount"]:
+                near = [
+                    (q["mrcount"], -q["donor"], -q["acceptor"]) for k, q in enumerate(rows)
+                    if k != i and k not in gone and abs(q["donor"] - r["donor"]) <= window and abs(q["acceptor"] - r["acceptor"]) <= window
+                    and r["mrcount"] < q["mrcount"] * tier(abs(q["donor"] - r["donor"]) + abs(q["acceptor"] - r["acceptor"]))
+                ]
+                if near:
+                    best = max(near)
+                    to = (-best[1], -best[2])
+                    gone.add(i)
+            yield (*[r[c] for c in cols], *(to or (None, None)))
+
+    schema = f"{key_schema(stats, cols)}, to_donor bigint, to_acceptor bigint"
+    return fold_groups(x, [*by, "__island"], ["donor", "acceptor"], fold, schema)
+
+
+def preprocess(stats: DataFrame, least: float = 1.0, percent: float = 1.0, tolerance: int = 10) -> DataFrame:
+    """Q12, Q13: coalesce, then drop killed, weak, nearby-weak and low-share junctions, then canonicalise."""
+    # each stage reads its input several times, so stages are cut from each other
+    x = cut(coalesce_junctions(stats, tolerance).drop("n_merged"))
+    x = nearby_weak(weak_filter(x, least)).where("NOT drop").drop("drop", "best_near")
+    x = cut(site_isofrac(x, percent).where("keep").drop("keep", "site_total"))
+    return coalesce_junctions(x.select(*stats.columns), tolerance).drop("n_merged")

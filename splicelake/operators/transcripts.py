@@ -166,9 +166,9 @@ def supported_introns(tx: DataFrame, stats: DataFrame, least: float = 1.0) -> Da
 
 
 def loci(tx: DataFrame) -> DataFrame:
-    """Overlapping spans of one place: adds locus (the start of the chain of spans)."""
+    """Spans of one place that overlap or touch: adds locus (the start of the chain of spans)."""
     x = with_structure(tx)
-    lab = label_islands(x, PLACE, slack=-1).select(
+    lab = label_islands(x, PLACE).select(
         *[F.col(k).alias(f"__{k}") for k in PLACE], F.col("__s").alias("__st"), F.col("__island").alias("locus")
     )
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in PLACE] + [F.col("start") == F.col("__st")]
@@ -372,3 +372,68 @@ def rank_in_locus(tx: DataFrame, n: int) -> DataFrame:
     """The ``n`` strongest transcripts of each locus (a top-n report)."""
     w = Window.partitionBy(*PLACE, "locus").orderBy(F.desc("coverage"), "tx_id")
     return loci(tx).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def window_witness(tx: DataFrame, reads: DataFrame, k: int = 4) -> DataFrame:
+    """tx_ids with a run of ``k`` consecutive introns that no read shows together.
+
+    Transcripts with fewer introns are judged by their whole chain. Distinct windows are
+    compared as values, so the join is an equi-join whatever the number of reads."""
+    j = chains.junctions(F.col("exons"))
+
+    def windows(df: DataFrame, n: Column) -> Column:
+        count = F.size("exons") - n
+        at = F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.slice(j, i, n))
+
+    own = F.least(F.size("exons") - 1, F.lit(k))
+    t = tx.where(F.size("exons") > 1).select("tx_id", *PLACE, F.explode(windows(tx, own)).alias("w"))
+    sizes = [reads.where(F.size("exons") > n).select(*PLACE, F.explode(windows(reads, F.lit(n))).alias("w")) for n in range(1, k + 1)]
+    seen = sizes[0]
+    for s in sizes[1:]:
+        seen = seen.unionByName(s)
+    return t.join(seen.distinct(), [*PLACE, "w"], "left_anti").select("tx_id").distinct()
+
+
+def near_duplicates(tx: DataFrame, most: int = 2) -> DataFrame:
+    """tx_ids that differ from a stronger transcript of the place (ties: smaller tx_id) in at
+    most ``most`` introns, each sharing a donor or acceptor with the other's intron there."""
+    x = with_structure(tx).where("n_exons > 1")
+    p = _overlapping(x, PLACE, ["chain", "n_exons", "coverage"]).where("n_exons = r_n_exons")
+    stronger = (F.col("r_coverage") > F.col("coverage")) | ((F.col("r_coverage") == F.col("coverage")) & (F.col("r_tx_id") < F.col("tx_id")))
+    both = F.zip_with("chain", "r_chain", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    other = F.filter(both, lambda x: x["a"] != x["b"])
+    share = F.forall(other, lambda x: (x["a"]["donor"] == x["b"]["donor"]) | (x["a"]["acceptor"] == x["b"]["acceptor"]))
+    return p.where(stronger & (F.size(other) > 0) & (F.size(other) <= most) & share).select("tx_id").distinct()
+
+
+def split_strand_conflicts(tx: DataFrame, most: int = 50) -> DataFrame:
+    """Ends of single-exon transcripts that overlap the start of one of the opposite strand
+    by at most ``most`` bases are moved to the middle of the overlap. Each transcript keeps the
+    innermost of its bounds; one that would become empty stays as it is."""
+    x = with_structure(tx).where("n_exons = 1")
+    p = _overlapping(x, ["chrom"], ["strand"]).where(F.col("strand") * F.col("r_strand") < 0)
+    p = p.where((F.col("start") < F.col("r_start")) & (F.col("end") < F.col("r_end")) & (F.col("end") - F.col("r_start") <= most))
+    mid = F.floor((F.col("end") + F.col("r_start")) / 2)
+    ends = p.groupBy("tx_id").agg(F.min(mid).alias("__end"))
+    starts = p.groupBy(F.col("r_tx_id").alias("tx_id")).agg(F.max(mid).alias("__start"))
+    y = tx.join(ends, "tx_id", "left").join(starts, "tx_id", "left")
+    e = F.get("exons", F.lit(0))
+    s2, e2 = F.coalesce("__start", e["start"]), F.coalesce("__end", e["end"])
+    moved = F.array(F.struct(s2.alias("start"), e2.alias("end")))
+    touched = F.col("__end").isNotNull() | F.col("__start").isNotNull()
+    return y.withColumn("exons", F.when(touched & (s2 < e2), moved).otherwise(F.col("exons"))).select(*tx.columns)
+
+
+def rank_penalised(tx: DataFrame) -> DataFrame:
+    """Retained-intron score per transcript: 3 for a leading, 2 for a middle and 1 for a
+    terminal exon that spans an intron of a stronger transcript of the place, added up."""
+    x = with_structure(tx)
+    ex = x.select("tx_id", *PLACE, "coverage", "n_exons", F.posexplode("exons").alias("i", "e"))
+    ex = ex.select("tx_id", *PLACE, "coverage", "n_exons", "i", F.col("e.start").alias("start"), F.col("e.end").alias("end"))
+    it = x.where("n_exons > 1").select(*PLACE, F.col("coverage").alias("cov"), F.explode("chain").alias("j"))
+    it = it.groupBy(*PLACE, F.col("j.donor").alias("start"), F.col("j.acceptor").alias("end")).agg(F.max("cov").alias("cov"))
+    p = overlap_join(ex, it, PLACE).where((F.col("start") < F.col("r_start")) & (F.col("end") > F.col("r_end")) & (F.col("r_cov") > F.col("coverage")))
+    hit = p.select("tx_id", "i", "n_exons").distinct()
+    points = F.when(F.col("i") == 0, 3).when(F.col("i") == F.col("n_exons") - 1, 1).otherwise(2)
+    return hit.groupBy("tx_id").agg(F.sum(points).alias("ri_score"))

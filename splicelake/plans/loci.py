@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from splicelake.functions import chains
 from splicelake.functions import sequences as S
+from splicelake.operators import assembly as A
+from splicelake.operators import coverage as CV
 from splicelake.operators import families as FA
 from splicelake.operators import graphs as G
 from splicelake.operators import junctions as J
+from splicelake.operators import locus_filters as LF
 from splicelake.operators import ranges as R
 from splicelake.operators import transcripts as T
 from splicelake.plans import lifts
@@ -366,6 +369,58 @@ def intron_table(spark: SparkSession, d: str) -> DataFrame:
     return sinks.intron_rows(_tx(spark, d))
 
 
+@query
+def assembled(spark: SparkSession, d: str) -> DataFrame:
+    p = A.locus_paths(lifts.reads(spark, d))
+    x = A.assemble_loci(p, ["chrom", "strand", "locus"])
+    return x.select("chrom", "strand", "locus", "tx_no", "origin", F.round("coverage", 4).alias("coverage"), _exon_text().alias("exons"))
+
+
+@query
+def filtered_loci(spark: SparkSession, d: str) -> DataFrame:
+    x = LF.filter_loci(_tx(spark, d))
+    return x.select("tx_id", "chrom", "strand", F.round("coverage", 4).alias("coverage"), "why", _exon_text().alias("exons"))
+
+
+@query
+def transcript_coverage(spark: SparkSession, d: str) -> DataFrame:
+    r = lifts.reads(spark, d)
+    x = CV.transcript_coverage(lifts.chain_transcripts(r), R.coverage_segments(lifts.exon_rows(r), ["chrom"]))
+    return x.select("tx_id", "cov_sum", F.floor(F.col("mean") * 1000).alias("mean_milli"))
+
+
+@query
+def low_introns(spark: SparkSession, d: str) -> DataFrame:
+    r = lifts.reads(spark, d)
+    x = CV.low_introns(lifts.chain_transcripts(r), R.coverage_segments(lifts.exon_rows(r), ["chrom"]))
+    return x.select("tx_id", "part", F.floor(F.col("mean") * 1000).alias("mean_milli"), "low")
+
+
+@query
+def resolved_strands(spark: SparkSession, d: str) -> DataFrame:
+    r = lifts.reads(spark, d)
+    return CV.resolve_strand(r, J.junction_stats(r)).groupBy("strand", "resolved_strand").agg(F.count(F.lit(1)).alias("n_reads"))
+
+
+@query
+def pile_ups(spark: SparkSession, d: str) -> DataFrame:
+    return CV.pile_ups(lifts.reads(spark, d))
+
+
+@query
+def bridged_gaps(spark: SparkSession, d: str) -> DataFrame:
+    r = lifts.reads(spark, d)
+    return CV.bridge_gaps(R.coverage_segments(lifts.exon_rows(r), ["chrom"]), r)
+
+
+@query
+def node_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    r = lifts.reads(spark, d)
+    seg = R.coverage_segments(lifts.exon_rows(r), ["chrom", "strand"])
+    x = CV.node_boundaries(G.split_nodes(r), seg, ["chrom", "strand"])
+    return x.withColumn("strength", F.round("strength", 3))
+
+
 # graphs and flow --------------------------------------------------------------------
 
 

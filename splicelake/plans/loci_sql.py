@@ -211,7 +211,7 @@ ORACLES = {
     ),
     "near_equal_pairs": w(TX, f"SELECT x.tx_id, y.tx_id AS r_tx_id FROM tx x JOIN tx y ON {_SAME} AND x.n = y.n AND x.tx_id < y.tx_id AND abs(x.chain[1].d - y.chain[1].d) <= 8 WHERE len(list_filter(range(1, x.n), lambda i: abs(x.chain[i].d - y.chain[i].d) > 8 OR abs(x.chain[i].a - y.chain[i].a) > 8)) = 0"),
     "isofrac_locus": w(
-        TX + f", l AS (SELECT *, sum(nw) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id) AS locus FROM (SELECT *, CASE WHEN s >= max(e) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS nw FROM tx))",
+        TX + f", l AS (SELECT *, sum(nw) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id) AS locus FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS nw FROM tx))",
         "SELECT tx_id, cov AS coverage FROM (SELECT *, max(cov) OVER (PARTITION BY chrom, strand, locus) AS m FROM l) WHERE cov >= 0.05 * (CASE WHEN cov > 100 THEN 0.05 WHEN cov > 50 THEN 0.5 ELSE 1 END) * m",
     ),
     "opposite_dominated": w(TX, "SELECT DISTINCT x.tx_id FROM tx x JOIN tx y ON x.chrom = y.chrom AND x.s < y.e AND y.s < x.e WHERE x.strand * y.strand < 0 AND y.cov >= 3 * x.cov"),
@@ -229,7 +229,7 @@ ORACLES = {
     "coverage_gate": w(RAW, "SELECT tx_id, cov AS coverage FROM raw WHERE cov >= CASE WHEN n > 1 THEN 2 ELSE 3 END"),
     "tpm": w(TX, "SELECT tx_id, round(cov * 1e6 / (SELECT sum(cov) FROM tx), 4) AS tpm, round(cov * 1000, 4) AS fpkm FROM tx"),
     "top_transcripts": w(
-        TX + ", l AS (SELECT *, sum(nw) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id) AS g FROM (SELECT *, CASE WHEN s >= max(e) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS nw FROM tx))",
+        TX + ", l AS (SELECT *, sum(nw) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id) AS g FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS nw FROM tx))",
         "SELECT chrom, strand, locus, tx_id, rank FROM (SELECT *, min(s) OVER (PARTITION BY chrom, strand, g) AS locus, row_number() OVER (PARTITION BY chrom, strand, g ORDER BY cov DESC, tx_id) AS rank FROM l) WHERE rank <= 3",
     ),
     "exact_reference": w(TWO, _EXACT),
@@ -239,6 +239,35 @@ ORACLES = {
         READS + "".join(f", r{k} AS (SELECT chrom, strand, ex, min(row_id) AS tx_id, sum(w)::DOUBLE AS cov FROM reads WHERE ({_RUN}) = {k} AND list_sum(list_transform(ex, lambda x: x.e - x.s)) >= 200 GROUP BY chrom, strand, ex)" for k in (0, 1)),
         "SELECT tx_id, cov AS coverage FROM r0 UNION ALL SELECT tx_id, cov FROM r1 ANTI JOIN r0 USING (chrom, strand, ex)",
     ).replace("r0 AS (SELECT chrom, strand, ex,", "q0 AS (SELECT chrom, strand, ex,").replace("FROM r0 UNION ALL SELECT tx_id, cov FROM r1 ANTI JOIN r0", "FROM q0 UNION ALL SELECT tx_id, cov FROM r1 ANTI JOIN q0"),
+    "transcript_coverage": w(
+        TX + f", seg AS ({_segments('exon', 'chrom')}), b AS (SELECT tx_id, chrom, unnest(ex) AS x FROM tx)",
+        """SELECT tx_id, sum(c)::BIGINT AS cov_sum, floor(sum(c) / sum(l) * 1000)::BIGINT AS mean_milli FROM (
+          SELECT b.tx_id, b.x, any_value(b.x.e - b.x.s) AS l, coalesce(sum((least(b.x.e, g."end") - greatest(b.x.s, g.start)) * g.depth), 0) AS c
+          FROM b LEFT JOIN seg g ON b.chrom = g.chrom AND b.x.s < g."end" AND g.start < b.x.e GROUP BY ALL) GROUP BY tx_id""",
+    ),
+    "low_introns": w(
+        TX + f", seg AS ({_segments('exon', 'chrom')}), "
+        "iv AS (SELECT tx_id, chrom, i AS part, ex[i + 1].s AS s, ex[i + 1].e AS e, 'x' AS k FROM (SELECT *, unnest(range(0, n)) AS i FROM tx) "
+        "UNION ALL SELECT tx_id, chrom, i, chain[i + 1].d, chain[i + 1].a, 'i' FROM (SELECT *, unnest(range(0, n - 1)) AS i FROM tx)), "
+        """c AS (SELECT tx_id, part, k, e - s AS l, coalesce(sum(CASE WHEN g.start IS NOT NULL THEN (least(e, g."end") - greatest(s, g.start)) * g.depth END), 0) AS c
+          FROM iv LEFT JOIN seg g ON iv.chrom = g.chrom AND s < g."end" AND g.start < e GROUP BY tx_id, part, k, s, e)""",
+        """SELECT i.tx_id, i.part, floor(i.c / i.l * 1000)::BIGINT AS mean_milli, i.c / i.l < (a.c + b.c) / (a.l + b.l) * 0.1::DOUBLE AS low FROM c i
+          JOIN c a ON a.k = 'x' AND a.tx_id = i.tx_id AND a.part = i.part JOIN c b ON b.k = 'x' AND b.tx_id = i.tx_id AND b.part = i.part + 1 WHERE i.k = 'i' AND i.l > 0""",
+    ),
+    "resolved_strands": w(
+        STATS + ", v AS (SELECT chrom, donor, acceptor, sum(strand * mrcount) AS v FROM stats WHERE strand <> 0 GROUP BY ALL), rv AS (SELECT row_id, sum(v) AS v FROM junc JOIN v USING (chrom, donor, acceptor) WHERE strand = 0 GROUP BY 1)",
+        "SELECT strand, CASE WHEN strand = 0 THEN coalesce(sign(v), 0)::INT ELSE strand END AS resolved_strand, count(*) AS n_reads FROM reads LEFT JOIN rv USING (row_id) GROUP BY ALL",
+    ),
+    "pile_ups": w(
+        READS + ", one AS (SELECT chrom, strand, s, e, row_id FROM reads r WHERE len(ex) = 1 AND e - s >= 200 AND NOT EXISTS (SELECT 1 FROM reads m WHERE len(m.ex) > 1 AND m.chrom = r.chrom AND m.s < r.e AND r.s < m.e))",
+        """SELECT chrom, strand, min(s) AS start, max(e) AS "end", count(*) AS n_reads FROM (
+          SELECT *, sum(nw) OVER (PARTITION BY chrom, strand ORDER BY s, row_id) AS g FROM (
+            SELECT *, CASE WHEN s - 10 > lag(s) OVER (PARTITION BY chrom, strand ORDER BY s, row_id) THEN 1 ELSE 0 END AS nw FROM one)) GROUP BY chrom, strand, g HAVING count(*) >= 5""",
+    ),
+    "bridged_gaps": w(
+        READS + f", p AS ({_islands('exon', 'chrom', 0, 'min(s) AS s, max(e) AS e')}), g AS (SELECT * FROM (SELECT chrom, lag(e) OVER (PARTITION BY chrom ORDER BY s) AS d, s AS a FROM p) WHERE a - d >= 20), j AS (SELECT chrom, donor, acceptor, sum(w) AS w FROM junc WHERE donor < acceptor GROUP BY ALL)",
+        "SELECT g.chrom, g.d AS donor, g.a AS acceptor, sum(j.w)::BIGINT AS weight FROM g JOIN j ON j.chrom = g.chrom AND j.donor <= g.d AND j.acceptor >= g.a GROUP BY ALL HAVING sum(j.w) >= 1",
+    ),
     "loss_report": """SELECT fate, count(*) AS n FROM (SELECT l.locus_id, CASE WHEN m IS NULL THEN 'missed' WHEN m.c IN ('=', 'j') THEN 'matched' ELSE 'partial_' || m.c END AS fate
       FROM (SELECT DISTINCT locus_id FROM ggo19_needy_top15 WHERE locus_id IS NOT NULL) l LEFT JOIN
       (SELECT locus_id, min({'r': CASE WHEN instr('=jcmxiypnsu', c) > 0 THEN instr('=jcmxiypnsu', c) ELSE 99 END, 'c': c}) AS m FROM (SELECT locus_id, unnest(regexp_extract_all(classes, '([=a-z]):', 1)) AS c FROM ggo19_needy_top15) GROUP BY 1) b ON l.locus_id = b.locus_id) GROUP BY ALL""",
