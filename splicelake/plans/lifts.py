@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from splicelake.functions import chains
 from splicelake.operators import transcripts as T
+from splicelake.session import spread
 from splicelake.sources.tables import table
 
 BUNDLE = ["run_id", "chrom", "bdstart", "bdend", "strand"]
@@ -18,9 +19,12 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
     Rows without chromosome or with exons that are missing, empty, reversed or out
     of order don't count."""
     x = table(spark, d, "aligned_reads").where("chrom IS NOT NULL AND exons IS NOT NULL")
+    # parsing is the heavy part of small scans; a scan with enough splits is left alone
+    x = spread(x.select("row_id", "run_id", "chrom", "strand", "read_name", "exons"))
     x = x.select(
         "row_id", "run_id", "chrom", F.coalesce("strand", F.lit(0)).alias("strand"), "read_name",
-        chains.packed_exons(F.col("exons")).alias("exons"),
+        # one generated row each: filters on the parsed value stay above, so it is parsed once
+        F.explode(F.array(chains.packed_exons(F.col("exons")))).alias("exons"),
     )
     e = F.col("exons")
     sane = F.forall(e, lambda k: k["start"] < k["end"]) & F.forall(chains.junctions(e), lambda j: j["donor"] <= j["acceptor"])
