@@ -127,7 +127,8 @@ def split_packed(df: DataFrame, ident: str, field: str, packing: Packing) -> Dat
     base = (
         df.select(F.col(ident).alias("__id"), f.alias("__f"))
         .where(F.col("__f").isNotNull() & ~F.col("__f").isin("", "-", "."))
-        .withColumn("__sk", skeleton(F.col("__f"), packing))
+        # never null, so the join adds no filter that would work the skeleton out twice
+        .withColumn("__sk", F.coalesce(skeleton(F.col("__f"), packing), F.lit("")))
     )
     known = base.select("__sk").distinct()
     few = [r[0] for r in known.limit(BROADCAST_SKELETONS + 1).collect()]
@@ -139,9 +140,9 @@ def split_packed(df: DataFrame, ident: str, field: str, packing: Packing) -> Dat
     parts = base.join(rules, "__sk").select("__id", _extract(F.col("__f"), F.col("__rule"), packing).alias("__v"))
     if not packing.atomic:
         parts = parts.withColumn("__v", F.filter("__v", lambda x: ~x.isin("", "-", ".")))
-    return parts.select(F.col("__id").alias(ident), F.posexplode("__v").alias("__p", "val")).select(
-        ident, (F.col("__p") + 1).alias("pos"), "val"
-    )
+    # the outer form keeps the optimiser from testing the extracted array beforehand
+    rows = parts.select(F.col("__id").alias(ident), F.posexplode_outer("__v").alias("__p", "val")).where("val IS NOT NULL")
+    return rows.select(ident, (F.col("__p") + 1).alias("pos"), "val")
 
 
 def split_one(text: str | None, packing: Packing) -> list[str]:
