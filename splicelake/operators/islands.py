@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _S, _E, _B = "__s", "__e", "__bin"
@@ -43,60 +43,41 @@ def label_islands(
     keys may be null and null is a key of its own.
     """
     keys = list(keys)
-    # neutral names: the caller's columns may clash with ours
-    ks = [f"__k{i}" for i in range(len(keys))]
-    base = df.select(
-        *[F.col(k).alias(a) for k, a in zip(keys, ks)],
-        F.col(start).cast("long").alias(_S),
-        F.col(end).cast("long").alias(_E),
-    ).where(F.col(_S).isNotNull() & F.col(_E).isNotNull())
-    pre = (
-        base.groupBy(*ks, _S)
-        .agg(F.max(_E).alias(_E))
-        .withColumn(_B, F.shiftright(F.col(_S), bin_bits))
+    # one struct holds the keys: it is never null and compares null fields as equal, so joins
+    # and windows agree on one partitioning
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("__k")
+    base = df.select(key, F.col(start).cast("long").alias(_S), F.col(end).cast("long").alias(_E))
+    base = base.withColumn(_B, F.shiftright(F.col(_S), bin_bits)).where(
+        F.col(_S).isNotNull() & F.col(_E).isNotNull() & F.col(_B).isNotNull()
     )
-    over_bins = Window.partitionBy(*ks).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        pre.groupBy(*ks, _B)
-        .agg(F.max(_E).alias("__m"))
-        .withColumn("__carry", F.max("__m").over(over_bins))
-        .drop("__m")
-    )
-    in_bin = Window.partitionBy(*ks, _B).orderBy(_S)
-    prev = F.max(_E).over(in_bin.rowsBetween(Window.unboundedPreceding, -1))
+    pre = base.groupBy("__k", _B, _S).agg(F.max(_E).alias(_E))
+    over_bins = Window.partitionBy("__k").orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    in_bin = Window.partitionBy("__k", _B).orderBy(_S)
+
+    def carried(x: DataFrame, value: str, name: str) -> DataFrame:
+        """Per bin the largest value of the earlier bins of the entity."""
+        m = x.groupBy("__k", _B).agg(F.max(value).alias("__m"))
+        return m.select("__k", _B, F.max("__m").over(over_bins).alias(name))
+
+    before = F.max(_E).over(in_bin.rowsBetween(Window.unboundedPreceding, -1))
+    prev = F.greatest(F.col("__carry"), F.col("__in_bin"))
     flagged = (
-        _join_keys(pre, carry, ks)
-        .withColumn("__prev", F.greatest(F.col("__carry"), prev))
-        .withColumn(
-            "__open",
-            F.when(F.col("__prev").isNull() | (F.col(_S) - slack > F.col("__prev")), F.col(_S)),
-        )
-        .drop("__carry")
-    )
-    labels = (
-        flagged.groupBy(*ks, _B)
-        .agg(F.max("__open").alias("__m"))
-        .withColumn("__carry", F.max("__m").over(over_bins))
-        .drop("__m")
+        pre.withColumn("__in_bin", before)
+        .join(carried(pre, _E, "__carry"), ["__k", _B])
+        .select("__k", _B, _S, _E, prev.alias("__prev"))
+        .withColumn("__open", F.when(F.col("__prev").isNull() | (F.col(_S) - slack > F.col("__prev")), F.col(_S)))
     )
     here = F.max("__open").over(in_bin.rowsBetween(Window.unboundedPreceding, 0))
-    out = _join_keys(flagged, labels, ks).withColumn(
-        "__island", F.coalesce(here, F.col("__carry"))
+    out = (
+        flagged.withColumn("__here", here)
+        .join(carried(flagged, "__open", "__label"), ["__k", _B])
+        .withColumn("__island", F.coalesce("__here", "__label"))
     )
     return out.select(
-        *[F.col(a).alias(k) for k, a in zip(keys, ks)], _S, _E, "__prev", "__open", "__island"
+        *[F.col(f"__k.k{i}").alias(k) for i, k in enumerate(keys)], _S, _E, "__prev", "__open", "__island"
     )
 
 
-def _join_keys(left: DataFrame, right: DataFrame, ks: list[str]) -> DataFrame:
-    """Inner join on keys (null-safe) and bin, keeping the left names."""
-    r = right.select(*[F.col(k).alias(f"{k}r") for k in ks], F.col(_B).alias("__binr"), "__carry")
-    cond: Column = F.col(_B) == F.col("__binr")
-    for k in ks:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"{k}r"))
-    return left.join(r, cond).drop("__binr", *[f"{k}r" for k in ks])
-
-
 def periods_and_gaps(
     df: DataFrame,
     keys: Sequence[str],

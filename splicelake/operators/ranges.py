@@ -103,27 +103,26 @@ def coverage_segments(
     """
     keys = list(keys)
     w = F.lit(1).cast("long") if weight is None else weight
-    ok = df.where(F.col(start) < F.col(end)).select(
-        *keys,
-        F.explode(F.array(F.struct(F.col(start).alias("p"), w.alias("d")), F.struct(F.col(end).alias("p"), (-w).alias("d")))).alias("x"),
-    )
-    events = ok.groupBy(*keys, F.col("x.p").alias("__p")).agg(F.sum("x.d").alias("__d")).withColumn("__b", F.shiftright("__p", bin_bits))
-    per_bin = events.groupBy(*keys, "__b").agg(F.sum("__d").alias("t"), F.min("__p").alias("f"))
-    wb = Window.partitionBy(*keys).orderBy("__b")
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("__k")
+    both = F.array(F.struct(F.col(start).alias("p"), w.alias("d")), F.struct(F.col(end).alias("p"), (-w).alias("d")))
+    ok = df.where(F.col(start) < F.col(end)).select(key, F.explode(both).alias("x"))
+    ok = ok.select("__k", F.shiftright("x.p", bin_bits).alias("__b"), F.col("x.p").alias("__p"), F.col("x.d").alias("__d"))
+    events = ok.where("__b IS NOT NULL").groupBy("__k", "__b", "__p").agg(F.sum("__d").alias("__d"))
+    per_bin = events.groupBy("__k", "__b").agg(F.sum("__d").alias("t"), F.min("__p").alias("f"))
+    wb = Window.partitionBy("__k").orderBy("__b")
     carry = per_bin.select(
-        *[F.col(k).alias(f"__c_{k}") for k in keys],
-        F.col("__b").alias("__c_b"),
+        "__k",
+        "__b",
         F.coalesce(F.sum("t").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
         F.lead("f").over(wb).alias("__after"),
     )
-    w1 = Window.partitionBy(*keys, "__b").orderBy("__p")
-    on = _null_safe([*keys, "__b"], [*[f"__c_{k}" for k in keys], "__c_b"])
+    w1 = Window.partitionBy("__k", "__b").orderBy("__p")
     return (
         events.withColumn("__run", F.sum("__d").over(w1.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("__next", F.lead("__p").over(w1))
-        .join(carry, on)
+        .join(carry, ["__k", "__b"])
         .select(
-            *keys,
+            *[F.col(f"__k.k{i}").alias(k) for i, k in enumerate(keys)],
             F.col("__p").alias("start"),
             F.coalesce("__next", "__after").alias("end"),
             (F.col("__run") + F.col("__before")).alias("depth"),
