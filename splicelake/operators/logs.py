@@ -16,10 +16,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 BLOCK = 4096
 """Line numbers per block of the attachment step."""
 
+_NO_RUN = "n"
 # Level words in use, by their upper case.
 LEVELS = {
     "TRACE": "TRACE", "T": "TRACE", "VERBOSE": "TRACE",
@@ -327,10 +329,9 @@ def parse_entry(text: str) -> tuple[int, str, str, str]:
     return _any_time(_pick(found, TIME_KEYS)), level, _pick(found, COMPONENT_KEYS), " ".join(message.split())
 
 
-def _flags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        b["__head"] = [bool(x) and is_header(x) for x in b["__text"]]
-        yield b
+@F.pandas_udf(BooleanType())
+def _heads(texts: pd.Series) -> pd.Series:
+    return pd.Series([bool(x) and is_header(x) for x in texts], dtype="bool")
 
 
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -338,7 +339,7 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [parse_entry(x) for x in b["__text"]]
         yield pd.DataFrame(
             {
-                "run_id": b["__run"],
+                "run_id": [None if x == _NO_RUN else x[1:] for x in b["__run"]],
                 "line_no": b["__entry"],
                 "ts_us": pd.Series([g[0] for g in got], dtype="int64"),
                 "level": [g[1] for g in got],
@@ -358,32 +359,30 @@ def log_entries(df: DataFrame, run: str = "run_id", line_no: str = "line_no", or
     layout has none. Other columns are not looked at.
     """
     text = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), "\u001b\\[[0-9;?]*[A-Za-z]", "")
+    # a run's name is kept behind a letter, so that the key is never null and plain joins do
     lines = df.select(
-        F.col(run).alias("__run"),
+        F.coalesce(F.concat(F.lit("r"), F.col(run).cast("string")), F.lit(_NO_RUN)).alias("__run"),
         F.col(line_no).cast("int").alias("__no"),
+        F.floor(F.col(line_no).cast("int") / BLOCK).alias("__block"),
         F.col(order).cast("long").alias("__ord"),
         text.alias("__text"),
-    ).where(F.col("__no").isNotNull())
+    ).where(F.col("__no").isNotNull() & F.col("__block").isNotNull())
     once = (
-        lines.withColumn("__block", F.floor(F.col("__no") / BLOCK))
-        .groupBy("__run", "__block", "__no")
+        lines.groupBy("__run", "__block", "__no")
         .agg(F.min(F.struct("__ord", "__text")).alias("__m"))
         .select("__run", "__block", "__no", F.col("__m.__text").alias("__text"))
     )
-    flagged = once.mapInPandas(_flags, "__run string, __block long, __no int, __text string, __head boolean")
-    head = F.when(F.col("__head"), F.col("__no"))
+    head = F.when(_heads("__text"), F.col("__no"))
     inside = Window.partitionBy("__run", "__block").orderBy("__no").rowsBetween(Window.unboundedPreceding, 0)
-    placed = flagged.withColumn("__here", F.max(head).over(inside))
-    earlier = Window.partitionBy("__r").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    placed = once.withColumn("__at", head).withColumn("__here", F.max("__at").over(inside)).drop("__at")
+    earlier = Window.partitionBy("__run").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        placed.groupBy(F.col("__run").alias("__r"), F.col("__block").alias("__b"))
+        placed.groupBy("__run", "__block")
         .agg(F.max("__here").alias("__last"))
-        .withColumn("__carry", F.max("__last").over(earlier))
-        .select("__r", "__b", "__carry")
+        .select("__run", "__block", F.max("__last").over(earlier).alias("__carry"))
     )
-    on = F.col("__run").eqNullSafe(F.col("__r")) & (F.col("__block") == F.col("__b"))
     entries = (
-        placed.join(carry, on)
+        placed.join(carry, ["__run", "__block"])
         .withColumn("__entry", F.coalesce("__here", "__carry"))
         .where(F.col("__entry").isNotNull())
         .groupBy("__run", "__entry")
