@@ -376,10 +376,12 @@ def log_entries(df: DataFrame, run: str = "run_id", line_no: str = "line_no", or
     inside = Window.partitionBy("__run", "__block").orderBy("__no").rowsBetween(Window.unboundedPreceding, 0)
     placed = once.withColumn("__at", head).withColumn("__here", F.max("__at").over(inside)).drop("__at")
     earlier = Window.partitionBy("__run").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    # counting the text keeps it in this branch, so both branches read one and the same shuffle
+    last = F.when(F.col("__n") >= 0, F.col("__last"))
     carry = (
         placed.groupBy("__run", "__block")
-        .agg(F.max("__here").alias("__last"))
-        .select("__run", "__block", F.max("__last").over(earlier).alias("__carry"))
+        .agg(F.max("__here").alias("__last"), F.count("__text").alias("__n"))
+        .select("__run", "__block", F.max(last).over(earlier).alias("__carry"))
     )
     entries = (
         placed.join(carry, ["__run", "__block"])
