@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from splicelake.functions import chains
 from splicelake.operators.folding import Rows, fold_groups, key_schema
 from splicelake.operators.ranges import overlap_join, range_coverage
+from splicelake.session import cut
 
 
 def exon_coverage(tx: DataFrame, segments: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
@@ -192,12 +193,12 @@ def bridge_gaps(segments: DataFrame, reads: DataFrame, keys: Sequence[str] = ("c
 def pile_ups(reads: DataFrame, tolerance: int = 10, least: int = 5, min_length: int = 200) -> DataFrame:
     """Clusters of unspliced reads with close starts that no multi-exon read overlaps:
     chrom, strand, start, end, n_reads."""
-    from splicelake.operators.ranges import overlap_semi
     from splicelake.operators.islands import label_islands
+    from splicelake.operators.ranges import overlap_semi
 
     keys = ["chrom", "strand"]
     one = reads.where((F.size("exons") == 1) & (F.col("end") - F.col("start") >= min_length))
-    one = overlap_semi(one, reads.where(F.size("exons") > 1), ["chrom"], "row_id", anti=True)
+    one = cut(overlap_semi(one, reads.where(F.size("exons") > 1), ["chrom"], "row_id", anti=True))
     lab = label_islands(one, keys, "start", "start", slack=tolerance).select(
         *[F.col(k).alias(f"__{k}") for k in keys], F.col("__s").alias("__st"), "__island"
     )

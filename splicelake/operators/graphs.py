@@ -18,6 +18,7 @@ from splicelake.functions import chains
 from splicelake.operators.folding import Rows, fold_groups, key_schema
 from splicelake.operators.islands import label_islands
 from splicelake.operators.ranges import overlap_join
+from splicelake.session import cut
 
 EPS = 1e-6
 
@@ -35,7 +36,7 @@ def split_nodes(reads: DataFrame, keys: Sequence[str] = ("chrom", "strand"), liv
 
     Columns: keys, island, start, end. ``live`` (junction table) restricts the cuts."""
     keys = list(keys)
-    isl = exon_islands(reads, keys)
+    isl = cut(exon_islands(reads, keys))
     j = reads.select(*keys, F.explode(chains.junctions(F.col("exons"))).alias("j")).select(
         *keys, F.col("j.donor").alias("donor"), F.col("j.acceptor").alias("acceptor")
     )
@@ -59,6 +60,7 @@ def split_nodes(reads: DataFrame, keys: Sequence[str] = ("chrom", "strand"), liv
 def graph_edges(nodes: DataFrame, reads: DataFrame, keys: Sequence[str] = ("chrom", "strand"), min_intron: int = 20) -> DataFrame:
     """Edges between nodes: contiguous ones inside an island, and junctions, with read support."""
     keys = list(keys)
+    nodes = cut(nodes)
     left = nodes.select(*keys, F.col("start").alias("from_start"), F.col("end").alias("from_end"), F.col("island"))
     right = nodes.select(*keys, F.col("start").alias("to_start"), F.col("end").alias("to_end"), F.col("island").alias("to_island"))
     touch = left.join(right.withColumn("from_end", F.col("to_start")), [*keys, "from_end"]).where("island = to_island")

@@ -307,7 +307,7 @@ def endpoint_map(points: DataFrame, keys: Sequence[str], radius: int = 10) -> Da
     """Every position with its representative: the heaviest position (ties: the
     smallest) of the chain of positions closer than ``radius``."""
     keys = list(keys)
-    w = points.groupBy(*keys, "pos").agg(F.sum("weight").alias("__w"))
+    w = cut(points.groupBy(*keys, "pos").agg(F.sum("weight").alias("__w")))
     lab = label_islands(w, keys, "pos", "pos", slack=radius).select(
         *[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__s").alias("__p"), "__island"
     )

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from splicelake.session import spread
+
 BROADCAST_SKELETONS = 20_000
 """Most skeletons (a short string and a small integer each) that are broadcast."""
 
@@ -125,7 +127,7 @@ def split_packed(df: DataFrame, ident: str, field: str, packing: Packing) -> Dat
     """
     f = F.trim(F.col(field).cast("string"))
     base = (
-        df.select(F.col(ident).alias("__id"), f.alias("__f"))
+        spread(df.select(F.col(ident).alias("__id"), f.alias("__f")))
         .where(F.col("__f").isNotNull() & ~F.col("__f").isin("", "-", "."))
         # never null, so the join adds no filter that would work the skeleton out twice
         .withColumn("__sk", F.coalesce(skeleton(F.col("__f"), packing), F.lit("")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splicelake.operators.islands import label_islands
+from splicelake.session import cut
 
 
 def _null_safe(left: Sequence[str], right: Sequence[str]) -> Column:
@@ -179,7 +180,7 @@ def cluster_positions(df: DataFrame, keys: Sequence[str], pos: str = "pos", weig
     half rounded up), weight, first and last position.
     """
     keys = list(keys)
-    points = df.groupBy(*keys, F.col(pos).alias("__pos")).agg(F.sum(weight).alias("__w"))
+    points = cut(df.groupBy(*keys, F.col(pos).alias("__pos")).agg(F.sum(weight).alias("__w")))
     lab = label_islands(points, keys, "__pos", "__pos", slack=window).select(
         *[F.col(k).alias(f"__r_{k}") for k in keys], F.col("__s").alias("__r_s"), "__island"
     )

@@ -167,7 +167,7 @@ def supported_introns(tx: DataFrame, stats: DataFrame, least: float = 1.0) -> Da
 
 def loci(tx: DataFrame) -> DataFrame:
     """Spans of one place that overlap or touch: adds locus (the start of the chain of spans)."""
-    x = with_structure(tx)
+    x = cut(with_structure(tx))
     lab = label_islands(x, PLACE).select(
         *[F.col(k).alias(f"__{k}") for k in PLACE], F.col("__s").alias("__st"), F.col("__island").alias("locus")
     )

@@ -17,6 +17,7 @@ from splicelake.operators import ranges as R
 from splicelake.operators import transcripts as T
 from splicelake.plans import lifts
 from splicelake.plans.lifts import BUNDLE
+from splicelake.session import cut
 from splicelake.sources import sinks
 from splicelake.sources.tables import table
 
@@ -38,6 +39,11 @@ def _exon_text(c: str = "exons"):
     return F.array_join(F.transform(c, lambda e: F.concat_ws("-", e["start"], e["end"])), ",")
 
 
+def _coverage(spark: SparkSession, d: str, keys: list[str]) -> DataFrame:
+    """Coverage segments of all exons, written once: they are read several times and far fewer than reads."""
+    return cut(R.coverage_segments(lifts.exon_rows(lifts.reads(spark, d)), keys))
+
+
 # regions and coverage ---------------------------------------------------------
 
 
@@ -64,8 +70,7 @@ def elementary_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def range_coverage(spark: SparkSession, d: str) -> DataFrame:
-    seg = R.coverage_segments(lifts.exon_rows(lifts.reads(spark, d)), ["chrom"])
-    return R.range_coverage(seg, lifts.panels(spark, d), ["chrom"], ["row_id"])
+    return R.range_coverage(_coverage(spark, d, ["chrom"]), lifts.panels(spark, d), ["chrom"], ["row_id"])
 
 
 @query
@@ -385,14 +390,14 @@ def filtered_loci(spark: SparkSession, d: str) -> DataFrame:
 @query
 def transcript_coverage(spark: SparkSession, d: str) -> DataFrame:
     r = lifts.reads(spark, d)
-    x = CV.transcript_coverage(lifts.chain_transcripts(r), R.coverage_segments(lifts.exon_rows(r), ["chrom"]))
+    x = CV.transcript_coverage(lifts.chain_transcripts(r), _coverage(spark, d, ["chrom"]))
     return x.select("tx_id", "cov_sum", F.floor(F.col("mean") * 1000).alias("mean_milli"))
 
 
 @query
 def low_introns(spark: SparkSession, d: str) -> DataFrame:
     r = lifts.reads(spark, d)
-    x = CV.low_introns(lifts.chain_transcripts(r), R.coverage_segments(lifts.exon_rows(r), ["chrom"]))
+    x = CV.low_introns(lifts.chain_transcripts(r), _coverage(spark, d, ["chrom"]))
     return x.select("tx_id", "part", F.floor(F.col("mean") * 1000).alias("mean_milli"), "low")
 
 
@@ -410,13 +415,13 @@ def pile_ups(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bridged_gaps(spark: SparkSession, d: str) -> DataFrame:
     r = lifts.reads(spark, d)
-    return CV.bridge_gaps(R.coverage_segments(lifts.exon_rows(r), ["chrom"]), r)
+    return CV.bridge_gaps(_coverage(spark, d, ["chrom"]), r)
 
 
 @query
 def node_boundaries(spark: SparkSession, d: str) -> DataFrame:
     r = lifts.reads(spark, d)
-    seg = R.coverage_segments(lifts.exon_rows(r), ["chrom", "strand"])
+    seg = _coverage(spark, d, ["chrom", "strand"])
     x = CV.node_boundaries(G.split_nodes(r), seg, ["chrom", "strand"])
     return x.withColumn("strength", F.round("strength", 3))
 
