@@ -437,3 +437,20 @@ def rank_penalised(tx: DataFrame) -> DataFrame:
     hit = p.select("tx_id", "i", "n_exons").distinct()
     points = F.when(F.col("i") == 0, 3).when(F.col("i") == F.col("n_exons") - 1, 1).otherwise(2)
     return hit.groupBy("tx_id").agg(F.sum(points).alias("ri_score"))
+
+
+def chimeras(tx: DataFrame, ref: DataFrame) -> DataFrame:
+    """tx_ids without novel intron that fall into two parts: at some point the references
+    that hold an intron before it and those that hold one after it have none in common."""
+    r = with_structure(ref).select(F.col("tx_id").alias("ref_id"), *PLACE, F.explode("chain").alias("j"))
+    sets = r.groupBy(*PLACE, "j").agg(F.collect_set("ref_id").alias("refs"))
+    x = with_structure(tx).where("n_exons > 2").select("tx_id", *PLACE, "n_exons", F.posexplode("chain").alias("i", "j"))
+    g = x.join(sets, [*PLACE, "j"]).groupBy("tx_id", "n_exons").agg(F.sort_array(F.collect_list(F.struct("i", "refs"))).alias("l"))
+    known = g.where(F.size("l") == F.col("n_exons") - 1)
+    refs = F.transform("l", lambda y: y["refs"])
+    n = F.size("l")
+    apart = F.exists(
+        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+        lambda k: ~F.arrays_overlap(F.flatten(F.slice(refs, F.lit(1), k)), F.flatten(F.slice(refs, k + 1, F.greatest(n - k, F.lit(0))))),
+    )
+    return known.where((n > 1) & apart).select("tx_id")

@@ -95,3 +95,13 @@ def test_merge(spark):
     two = make(spark, (3, "c", 1, B, 3), (4, "c", 1, [(0, 100), (200, 310), (400, 700)], 3), (5, "c", 1, PART, 2), (6, "d", 1, [(0, 300)], 1))
     assert ids(T.structural_merge([one, two])) == [4, 6]
     assert ids(T.structural_merge([one, two], tolerance=5)) == [1, 4, 6]
+
+
+def test_chimeras(spark):
+    ref = make(spark, (10, "c", 1, [(0, 10), (20, 30), (40, 50)], 1), (11, "c", 1, [(60, 70), (80, 90)], 1), (12, "c", 1, [(40, 50), (55, 60)], 1))
+    tx = make(
+        spark, (1, "c", 1, [(0, 10), (20, 30), (40, 50)], 1), (2, "c", 1, [(0, 10), (20, 30), (35, 70), (80, 90)], 1),
+        (3, "c", 1, [(20, 30), (40, 50), (55, 60)], 1), (4, "c", 1, [(0, 10), (20, 30)], 1),
+    )
+    assert ids(T.chimeras(tx, ref)) == [3]
+    assert T.chimeras(tx.limit(0), ref).count() == 0
