@@ -40,12 +40,23 @@ def exon_rows(r: DataFrame) -> DataFrame:
 
 
 def chain_transcripts(r: DataFrame) -> DataFrame:
-    """Transcripts of the reads: one per (place, intron chain) with its outermost ends."""
+    """Transcripts of the multi-exon reads: one per (place, intron chain) with its outermost ends."""
     x = T.read_chains(r)
     ex = chains.exons_of_chain(F.col("start"), F.col("chain"), F.col("end"))
     return x.select("tx_id", "chrom", "strand", ex.alias("exons"), F.col("coverage").cast("double").alias("coverage"), F.col("coverage").alias("longcov"))
 
 
+def transcripts(r: DataFrame) -> DataFrame:
+    """Transcripts of all reads: those of chains, and each distinct single exon as one of its own. One shuffle."""
+    x = T.with_structure(r)
+    lone = F.when(F.col("n_exons") == 1, F.struct("start", "end"))
+    g = x.groupBy(*T.PLACE, "chain", lone.alias("lone")).agg(
+        F.min("row_id").alias("tx_id"), F.sum("weight").alias("longcov"), F.min("start").alias("start"), F.max("end").alias("end")
+    )
+    ex = chains.exons_of_chain(F.col("start"), F.col("chain"), F.col("end"))
+    return g.select("tx_id", "chrom", "strand", ex.alias("exons"), F.col("longcov").cast("double").alias("coverage"), "longcov")
+
+
 def halves(r: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reads of cells 1 and 2 and of all other cells (named in the read): two samples to compare."""
     x = r.where("read_name IS NOT NULL").withColumn("__cell", F.regexp_extract("read_name", "_s([0-9]+)/", 1))

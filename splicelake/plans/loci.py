@@ -224,6 +224,12 @@ def junction_set_compare(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tx(spark: SparkSession, d: str) -> DataFrame:
+    """For operators on all transcripts."""
+    return lifts.transcripts(lifts.reads(spark, d))
+
+
+def _chained(spark: SparkSession, d: str) -> DataFrame:
+    """For operators on intron chains."""
     return lifts.chain_transcripts(lifts.reads(spark, d))
 
 
@@ -252,7 +258,7 @@ def chain_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def subset_chains(spark: SparkSession, d: str) -> DataFrame:
-    return T.subset_chains(_tx(spark, d))
+    return T.subset_chains(_chained(spark, d))
 
 
 @query
@@ -262,7 +268,7 @@ def containment_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def near_equal_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return T.near_chain_pairs(_tx(spark, d), 8).select("tx_id", "r_tx_id")
+    return T.near_chain_pairs(_chained(spark, d), 8).select("tx_id", "r_tx_id")
 
 
 @query
@@ -326,7 +332,7 @@ def top_transcripts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def exact_reference(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (lifts.chain_transcripts(x) for x in lifts.halves(lifts.reads(spark, d)))
+    a, b = (lifts.transcripts(x) for x in lifts.halves(lifts.reads(spark, d)))
     return T.exact_reference(a, b)
 
 
@@ -350,7 +356,7 @@ def recovered_guides(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def structural_merge(spark: SparkSession, d: str) -> DataFrame:
-    parts = [lifts.chain_transcripts(x) for x in lifts.halves(lifts.reads(spark, d))]
+    parts = [lifts.transcripts(x) for x in lifts.halves(lifts.reads(spark, d))]
     return T.structural_merge(parts).select("tx_id", "chrom", "strand", _exon_text().alias("exons"))
 
 
@@ -371,7 +377,7 @@ def cigar_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def intron_table(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.intron_rows(_tx(spark, d))
+    return sinks.intron_rows(_chained(spark, d))
 
 
 @query
@@ -390,7 +396,7 @@ def filtered_loci(spark: SparkSession, d: str) -> DataFrame:
 @query
 def transcript_coverage(spark: SparkSession, d: str) -> DataFrame:
     r = lifts.reads(spark, d)
-    x = CV.transcript_coverage(lifts.chain_transcripts(r), _coverage(spark, d, ["chrom"]))
+    x = CV.transcript_coverage(lifts.transcripts(r), _coverage(spark, d, ["chrom"]))
     return x.select("tx_id", "cov_sum", F.floor(F.col("mean") * 1000).alias("mean_milli"))
 
 
@@ -531,7 +537,7 @@ def phase_split(spark: SparkSession, d: str) -> DataFrame:
 @query
 def junction_jaccard(spark: SparkSession, d: str) -> DataFrame:
     j = F.explode(chains.junctions(F.col("exons")))
-    k = _tx(spark, d).select(F.col("tx_id").alias("id"), "chrom", "strand", j.alias("j"))
+    k = _chained(spark, d).select(F.col("tx_id").alias("id"), "chrom", "strand", j.alias("j"))
     k = k.select("id", F.concat_ws(":", "chrom", "strand", "j.donor", "j.acceptor").alias("kmer"))
     return FA.shared_kmers(k, 0.8).withColumn("jaccard", F.round("jaccard", 6))
 
