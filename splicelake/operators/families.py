@@ -102,16 +102,21 @@ def em_reweight(placements: DataFrame, rounds: int = 20, settled: float = 1e-3,
     ``placements``: read, copy, compat (fit of the read to the copy). Score of a
     placement is (compat + floor) times the square root of the copy's weight; scores
     are normalised per read, until no weight moves by ``settled`` or more. Returns the
-    placements with weight, the rounds used and the last largest change. Each round is
-    two map-side combined aggregations and two joins, and is checkpointed.
+    placements with weight, the rounds used and the last largest change. A read with one
+    copy has weight 1 in every round, so the rounds take the ambiguous reads only and add
+    the others' number by copy. Each round is two map-side combined aggregations and
+    joins of ambiguous placements, and is checkpointed.
     """
     n = F.count(F.lit(1))
     base = cut(placements.groupBy("read", "copy").agg(F.max("compat").alias("compat")))
-    per = base.groupBy("read").agg(n.alias("__n"))
+    per = cut(base.groupBy("read").agg(n.alias("__n")).where("__n > 1"))
+    lone = base.where("read IS NOT NULL AND copy IS NOT NULL").join(per, "read", "left_anti")
     cur = cut(base.join(per, "read").select("read", "copy", "compat", (F.lit(1.0) / F.col("__n")).alias("weight")))
+    held = cut(lone.groupBy("copy").agg(n.alias("__held")).join(cur, "copy", "left_semi"))
     used, delta = 0, float("inf")
     while used < rounds and delta >= settled:
-        mass = cur.groupBy("copy").agg(F.sum("weight").alias("__mass"))
+        mass = cur.groupBy("copy").agg(F.sum("weight").alias("__mass")).join(held, "copy", "left")
+        mass = mass.select("copy", (F.col("__mass") + F.coalesce("__held", F.lit(0))).alias("__mass"))
         s = cur.join(mass, "copy").withColumn("__s", (F.col("compat") + floor) * F.sqrt("__mass"))
         tot = s.groupBy("read").agg(F.sum("__s").alias("__t"))
         new = s.join(tot, "read").select(
@@ -122,7 +127,7 @@ def em_reweight(placements: DataFrame, rounds: int = 20, settled: float = 1e-3,
         delta = new.agg(F.max(F.abs(F.col("weight") - F.col("__old")))).first()[0] or 0.0
         cur = new.drop("__old")
         used += 1
-    return cur, used, delta
+    return cur.unionByName(lone.withColumn("weight", F.lit(1.0))), used, delta
 
 
 def em_route(families_: DataFrame, max_copies: int = 40, max_work: int = 2000) -> DataFrame:

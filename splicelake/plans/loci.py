@@ -521,7 +521,7 @@ def families(spark: SparkSession, d: str) -> DataFrame:
 @query
 def em_weights(spark: SparkSession, d: str) -> DataFrame:
     p = lifts.placements(lifts.reads(spark, d)).withColumnRenamed("locus", "copy")
-    x, _, _ = FA.em_reweight(p, rounds=3, settled=0.0)
+    x, _, _ = FA.em_reweight(p)
     return x.select("read", "copy", F.round("weight", 5).alias("weight"))
 
 
