@@ -3,7 +3,7 @@
 A line is parsed at minimum cost. The machine has the states *start of a
 column*, *plain*, *quoted* and *after the closing quote*; besides the moves of
 the format, which cost nothing, quotes may be inserted or deleted, and columns
-(delimiters) inserted or deleted to reach the expected number. Quote edits weigh
+(delimiters) inserted or deleted at the end to reach the expected number. Quote edits weigh
 more than any number of delimiter edits, so the cost alone tells the reason:
 with a quote edit it is ``quoting``, with a delimiter edit ``column_count``; a
 line of cost zero loads if all its values are valid, else it is ``bad_value`` at
@@ -74,26 +74,27 @@ def repair(line: str, columns: int, delimiter: str = "\t") -> tuple[int, list[st
     """Least cost of reading a line as ``columns`` columns, and the edits.
 
     Dynamic programming over the characters: for each state the least cost of the
-    quote edits, ties broken by the state's order, with the edit chain kept as
-    back links. Columns are aligned afterwards: only their number matters, so
-    their edits are the difference.
+    quote edits and, at that cost, every number of columns that can be reached, each
+    with its edit chain as back links (ties: the first). Quote edits outweigh all
+    delimiter edits, so nothing dearer can win. Delimiter edits only correct the number
+    of columns; they don't change how the rest of the line is read.
     """
     inf = 1 << 60
-    # per state: cost, columns so far, edits as a linked list
-    best: list[tuple[int, int, tuple | None]] = [(0, 1, None), (inf, 0, None), (inf, 0, None), (inf, 0, None)]
+    # per state: cost, edits as a linked list by columns so far
+    best: list[tuple[int, dict[int, tuple | None]]] = [(0, {1: None}), (inf, {}), (inf, {}), (inf, {})]
     n = len(line)
     for i in range(n + 1):
         c = line[i] if i < n else None
-        new: list[tuple[int, int, tuple | None]] = [(inf, 0, None)] * 4
+        new: list[tuple[int, dict[int, tuple | None]]] = [(inf, {})] * 4
         prev = line[i - 1] if i else ""
 
         def go(to: int, cost: int, cols: int, edits: tuple | None) -> None:
             if cost < new[to][0]:
-                new[to] = (cost, cols, edits)
+                new[to] = (cost, {cols: edits})
+            elif cost == new[to][0]:
+                new[to][1].setdefault(cols, edits)
 
-        for state, (cost, cols, edits) in enumerate(best):
-            if cost >= inf:
-                continue
+        for state, cost, cols, edits in [(i, x, k, v) for i, (x, by) in enumerate(best) for k, v in by.items()]:
             if c is None:
                 if state == _QUOTED:
                     go(_AFTER, cost + 1, cols, (f"insert quote at {i}", edits))
@@ -124,7 +125,8 @@ def repair(line: str, columns: int, delimiter: str = "\t") -> tuple[int, list[st
             elif c == " ":
                 go(_AFTER, cost, cols, edits)
         best = new
-    cost, cols, edits = min(best, key=lambda x: x[0])
+    ends = [(x, k, v) for x, by in best for k, v in by.items()]
+    cost, cols, edits = min(ends, key=lambda x: (x[0], abs(columns - x[1])))
     steps: list[str] = []
     while edits:
         steps.append(edits[0])
