@@ -33,7 +33,9 @@ def _end_before_start(v: dict[str, str]) -> str:
 def _span_reversed(v: dict[str, str]) -> str:
     a, _, b = v["span"].partition("-")
     ok = all(x.isascii() and x.isdigit() for x in (a, b))
-    return "span" if ok and int(b) < int(a) else ""
+    # by length, then as text: int() has a limit of digits
+    a, b = a.lstrip("0"), b.lstrip("0")
+    return "span" if ok and (len(b), b) < (len(a), a) else ""
 
 
 PARITY = Layout(
