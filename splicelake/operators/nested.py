@@ -70,7 +70,10 @@ def shred(record: str | None, arrays: frozenset[str], wanted: frozenset[str] | N
         if done:
             return []
         if text is not None and state == "key":
-            stack[-1][4] = json.loads(text, strict=False)
+            try:
+                stack[-1][4] = json.loads(text, strict=False)
+            except ValueError:
+                return []
             state = "colon"
         elif mark == ":":
             if state != "colon":
@@ -96,7 +99,10 @@ def shred(record: str | None, arrays: frozenset[str], wanted: frozenset[str] | N
                 stack.append(["a", path, ords, 0, "", False])
         elif state == "value" and mark is None:
             path, ords, element = place()
-            val = None if word == "null" else json.loads(text, strict=False) if text is not None else word
+            try:
+                val = None if word == "null" else json.loads(text, strict=False) if text is not None else word
+            except ValueError:
+                return []
             if val is not None and not element and path in arrays:
                 path, ords, element = path + "[]", [*ords, 0], True
             if element or val is not None:
