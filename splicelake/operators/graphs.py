@@ -144,10 +144,12 @@ def widest_first_path(g: Graph, s: int, t: int, least: float) -> list[int] | Non
     return None
 
 
-def greedy_decomposition(edges: Sequence[tuple[int, int, float]], s: int = -1, t: int = -2, least: float = EPS, most: int = 10_000) -> list[tuple[list[int], float, float]]:
-    """Paths from source to sink taken off one after the other: (inner nodes, bottleneck, total after)."""
+def greedy_decomposition(edges: Sequence[tuple[int, int, float]], s: int = -1, t: int = -2, least: float = EPS, most: int | None = None) -> list[tuple[list[int], float, float]]:
+    """Paths from source to sink taken off one after the other: (inner nodes, bottleneck, total after).
+
+    Each path uses up an edge, so there are no more paths than edges; ``most`` stops earlier."""
     g, out, total = build(edges), [], 0.0
-    while len(out) < most:
+    while most is None or len(out) < most:
         path = widest_first_path(g, s, t, least)
         if path is None:
             break
@@ -317,7 +319,7 @@ def _edges(rows: Rows) -> list[tuple[int, int, float]]:
     return [(r["u"], r["v"], r["capacity"]) for r in rows]
 
 
-def decompose(capacities: DataFrame, keys: Sequence[str], least: float = EPS, most: int = 10_000) -> DataFrame:
+def decompose(capacities: DataFrame, keys: Sequence[str], least: float = EPS, most: int | None = None) -> DataFrame:
     """Greedy decomposition of every graph: keys, iter_idx, path, bottleneck, total_flow_after."""
 
     def run(rows: Rows):
