@@ -79,29 +79,38 @@ def scan_boundaries(depth: Sequence[float], window: int = 50, least: float = 10.
     the left; an end mirrors that with falls: many to the left. Nothing within ``margin`` of the
     edges or in spans of 150 or less; within ``apart`` bases only the strongest of a
     kind stays (ties: the first)."""
-    n = len(depth)
-    if n <= 150:
+    if len(depth) <= 150:
         return []
+    return _strongest(_change_points(depth, window, least, share, margin), apart)
+
+
+def _change_points(depth: Sequence[float], window: int = 50, least: float = 10.0, share: float = 0.1, margin: int = 25) -> list[tuple[int, str, float]]:
+    """All change points, near ones too."""
+    n = len(depth)
     up, down = [0.0] * (n + 1), [0.0] * (n + 1)
     for i in range(1, n):
         d = depth[i] - depth[i - 1]
         up[i + 1] = up[i] + max(d, 0.0)
         down[i + 1] = down[i] + max(-d, 0.0)
-    found: dict[str, list[tuple[int, str, float]]] = {"start": [], "end": []}
+    found: list[tuple[int, str, float]] = []
     for i in range(max(margin, 1), n - margin):
         a, b = max(i - window, 1), min(i + window, n)
         rise_l, rise_r = up[i] - up[a], up[b] - up[i]
         fall_l, fall_r = down[i] - down[a], down[b] - down[i]
         rise, fall = depth[i] - depth[i - 1], depth[i - 1] - depth[i]
         if rise > 0 and rise_r > least and rise_l < share * rise_r:
-            found["start"].append((i, "start", rise_r))
+            found.append((i, "start", rise_r))
         if fall > 0 and fall_l + fall > least and fall_r - fall < share * (fall_l + fall):
-            found["end"].append((i, "end", fall_l + fall))
-    out = []
-    for kind in ("start", "end"):
-        for p in sorted(found[kind], key=lambda x: (-x[2], x[0])):
-            if all(abs(p[0] - q[0]) > apart or q[1] != kind for q in out):
-                out.append(p)
+            found.append((i, "end", fall_l + fall))
+    return found
+
+
+def _strongest(points: Sequence[tuple[int, str, float]], apart: int = 100) -> list[tuple[int, str, float]]:
+    """Of points of a kind within ``apart`` bases the strongest (ties: the first)."""
+    out: list[tuple[int, str, float]] = []
+    for p in sorted(points, key=lambda x: (x[1] != "start", -x[2], x[0])):
+        if all(abs(p[0] - q[0]) > apart or q[1] != p[1] for q in out):
+            out.append(p)
     return sorted(out)
 
 
@@ -109,25 +118,27 @@ def node_boundaries(nodes: DataFrame, segments: DataFrame, keys: Sequence[str],
     """Change points inside every node: keys, node_start, pos, kind, strength.
 
     ``nodes``: keys, start, end. A node's coverage is expanded alone; nodes longer
-    than ``longest`` bases are scanned in overlapping pieces of that length."""
+    than ``longest`` bases are scanned in pieces of that length that see past their cuts;
+    near points are weighed over the whole node."""
     import numpy as np
 
-    keys = list(keys)
+    keys, apart = list(keys), options.pop("apart", 100)
+    halo = max(options.get("window", 50), options.get("margin", 25)) + 1
     hit = overlap_join(nodes.select(*keys, "start", "end"), segments.select(*keys, "start", "end", "depth"), keys)
     hit = hit.select(*keys, "start", "end", F.greatest("start", "r_start").alias("s"), F.least("end", "r_end").alias("e"), "r_depth")
 
     def run(rows: Rows):
         a, b = rows[0]["start"], rows[0]["end"]
-        seen = set()
-        for lo in range(a, b, longest):
-            hi = min(b, lo + longest + 400)
-            d = np.zeros(hi - lo)
+        found = []
+        for lo in range(a, b if b - a > 150 else a, longest):
+            hi = min(b, lo + longest)
+            u, v = max(a, lo - halo), min(b, hi + halo)
+            d = np.zeros(v - u)
             for r in rows:
-                d[max(r["s"], lo) - lo : max(min(r["e"], hi) - lo, 0)] = r["r_depth"]
-            for pos, kind, strength in scan_boundaries(d.tolist(), **options):
-                if (lo + pos, kind) not in seen:
-                    seen.add((lo + pos, kind))
-                    yield (*[rows[0][k] for k in keys], a, lo + pos, kind, strength)
+                d[max(r["s"], u) - u : max(min(r["e"], v) - u, 0)] = r["r_depth"]
+            found += [(u + p, kind, x) for p, kind, x in _change_points(d.tolist(), **options) if lo <= u + p < hi]
+        for pos, kind, strength in _strongest(found, apart):
+            yield (*[rows[0][k] for k in keys], a, pos, kind, strength)
 
     schema = f"{key_schema(nodes, keys)}, node_start bigint, pos bigint, kind string, strength double"
     return fold_groups(hit, [*keys, "start", "end"], ["s"], run, schema)
