@@ -1,51 +1,56 @@
 """Loading delimited lines, with the failing ones set aside and their reason.
 
-A line is parsed at minimum cost. The machine has the states *start of a
-column*, *plain*, *quoted* and *after the closing quote*; besides the moves of
-the format, which cost nothing, quotes may be inserted or deleted, and columns
-(delimiters) inserted or deleted at the end to reach the expected number. Quote edits weigh
-more than any number of delimiter edits, so the cost alone tells the reason:
-with a quote edit it is ``quoting``, with a delimiter edit ``column_count``; a
-line of cost zero loads if all its values are valid, else it is ``bad_value`` at
-the leftmost column at fault.
+A line is parsed at minimum cost by dynamic programming over its characters. The
+machine has the states *start of a column*, *plain*, *quoted*, *just closed* and
+*closed, blanks read*, each with the number of columns so far. Besides the moves of
+the format, which cost nothing, quotes may be inserted or deleted anywhere, and
+delimiters inserted or deleted; the latter correct the number of columns and don't
+change how the quotes of the line are read. A quote edit weighs more than any
+number of delimiter edits, so the edits state the reason: with a quote edit it is
+``quoting``, with delimiter edits only ``column_count``; a line of cost zero loads
+if all its values are valid, else it is ``bad_value`` at the leftmost column at fault.
+
+A line without any quote and of the right number of columns has cost zero by its
+delimiters alone; it is split by built-in expressions, and so are the types of all
+lines checked. Only the rest reaches Python.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BIG = 1 << 20
 """Cost of a quote edit, in delimiter edits."""
 
-_START, _PLAIN, _QUOTED, _AFTER = range(4)
+_START, _PLAIN, _QUOTED, _CLOSED, _AFTER = range(5)
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Columns of a delimited table: names, their patterns (None: any text) and a
-    check over all values that returns the column at fault or ''."""
+    """Columns of a delimited table: names, their patterns (none: any text) and further
+    tests, by the column at fault, on all values by name (true where at fault)."""
 
     columns: tuple[str, ...]
     patterns: dict[str, str] = field(default_factory=dict)
-    check: Callable[[dict[str, str]], str] | None = None
+    faults: dict[str, Callable[[dict[str, Column]], Column]] = field(default_factory=dict)
     delimiter: str = "\t"
 
 
 def scan(line: str, delimiter: str = "\t") -> list[str] | None:
-    """Values of a line by the moves that cost nothing, or None if they don't lead to its end."""
-    if '"' not in line:
-        return [x.strip(" ") for x in line.split(delimiter)]
+    """Values along the moves that cost nothing (at most one leads on from any state), or
+    None where they don't lead to the end of the line."""
     out, state, buf = [], _START, []
     for c in line:
         if state == _QUOTED:
             if c == '"':
-                state = _AFTER
+                state = _CLOSED
             else:
                 buf.append(c)
         elif c == delimiter:
@@ -53,137 +58,147 @@ def scan(line: str, delimiter: str = "\t") -> list[str] | None:
             buf, state = [], _START
         elif state == _START:
             if c == '"':
-                state, buf = _QUOTED, []
+                state = _QUOTED
             elif c != " ":
                 state = _PLAIN
                 buf.append(c)
         elif state == _PLAIN:
             buf.append(c)
-        elif c == '"' and last == '"':  # noqa: F821 - set after the first character
+        elif c == '"' and state == _CLOSED:
             state = _QUOTED
             buf.append(c)
-        elif c != " ":
+        elif c == " ":
+            state = _AFTER
+        else:
             return None
-        last = c
-    if state == _QUOTED:
-        return None
-    return [*out, "".join(buf).strip(" ")]
+    return None if state == _QUOTED else [*out, "".join(buf).strip(" ")]
 
 
 def repair(line: str, columns: int, delimiter: str = "\t") -> tuple[int, list[str]]:
     """Least cost of reading a line as ``columns`` columns, and the edits.
 
-    Dynamic programming over the characters: for each state the least cost of the
-    quote edits and, at that cost, every number of columns that can be reached, each
-    with its edit chain as back links (ties: the first). Quote edits outweigh all
-    delimiter edits, so nothing dearer can win. Delimiter edits only correct the number
-    of columns; they don't change how the rest of the line is read.
+    The number of columns never falls, so states beyond ``columns`` can't end well and are
+    left out: the work grows with the line alone. Runs of characters that all states read
+    alike are one step. Ties: no delimiter deleted,
+    then a quote closed rather than dropped.
     """
-    inf = 1 << 60
-    # per state: cost, edits as a linked list by columns so far
-    best: list[tuple[int, dict[int, tuple | None]]] = [(0, {1: None}), (inf, {}), (inf, {}), (inf, {})]
-    n = len(line)
-    for i in range(n + 1):
-        c = line[i] if i < n else None
-        new: list[tuple[int, dict[int, tuple | None]]] = [(inf, {})] * 4
-        prev = line[i - 1] if i else ""
-
-        def go(to: int, cost: int, cols: int, edits: tuple | None) -> None:
-            if cost < new[to][0]:
-                new[to] = (cost, {cols: edits})
-            elif cost == new[to][0]:
-                new[to][1].setdefault(cols, edits)
-
-        for state, cost, cols, edits in [(i, x, k, v) for i, (x, by) in enumerate(best) for k, v in by.items()]:
-            if c is None:
-                if state == _QUOTED:
-                    go(_AFTER, cost + 1, cols, (f"insert quote at {i}", edits))
-                else:
-                    go(state, cost, cols, edits)
-            elif state == _QUOTED:
-                if c == '"':
-                    go(_AFTER, cost, cols, edits)
-                    go(_QUOTED, cost + 1, cols, (f"insert quote at {i}", edits))
-                else:
-                    go(_QUOTED, cost, cols, edits)
-                    if c == delimiter:
-                        go(_START, cost + 1, cols + 1, (f"insert quote at {i}", edits))
-            elif c == delimiter:
-                go(_START, cost, cols + 1, edits)
-            elif state == _START:
-                if c == '"':
-                    go(_QUOTED, cost, cols, edits)
-                    go(_START, cost + 1, cols, (f"delete quote at {i}", edits))
-                else:
-                    go(_START if c == " " else _PLAIN, cost, cols, edits)
-            elif state == _PLAIN:
-                go(_PLAIN, cost, cols, edits)
-            elif c == '"':
-                if prev == '"':
-                    go(_QUOTED, cost, cols, edits)
-                go(_AFTER, cost + 1, cols, (f"delete quote at {i}", edits))
-            elif c == " ":
-                go(_AFTER, cost, cols, edits)
+    # best[state][columns so far]: cost and edits as a linked list
+    best: list[dict[int, tuple[int, tuple | None]]] = [{1: (0, None)}, {}, {}, {}, {}]
+    step = re.compile(f'"|{re.escape(delimiter)}| +|[^" {re.escape(delimiter)}]+')
+
+    def put(to: dict, c: int, cost: int, edits: tuple | None) -> None:
+        if c <= columns and (c not in to or cost < to[c][0]):
+            to[c] = (cost, edits)
+
+    def insert_quotes(at: int) -> None:
+        start, _, quoted, closed, _ = best
+        was = dict(quoted)
+        note = f"insert quote at {at}"
+        for x in (start, closed):
+            for c, (cost, e) in x.items():
+                put(quoted, c, cost + BIG, (note, e))
+        for c, (cost, e) in was.items():
+            put(closed, c, cost + BIG, (note, e))
+        for c, (cost, e) in start.items():
+            put(closed, c, cost + 2 * BIG, (note, (note, e)))
+
+    for m in step.finditer(line):
+        at, run = m.start(), m[0]
+        insert_quotes(at)
+        new: list[dict[int, tuple[int, tuple | None]]] = [{}, {}, {}, {}, {}]
+        for state in range(5):
+            for c, (cost, e) in best[state].items():
+                if run == '"':
+                    to = (_QUOTED, _PLAIN, _CLOSED, _QUOTED, None)[state]
+                    if to is not None:
+                        put(new[to], c, cost, e)
+                    put(new[state], c, cost + BIG, (f"delete quote at {at}", e))
+                elif run == delimiter and state != _QUOTED:
+                    put(new[_START], c + 1, cost, e)
+                    put(new[_START], c, cost + 1, ("", e))
+                elif run[0] == " ":
+                    put(new[_AFTER if state == _CLOSED else state], c, cost, e)
+                elif state in (_START, _PLAIN):
+                    put(new[_PLAIN], c, cost, e)
+                elif state == _QUOTED:
+                    put(new[_QUOTED], c, cost, e)
         best = new
-    ends = [(x, k, v) for x, by in best for k, v in by.items()]
-    cost, cols, edits = min(ends, key=lambda x: (x[0], abs(columns - x[1])))
+    insert_quotes(len(line))
+    # what is missing is inserted at the end: the place of a delimiter changes no cost
+    ends = [(cost + columns - c, -c, k, e) for k, s in enumerate((_CLOSED, _AFTER, _START, _PLAIN)) for c, (cost, e) in best[s].items()]
+    cost, c, _, edits = min(ends, key=lambda x: x[:3])
     steps: list[str] = []
+    cuts = 0
     while edits:
-        steps.append(edits[0])
+        if edits[0]:
+            steps.append(edits[0])
+        else:
+            cuts += 1
         edits = edits[1]
     steps.reverse()
-    gap = columns - cols
-    if gap:
-        steps.append(f"{'insert' if gap > 0 else 'delete'} {abs(gap)} delimiter{'s' * (abs(gap) > 1)}")
-    return cost * BIG + abs(gap), steps
-
-
-def judge(line: str | None, layout: Layout, compiled: dict[str, re.Pattern]) -> tuple[str, str, list[str] | None, str] | None:
-    """Reason, column at fault, values and edits of a line; None for a line that is no record."""
-    if line is None:
-        return None
-    if line.endswith("\r"):
-        line = line[:-1]
-    bare = line.strip(" \t\r\n")
-    if not bare or bare.startswith("#") or bare.lstrip('"').startswith(layout.columns[0]):
-        return None
-    values = scan(line, layout.delimiter)
-    if values is None or len(values) != len(layout.columns):
-        cost, steps = repair(line, len(layout.columns), layout.delimiter)
-        return ("quoting" if cost >= BIG else "column_count"), "", None, "; ".join(steps)
-    late = ""
-    if layout.check:
-        late = layout.check(dict(zip(layout.columns, values)))
-    for c, v in zip(layout.columns, values):
-        if c == late or (c in compiled and not compiled[c].fullmatch(v)):
-            return "bad_value", c, None, f"value {v[:80]!r}"
-    return "", "", values, ""
+    for what, k in (("delete", cuts), ("insert", columns + c)):
+        if k:
+            steps.append(f"{what} {k} delimiter{'s' * (k > 1)}")
+    return cost, steps
+
+
+def parse(line: str, columns: int, delimiter: str = "\t") -> tuple[int, list[str], list[str] | None]:
+    """Least cost, edits, and the values where it costs nothing: a path without edits is the
+    least there is, so only where none leads to the end are edits weighed."""
+    values = scan(line, delimiter)
+    if values is not None and len(values) == columns:
+        return 0, [], values
+    return *repair(line, columns, delimiter), None
+
+
+_PARSED = "cost bigint, edits string, vals array<string>"
+
+
+def _parser(columns: int, delimiter: str) -> Callable[[Column], Column]:
+    @F.pandas_udf(_PARSED)
+    def run(lines: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None) if x is None else (*(got := parse(x, columns, delimiter))[:1], "; ".join(got[1]), got[2]) for x in lines]
+        return pd.DataFrame(rows, columns=["cost", "edits", "vals"]).astype({"cost": "Int64"})
+
+    return run
 
 
 def judge_lines(df: DataFrame, layout: Layout, ident: str = "line_id", raw: str = "raw") -> DataFrame:
-    """One row per record line: ident, reason ('' if it loads), field, edits, and the
-    columns of the layout as strings (null unless it loads).
+    """One row per record line: ident, reason ('' if it loads), field, edits (the least
+    edits that mend it, '' where none are needed), and the columns of the layout as
+    strings (null unless it loads).
 
-    Null and blank lines, lines that start with ``#`` and header lines give no
-    row; repeated lines are judged each; other columns are not looked at.
+    A carriage return at the end and blanks around values don't count. Null and blank
+    lines, lines that start with ``#`` and header lines give no row; repeated lines are
+    judged each; other columns are not looked at. One pass, no shuffle.
     """
-    names = [f"v{i}" for i in range(len(layout.columns))]
-    schema = "__id long, reason string, field string, edits string, " + ", ".join(f"{x} string" for x in names)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = {c: re.compile(p, re.S) for c, p in layout.patterns.items()}
-        empty = [None] * len(names)
-        for b in batches:
-            rows = []
-            for i, line in zip(b["__id"], b["__raw"]):
-                got = judge(line, layout, compiled)
-                if got is not None:
-                    reason, at, values, edits = got
-                    rows.append((i, reason, at, edits, *(values or empty)))
-            yield pd.DataFrame(rows, columns=["__id", "reason", "field", "edits", *names])
-
-    base = df.select(F.col(ident).cast("long").alias("__id"), F.col(raw).alias("__raw")).where(F.col("__raw").isNotNull())
-    out = base.mapInPandas(run, schema)
-    return out.select(
-        F.col("__id").alias(ident), "reason", "field", "edits", *[F.col(a).alias(b) for a, b in zip(names, layout.columns)]
+    n, sep = len(layout.columns), layout.delimiter
+    text = F.col(raw).cast("string")
+    line = F.when(text.endswith("\r"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    bare = F.trim(F.col("__line"), F.lit(" \t\r\n"))
+    header = F.ltrim(bare, F.lit('"')).startswith(layout.columns[0])
+    base = df.select(F.col(ident).cast("long").alias("__id"), line.alias("__line")).where(F.col("__line").isNotNull())
+    parts = F.split("__line", f"\\Q{sep}\\E", -1)
+    base = base.where((bare != "") & ~bare.startswith("#") & ~header)
+    base = base.withColumn("__hard", F.contains("__line", F.lit('"')) | (F.size(parts) != n))
+    x = base.withColumn("__p", _parser(n, sep)(F.when(F.col("__hard"), F.col("__line"))))
+    plain = F.transform(parts, lambda v: F.trim(v, F.lit(" ")))
+    x = x.select(
+        "__id",
+        F.when(F.col("__hard"), F.col("__p.cost")).otherwise(F.lit(0)).alias("__cost"),
+        F.coalesce("__p.edits", F.lit("")).alias("edits"),
+        F.when(F.col("__hard"), F.col("__p.vals")).otherwise(plain).alias("__v"),
     )
+    value = {c: F.get("__v", F.lit(i)) for i, c in enumerate(layout.columns)}
+    at_fault = F.lit("")
+    for c in reversed(layout.columns):
+        tests = [~value[c].rlike(f"(?s)^(?:{layout.patterns[c]})\\z")] if c in layout.patterns else []
+        tests += [layout.faults[c](value)] if c in layout.faults else []
+        if tests:
+            at_fault = F.when(reduce(lambda a, b: a | b, tests), F.lit(c)).otherwise(at_fault)
+    loads = F.col("__cost") == 0
+    x = x.withColumn("field", F.when(loads, at_fault).otherwise(F.lit("")))
+    reason = F.when(F.col("__cost") >= BIG, "quoting").when(F.col("__cost") > 0, "column_count").when(F.col("field") != "", "bad_value").otherwise("")
+    x = x.withColumn("reason", reason)
+    kept = [F.when(F.col("reason") == "", value[c]).alias(c) for c in layout.columns]
+    return x.select(F.col("__id").alias(ident), "reason", "field", "edits", *kept)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splicelake.operators.islands import periods_and_gaps
@@ -24,18 +24,15 @@ _COUNT = "[0-9]{1,18}"
 _STRAND = "[+.-]"
 
 
-def _end_before_start(v: dict[str, str]) -> str:
-    s, e = v["start"], v["end"]
-    digits = all(x.isascii() and x.isdigit() and len(x) <= 18 for x in (s, e))
-    return "end" if digits and int(e) < int(s) else ""
+def _end_before_start(v: dict[str, Column]) -> Column:
+    digits = v["start"].rlike(f"^{_COUNT}$") & v["end"].rlike(f"^{_COUNT}$")
+    return digits & (v["end"].try_cast("long") < v["start"].try_cast("long"))
 
 
-def _span_reversed(v: dict[str, str]) -> str:
-    a, _, b = v["span"].partition("-")
-    ok = all(x.isascii() and x.isdigit() for x in (a, b))
-    # by length, then as text: int() has a limit of digits
-    a, b = a.lstrip("0"), b.lstrip("0")
-    return "span" if ok and (len(b), b) < (len(a), a) else ""
+def _span_reversed(v: dict[str, Column]) -> Column:
+    """By number of digits, then as text: a span may have more digits than any integer type."""
+    a, b = (F.ltrim(F.regexp_extract(v["span"], "^([0-9]+)-([0-9]+)$", k), F.lit("0")) for k in (1, 2))
+    return (F.length(b) < F.length(a)) | ((F.length(b) == F.length(a)) & (b < a))
 
 
 PARITY = Layout(
@@ -55,7 +52,7 @@ PARITY = Layout(
             )
         },
     },
-    check=_end_before_start,
+    faults={"end": _end_before_start},
 )
 
 CHAINS = Layout(
@@ -68,7 +65,7 @@ CHAINS = Layout(
         "exons": "exons=(?=0*[1-9])[0-9]{1,18}",
         "introns": f"introns={_COUNT}",
     },
-    check=_span_reversed,
+    faults={"span": _span_reversed},
 )
 
 LINES = {"compare_live_parity_to_backward": PARITY, "gtf_chain_audit": CHAINS}
@@ -130,6 +127,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def p3_edits(spark: SparkSession, d: str) -> DataFrame:
+    """The failing lines whose quotes or columns are wrong, with the least edits that mend them."""
+    parts = [x.where("edits <> ''").select("tbl", "line_id", "reason", "edits") for x in _judged(spark, d)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p3_parity_rows(spark: SparkSession, d: str) -> DataFrame:
     """The valid lines of compare_live_parity_to_backward, typed."""
     x = _judged(spark, d)[0].where("reason = ''")
@@ -183,6 +186,6 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("tbl", "chrom", "n_rows", "n_things", "total")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_parity_rows, p3_chain_rows, p4_found, p5_found, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_edits, p3_parity_rows, p3_chain_rows, p4_found, p5_found, p6_found)}
 
 from splicelake.plans.records_sql import ORACLES  # noqa: E402,F401
