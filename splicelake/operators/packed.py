@@ -1,19 +1,21 @@
 """Splitting several values packed in one field.
 
-A field is reduced to its *delimiter skeleton*: quoted stretches and runs of
-ordinary characters are masked, and of the delimiter runs that remain only the
-distinct ones are kept. Skeletons depend on the layouts in use, not on the
-number or content of the values, so there are few. A splitting rule is resolved
-once per distinct skeleton, joined back (broadcast while their number is
-within a checked bound, an ordinary join beyond it), and applied by positional
-extraction with built-in expressions.
+A field is reduced to its *delimiter skeleton*: values (runs of ordinary characters,
+and quoted stretches that stand where a value can stand) are masked, and the delimiter
+runs that remain are told apart by their place: before the first value, between
+values (each distinct run once), after the last. Skeletons depend on the layouts in
+use, not on the number or content of the values, so there are few. A splitting rule
+is resolved once per distinct skeleton: what to cut off in front and behind, which runs
+separate, and which quotes enclose values. Rules are joined back (broadcast while their
+number is within a checked bound, an ordinary join beyond it) and applied: the field is
+cut at the separators its rule names, so a value's position is that of its slot.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 from splicelake.session import spread
 
 BROADCAST_SKELETONS = 20_000
-"""Most skeletons (a short string and a small integer each) that are broadcast."""
+"""Most skeletons, with a short rule each, that are broadcast."""
+LONGEST_SKELETON = 1_000
+"""Longest skeleton, in characters, that is broadcast."""
 
 
 @dataclass(frozen=True)
@@ -44,66 +48,94 @@ SPANS = Packing(ordinary="0-9-", value="[0-9]+-[0-9]+")
 INTEGERS = Packing(ordinary="0-9", value="[0-9]+")
 NAMES = Packing(ordinary=r"^\s,;|/\"'\[\]{}", value=r"[^\s,;|/\"'\[\]{}]+", atomic=False)
 
-_QUOTED = r'"(?:[^"]|"")*"'
-_TICKED = r"'(?:[^']|'')*'"
-_MASK, _DOUBLE, _SINGLE = "a", "q", "s"
+# characters that stand for masked values: ordinary, double-quoted, single-quoted
+_PLAIN, _DOUBLE, _SINGLE = "\u0001", "\u0002", "\u0003"
+_MASKS = f"[{_PLAIN}{_DOUBLE}{_SINGLE}]"
+_PART, _SEP = "\u0004", "\u0005"
 
-# rule numbers
-NONE, BARE, QUOTES, TICKS, MIXED = 0, 1, 2, 3, 4
+
+@dataclass(frozen=True)
+class Rule:
+    """How fields of one skeleton are split: characters to cut off in front and behind,
+    the separators (a regex, null: the field is one value), and the regex of one slot
+    where quotes enclose values (null: slots are cut at the separators)."""
+
+    front: int
+    behind: int
+    separator: str | None
+    slot: str | None
+
+
+_RULE = "front int, behind int, sep string, slot string"
+
+
+def _body(packing: Packing) -> str:
+    """The regex class of the characters of an unquoted value; masks are none."""
+    masks = _PLAIN + _DOUBLE + _SINGLE
+    return f"[^{masks}{packing.ordinary[1:]}]" if packing.ordinary.startswith("^") else f"[{packing.ordinary}]"
+
+
+def _quoted(packing: Packing, q: str) -> str:
+    """A quoted stretch in the place of a value: no character of a value touches it."""
+    return f"(?<!{_body(packing)}){q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+{q}(?!{_body(packing)})"
+
+
+def _bare(packing: Packing) -> str:
+    """An unquoted value. A quote between its characters encloses nothing and belongs to it."""
+    body = _body(packing)
+    return f"{body}++" if packing.atomic else f"{body}++(?:[\"']++{body}++)*+"
 
 
 def skeleton(field: Column, packing: Packing) -> Column:
-    """The delimiter skeleton of a field: its distinct delimiter runs with masks."""
+    """The delimiter skeleton of a field: kinds of values, the delimiter runs before, after
+    and between them, the latter distinct and in order."""
     x = field
     if not packing.atomic:
-        x = F.regexp_replace(x, _QUOTED, "\u0001")
-        x = F.regexp_replace(x, _TICKED, "\u0002")
-    # runs of ordinary characters, kept apart from the masks of quoted stretches
-    body = packing.ordinary
-    body = body[:1] + "\u0001\u0002" + body[1:] if body.startswith("^") else body
-    runs = F.regexp_replace(x, f"[{body}]+", "\u0003")
-    pieces = F.regexp_extract_all(runs, F.lit("[\u0001\u0002\u0003]|[^\u0001\u0002\u0003]+"), F.lit(0))
-    return F.translate(F.array_join(F.array_sort(F.array_distinct(pieces)), "\u0004"), "\u0001\u0002\u0003", "qsa")
-
-
-def resolve_rule(sk: str, atomic: bool) -> int:
-    """Splitting rule of a skeleton.
-
-    Without masks there is no value. Atomic values need no quote handling.
-    Otherwise the rule names the quotes that enclose values; a stray quote that
-    closes nothing is a separator like any other.
-    """
-    kinds = {p for p in sk.split("\u0004") if p in (_MASK, _DOUBLE, _SINGLE)}
+        x = F.regexp_replace(x, _quoted(packing, '"'), _DOUBLE)
+        x = F.regexp_replace(x, _quoted(packing, "'"), _SINGLE)
+    runs = F.regexp_replace(x, _bare(packing), _PLAIN)
+    between = F.split(runs, _MASKS, -1)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(runs, F.lit(_MASKS), F.lit(0)))), "")
+    n = F.size(between)
+    seps = F.array_join(F.array_sort(F.array_distinct(F.slice(between, F.lit(2), F.greatest(n - 2, F.lit(0))))), _SEP)
+    return F.concat_ws(_PART, kinds, F.get(between, F.lit(0)), F.when(n > 1, F.try_element_at(between, F.lit(-1))).otherwise(""), seps)
+
+
+def resolve_rule(sk: str, packing: Packing) -> Rule | None:
+    """The splitting rule of a skeleton; None where it holds no value.
+
+    Delimiters before the first and after the last value are cut off. Every run that
+    stands between two values separates, the longest first, so that one run is never
+    taken for a shorter one with an empty place behind it. Where quotes enclose values,
+    separators may stand inside them, so slots are described instead."""
+    kinds, front, behind, seps = sk.split(_PART)
     if not kinds:
-        return NONE
-    if atomic or kinds == {_MASK}:
-        return BARE
-    if _SINGLE not in kinds:
-        return QUOTES
-    if _DOUBLE not in kinds:
-        return TICKS
-    return MIXED
+        return None
+    runs = sorted(seps.split(_SEP), key=lambda x: (-len(x), x)) if seps else []
+    sep = "|".join(re.escape(x) for x in runs) or None
+    if kinds == _PLAIN and (packing.atomic or not set("\"'") & set(seps)):
+        return Rule(len(front), len(behind), sep, None)
+    ways = [_quoted(packing, q) for k, q in ((_DOUBLE, '"'), (_SINGLE, "'")) if k in kinds]
+    return Rule(0, 0, None, "|".join([*ways, _bare(packing)]))
 
 
-def _rules(atomic: bool):
+def _rules(packing: Packing):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rules = [resolve_rule(x, atomic) for x in b["__sk"]]
-            yield pd.DataFrame({"__sk": b["__sk"], "__rule": pd.Series(rules, dtype="int32")})
+            rows = [(x, *astuple(r)) for x in b["__sk"] if (r := resolve_rule(x, packing))]
+            yield pd.DataFrame(rows, columns=["__sk", "front", "behind", "sep", "slot"]).astype({"front": "int32", "behind": "int32"})
 
     return run
 
 
-def _extract(field: Column, rule: Column, packing: Packing) -> Column:
-    """Values in order, by rule."""
-    v = packing.value
-    bare = F.regexp_extract_all(field, F.lit(v), F.lit(0))
+def _extract(field: Column, packing: Packing) -> Column:
+    """Values in order, by the rule in the columns front, behind, sep and slot."""
+    inner = F.substring(field, F.col("front") + 1, F.length(field) - F.col("front") - F.col("behind"))
+    cut = F.when(F.col("sep").isNull(), F.array(inner)).otherwise(F.split(inner, F.col("sep"), -1))
     if packing.atomic:
-        return F.when(rule == BARE, bare)
-    pats = {QUOTES: f"{_QUOTED}|{v}", TICKS: f"{_TICKED}|{v}", MIXED: f"{_QUOTED}|{_TICKED}|{v}"}
-    out = F.when(rule == BARE, bare)
-    for k, p in pats.items():
-        out = out.when(rule == k, F.regexp_extract_all(field, F.lit(p), F.lit(0)))
+        # what stands in a slot and is no value is left out, as is an empty place
+        return F.filter(cut, lambda v: v.rlike(f"^(?:{packing.value})$"))
+    slots = F.when(F.col("slot").isNull(), cut).otherwise(F.regexp_extract_all(field, F.col("slot"), F.lit(0)))
 
     def clean(x: Column) -> Column:
         q = F.substring(x, 1, 1)
@@ -115,15 +147,15 @@ def _extract(field: Column, rule: Column, packing: Packing) -> Column:
             .otherwise(x)
         )
 
-    return F.transform(out, clean)
+    return F.filter(F.transform(slots, clean), lambda v: ~v.isin("", "-", "."))
 
 
 def split_packed(df: DataFrame, ident: str, field: str, packing: Packing) -> DataFrame:
     """One row (ident, pos, val) per value of ``field``, pos counting from 1.
 
-    Null, blank, ``-`` and ``.`` fields hold no value; empty places are left
-    out and don't count; other columns are not looked at. Rows with equal
-    ident are split independently.
+    Null, blank, ``-`` and ``.`` fields hold no value; empty places, and what stands
+    in a place and is no value, are left out and don't count; other columns are not
+    looked at. Rows with equal ident are split independently.
     """
     f = F.trim(F.col(field).cast("string"))
     base = (
@@ -133,15 +165,15 @@ def split_packed(df: DataFrame, ident: str, field: str, packing: Packing) -> Dat
         .withColumn("__sk", F.coalesce(skeleton(F.col("__f"), packing), F.lit("")))
     )
     known = base.select("__sk").distinct()
-    few = [r[0] for r in known.limit(BROADCAST_SKELETONS + 1).collect()]
-    if len(few) <= BROADCAST_SKELETONS:
-        rows = [(sk, resolve_rule(sk, packing.atomic)) for sk in few]
-        rules = F.broadcast(df.sparkSession.createDataFrame(rows, "__sk string, __rule int"))
+    # a long skeleton (a field that is no packing) comes as null
+    short = known.select(F.when(F.length("__sk") <= LONGEST_SKELETON, F.col("__sk")))
+    few = [r[0] for r in short.limit(BROADCAST_SKELETONS + 1).collect()]
+    if len(few) <= BROADCAST_SKELETONS and None not in few:
+        rows = [(sk, *astuple(r)) for sk in few if (r := resolve_rule(sk, packing))]
+        rules = F.broadcast(df.sparkSession.createDataFrame(rows, f"__sk string, {_RULE}"))
     else:
-        rules = known.mapInPandas(_rules(packing.atomic), "__sk string, __rule int")
-    parts = base.join(rules, "__sk").select("__id", _extract(F.col("__f"), F.col("__rule"), packing).alias("__v"))
-    if not packing.atomic:
-        parts = parts.withColumn("__v", F.filter("__v", lambda x: ~x.isin("", "-", ".")))
+        rules = known.mapInPandas(_rules(packing), f"__sk string, {_RULE}")
+    parts = base.join(rules, "__sk").select("__id", _extract(F.col("__f"), packing).alias("__v"))
     # the outer form keeps the optimiser from testing the extracted array beforehand
     rows = parts.select(F.col("__id").alias(ident), F.posexplode_outer("__v").alias("__p", "val")).where("val IS NOT NULL")
     return rows.select(ident, (F.col("__p") + 1).alias("pos"), "val")

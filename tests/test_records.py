@@ -10,7 +10,7 @@ from conftest import rows
 from splicelake.operators import logs
 from splicelake.operators.islands import periods_and_gaps
 from splicelake.operators.nested import path_triples, pivot_ancestor, shred
-from splicelake.operators.packed import INTEGERS, NAMES, SPANS, split_one, split_packed
+from splicelake.operators.packed import INTEGERS, NAMES, SPANS, Rule, resolve_rule, split_one, split_packed
 from splicelake.operators.rejects import BIG, judge_lines, repair, scan
 from splicelake.operators.skew import heavy_keys, per_key_report
 from splicelake.plans.records import CHAINS, PARITY
@@ -211,6 +211,33 @@ def test_split_names(spark):
         assert split_one(f, NAMES) == [v for j, _, v in want if j == i]
 
 
+def test_the_rule_splits(spark):
+    """Where the place of a delimiter matters, plain matching of values goes wrong."""
+    names = ["x'1,y'2", "'x,1',y", '"a ""b"", c";d', 'x"1;2"y', "a,'b;c'd", '"a","b', "'p;q' 'r'"]
+    df = spark.createDataFrame(list(enumerate(names)), "row_id long, f string")
+    got = {}
+    for i, _, v in rows(split_packed(df, "row_id", "f", NAMES)):
+        got.setdefault(i, []).append(v)
+    assert got == {0: ["x'1", "y'2"], 1: ["x,1", "y"], 2: ['a "b", c', "d"], 3: ['x"1', '2"y'], 4: ["a", "b", "c'd"], 5: ["a", "b"], 6: ["p;q", "r"]}
+    spans = [(1, "1-2-3,4-5"), (2, "7-,8-9"), (3, "(1-2)(3-4)"), (4, "x" * 5000 + "1-2")]
+    df = spark.createDataFrame(spans, "row_id long, f string")
+    assert rows(split_packed(df, "row_id", "f", SPANS)) == [(1, 1, "4-5"), (2, 1, "8-9"), (3, 1, "1-2"), (3, 2, "3-4"), (4, 1, "1-2")]
+
+
+def test_split_a_long_name(spark):
+    name = '"' + 'a ""b"" ' * 30_000 + '"'
+    df = spark.createDataFrame([(1, f"x,{name};y"), (2, ",".join(["1"] * 50_000))], "row_id long, f string")
+    got = rows(split_packed(df, "row_id", "f", NAMES).where("row_id = 1"))
+    assert [r[2] for r in got] == ["x", ('a "b" ' * 30_000).strip(), "y"]
+    assert split_packed(df, "row_id", "f", INTEGERS).where("row_id = 2").count() == 50_000
+
+
+def test_rules():
+    rule = resolve_rule("\u0001\u0004[\u0004]\u0004,\u0005, ", SPANS)
+    assert rule == Rule(1, 1, ",\\ |,", None)
+    assert resolve_rule("\u0004--\u0004\u0004", SPANS) is None
+
+
 def test_split_without_broadcast(spark, monkeypatch):
     from splicelake.operators import packed
 
