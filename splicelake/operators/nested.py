@@ -1,9 +1,10 @@
 """Deeply nested JSON records into related flat tables.
 
 A record is read once as a stream of tokens and leaves path-value-ordinal
-triples; nothing is materialised but the triples asked for. Triples whose paths
-share a repeated ancestor form one table: they are grouped by the ordinals of
-that ancestor and pivoted, each row keeping the ordinals of all its parents.
+triples; nothing is materialised but the triples asked for. Triples are grouped by
+the repeated ancestor their path names and by its ordinals, whatever ancestors there
+are, and each group is pivoted to one row of the ancestor's table, which keeps the
+ordinals of all its parents. All tables share one shuffle.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r'\s*(?:([{}\[\],:])|("(?:[^"\\]|\\.)*")|([^\s{}\[\],:"]+))', re.S)
+# one token: a mark, a string, a bare word, or a character that fits nowhere
+_TOKEN = re.compile(r'[{}\[\],:]|"[^"\\]*(?:\\.[^"\\]*)*"|[^\s{}\[\],:"]+|"', re.S)
+_WORD = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null")
 
 Triple = tuple[str, list[int], str | None]
 
@@ -37,95 +40,89 @@ def shred(record: str | None, arrays: frozenset[str], wanted: frozenset[str] | N
     if record is None:
         return []
     out: list[Triple] = []
-    # a frame: kind ('o' or 'a'), path, ordinals, position, key, bare
+    # above what is wanted paths are kept; below a path that leads to nothing wanted it is None
+    leads = None if wanted is None else {""} | {p[:i] for p in wanted for i in range(1, len(p) + 1) if p[i : i + 1] in ("", ".", "[")}
+    # a frame: whether an array, path, ordinals, position, key
     stack: list[list] = []
-    at, n = 0, len(record)
-    state, done = "value", False
+    top: list | None = None
+    state = "value"
 
-    def put(path: str, ords: list[int], val: str | None) -> None:
-        if wanted is None or path in wanted:
-            out.append((path, ords, val))
+    def text(token: str) -> str:
+        if token == '"':
+            raise ValueError("a string that is not closed")
+        return json.loads(token, strict=False) if "\\" in token else token[1:-1]
 
-    def place() -> tuple[str, list[int], bool]:
+    def place(bare: bool) -> tuple[str | None, list[int], bool]:
         """Path and ordinals of the value that begins now; whether it is an element."""
-        if not stack:
+        if top is None:
             return "", [], False
-        top = stack[-1]
-        if top[0] == "a":
-            path, ords, element = top[1] + "[]", [*top[2], top[3]], True
-            top[3] += 1
-        else:
-            path, ords, element = (top[1] + "." if top[1] else "") + top[4], top[2], False
+        path, ords, element = top[1], top[2], top[0]
+        if element:
+            at = top[3]
+            top[3] = at + 1
+            if path is not None:
+                path, ords = path + "[]", [*ords, at]
+        elif path is not None:
+            path = f"{path}.{top[4]}" if path else top[4]
+            if bare and path in arrays:
+                path, ords, element = path + "[]", [*ords, 0], True
+        if leads is not None and path not in leads:
+            path = None
         return path, ords, element
 
-    match = _TOKEN.match
-    while at < n:
-        m = match(record, at)
-        if m is None:
-            if record[at:].strip():
-                return []
-            break
-        at = m.end()
-        mark, text, word = m.groups()
-        if done:
-            return []
-        if text is not None and state == "key":
-            try:
-                stack[-1][4] = json.loads(text, strict=False)
-            except ValueError:
-                return []
-            state = "colon"
-        elif mark == ":":
-            if state != "colon":
-                return []
-            state = "value"
-        elif mark == "," and stack and state == "next":
-            state = "key" if stack[-1][0] == "o" else "value"
-        elif mark in ("}", "]") and stack and stack[-1][0] == ("o" if mark == "}" else "a") and state in ("next", "key", "value"):
-            stack.pop()
-            state, done = "next", not stack
-        elif state == "value" and mark in ("{", "["):
-            path, ords, element = place()
-            if mark == "{":
-                if not element and path in arrays:
-                    path, ords, element = path + "[]", [*ords, 0], True
-                if element:
-                    put(path, ords, None)
-                stack.append(["o", path, ords, 0, "", False])
-                state = "key"
+    try:
+        for token in map(itemgetter(0), _TOKEN.finditer(record)):
+            c = token[0]
+            if state in ("value", "first") and c not in "]},:":
+                if c == "{" or c == "[":
+                    path, ords, element = place(c == "{")
+                    if element and path is not None and (wanted is None or path in wanted):
+                        out.append((path, ords, None))
+                    top = [c == "[", path, ords, 0, ""]
+                    stack.append(top)
+                    state = "first" if c == "[" else "key0"
+                    continue
+                if c == '"':
+                    val = text(token)
+                elif _WORD.fullmatch(token):
+                    val = None if token == "null" else token
+                else:
+                    return []
+                path, ords, element = place(val is not None)
+                if path is not None and (element or val is not None) and (wanted is None or path in wanted):
+                    out.append((path, ords, val))
+                state = "next" if stack else "done"
+            elif c == '"' and state in ("key", "key0"):
+                top[4] = text(token)
+                state = "colon"
+            elif c == ":" and state == "colon":
+                state = "value"
+            elif c == "," and state == "next":
+                state = "value" if top[0] else "key"
+            elif stack and ((c == "]" and top[0] and state in ("next", "first")) or (c == "}" and not top[0] and state in ("next", "key0"))):
+                stack.pop()
+                top = stack[-1] if stack else None
+                state = "next" if stack else "done"
             else:
-                if element:
-                    put(path, ords, None)
-                stack.append(["a", path, ords, 0, "", False])
-        elif state == "value" and mark is None:
-            path, ords, element = place()
-            try:
-                val = None if word == "null" else json.loads(text, strict=False) if text is not None else word
-            except ValueError:
                 return []
-            if val is not None and not element and path in arrays:
-                path, ords, element = path + "[]", [*ords, 0], True
-            if element or val is not None:
-                put(path, ords, val)
-            state, done = "next", not stack
-        else:
-            return []
-    return out if done else []
+    except ValueError:
+        return []
+    return out if state == "done" else []
 
 
-_SHRED_SCHEMA = "__id long, __path string, __ords array<int>, __val string"
-_SHRED_ARROW = pa.schema([("__id", pa.int64()), ("__path", pa.string()), ("__ords", pa.list_(pa.int32())), ("__val", pa.string())])
+_SHRED_SCHEMA = "__id long, __seq int, __path string, __ords array<int>, __val string"
+_SHRED_ARROW = pa.schema([("__id", pa.int64()), ("__seq", pa.int32()), ("__path", pa.string()), ("__ords", pa.list_(pa.int32())), ("__val", pa.string())])
 
 
 def path_triples(df: DataFrame, ident: str, record: str, arrays: Iterable[str], wanted: Iterable[str] | None = None) -> DataFrame:
-    """Triples (__id, __path, __ords, __val) of all records."""
+    """Triples (__id, __seq, __path, __ords, __val) of all records; __seq counts within a record."""
     arr, want = frozenset(arrays), None if wanted is None else frozenset(wanted)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out += [(i, *t) for t in shred(r, arr, want)]
+                out += [(i, k, *t) for k, t in enumerate(shred(r, arr, want))]
                 if len(out) > 50_000:
                     yield _arrow(out)
                     out = []
@@ -136,61 +133,39 @@ def path_triples(df: DataFrame, ident: str, record: str, arrays: Iterable[str],
 
 
 def _arrow(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * 4
+    cols = list(zip(*rows)) if rows else [()] * 5
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SHRED_ARROW)], schema=_SHRED_ARROW)
 
 
-def pivot_ancestor(triples: DataFrame, ancestor: str, leaves: Sequence[str] = (), counts: Sequence[str] = ()) -> DataFrame:
-    """The table of one repeated ancestor (a path that ends in ``[]``).
+def pivot_paths(triples: DataFrame, leaves: Sequence[str] = (), children: Sequence[str] = ()) -> DataFrame:
+    """The rows of all tables: __id, ancestor, ords, value, a string column per leaf, and
+    ``n_<name>`` per child array (the number of its elements).
 
-    One row per element: __id, ords (positions of all arrays down to it), value
-    (a scalar element), one string column per leaf and ``n_<name>`` per counted
-    child array (the number of its elements).
-    """
-    depth = ancestor.count("[]")
-    leaf = {f"{ancestor}.{x}": x for x in leaves}
-    child = {f"{ancestor}.{x}[]": x for x in counts}
-    path, val = F.col("__path"), F.col("__val")
-    part = triples.where(path.isin(ancestor, *leaf, *child)).withColumn("ords", F.slice("__ords", 1, depth))
-    aggs = [F.first(F.when(path == p, val), ignorenulls=True).alias(x) for p, x in leaf.items()]
-    aggs += [F.count(F.when(path == p, 1)).alias(f"n_{x}") for p, x in child.items()]
-    return part.groupBy("__id", "ords").agg(F.first(F.when(path == ancestor, val), ignorenulls=True).alias("value"), *aggs)
-
-
-@dataclass(frozen=True)
-class Ancestor:
-    """One table to pivot: name, the repeated ancestor (a path that ends in ``[]``), a leaf
-    to take (None: the element itself) or a child array to count."""
-
-    name: str
-    path: str
-    leaf: str | None = None
-    count: str | None = None
-
-
-def pivot_all(triples: DataFrame, tables: Sequence[Ancestor]) -> DataFrame:
-    """Several tables pivoted in one pass over the triples.
-
-    Rows (__id, name, path, ords, value, n): ords are the positions down to the
-    element, value the leaf (or scalar) as text, n the number of counted children.
-    A triple joins each table of which its path is the ancestor, leaf or child; the
-    grouping key is (record, table, ancestor, ordinals), so one shuffle serves all.
+    The repeated ancestor of a triple is its path up to the last ``[]`` (none: the record
+    itself); what follows is the leaf's name. Which ancestors there are comes from the
+    paths. A row's ords are the positions of all arrays down to its element, so those of
+    its parent are the same without the last. ``value`` is a scalar element. Of a key
+    given twice the first counts; elements without any leaf have rows as well.
     """
-    roles: dict[str, list[tuple[str, str, int, int]]] = {}
-    for t in tables:
-        depth = t.path.count("[]")
-        roles.setdefault(t.path, []).append((t.name, t.path, depth, 1 if t.leaf is None and t.count is None else 0))
-        if t.leaf:
-            roles.setdefault(f"{t.path}.{t.leaf}", []).append((t.name, t.path, depth, 1))
-        if t.count:
-            roles.setdefault(f"{t.path}.{t.count}[]", []).append((t.name, t.path, depth, 2))
-    role = F.lit(None)
-    for path, rs in roles.items():
-        made = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("path"), F.lit(d).alias("depth"), F.lit(k).alias("kind")) for n, p, d, k in rs])
-        role = F.when(F.col("__path") == path, made).otherwise(role)
-    x = triples.select("__id", "__ords", "__val", F.explode(role).alias("r"))
-    x = x.select("__id", "r.name", "r.path", "r.kind", F.slice("__ords", F.lit(1), F.col("r.depth")).alias("ords"), "__val")
-    return x.groupBy("__id", "name", "path", "ords").agg(
-        F.first(F.when(F.col("kind") == 1, F.col("__val")), ignorenulls=True).alias("value"),
-        F.count(F.when(F.col("kind") == 2, 1)).alias("n"),
-    )
+    path, ords = F.col("__path"), F.col("__ords")
+    own = F.regexp_extract(path, r"^(.*\[\])", 1)
+    leaf = F.regexp_replace(F.substring(path, F.length(own) + 1, F.length(path)), r"^\.", "")
+    role = lambda anc, at, name, kind: F.struct(anc.alias("ancestor"), at.alias("ords"), name.alias("name"), F.lit(kind).alias("kind"))
+    roles = F.array(role(own, ords, leaf, 1))
+    if children:
+        # an element counts for the row of its parent, too
+        array = F.regexp_extract(path, r"^(.*)\[\]$", 1)
+        above = F.regexp_extract(array, r"^(.*\[\])", 1)
+        name = F.regexp_replace(F.substring(array, F.length(above) + 1, F.length(array)), r"^\.", "")
+        up = role(above, F.slice(ords, F.lit(1), F.greatest(F.size(ords) - 1, F.lit(0))), name, 2)
+        roles = F.when(path.endswith("[]") & name.isin(*children), F.concat(roles, F.array(up))).otherwise(roles)
+    x = triples.select("__id", "__seq", "__val", F.explode(roles).alias("r")).select("__id", "__seq", "__val", "r.*")
+    first = lambda n: F.min_by(F.when((F.col("kind") == 1) & (F.col("name") == n), F.col("__val")), F.when((F.col("kind") == 1) & (F.col("name") == n) & F.col("__val").isNotNull(), F.col("__seq")))
+    aggs = [first(n).alias(n) for n in leaves]
+    aggs += [F.count(F.when((F.col("kind") == 2) & (F.col("name") == n), 1)).alias(f"n_{n}") for n in children]
+    return x.groupBy("__id", "ancestor", "ords").agg(first("").alias("value"), *aggs)
+
+
+def pivot_ancestor(triples: DataFrame, ancestor: str, leaves: Sequence[str] = (), counts: Sequence[str] = ()) -> DataFrame:
+    """The table of one repeated ancestor (a path that ends in ``[]``): __id, ords, value, leaves, counts."""
+    return pivot_paths(triples, leaves, counts).where(F.col("ancestor") == ancestor).drop("ancestor")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from splicelake.operators.islands import periods_and_gaps
 from splicelake.operators.logs import log_entries
-from splicelake.operators.nested import Ancestor, path_triples, pivot_all
+from splicelake.operators.nested import path_triples, pivot_paths
 from splicelake.operators.packed import INTEGERS, NAMES, SPANS, split_packed
 from splicelake.operators.rejects import Layout, judge_lines
 from splicelake.operators.skew import per_key_report
@@ -81,41 +81,49 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return log_entries(table(spark, d, "trace_decision_extract"))
 
 
-def _triples(spark: SparkSession, d: str) -> DataFrame:
-    arrays = {"graphs", "junctions"} | {f"{p}{a}" for p in ("", "graphs[].") for a in ("nodes", "transfrags", "transfrags[].node_ids")}
-    tops = ("", "graphs[].")
-    wanted = {"junctions[]", "junctions[].donor"} | {
-        p + x for p in tops for x in ("nodes[]", "nodes[].id", "transfrags[]", "transfrags[].node_ids[]")
-    }
+TOPS = ("", "graphs[].")
+
+
+def _triples(spark: SparkSession, d: str, wanted: set[str]) -> DataFrame:
+    arrays = {"graphs", "junctions"} | {f"{p}{a}" for p in TOPS for a in ("nodes", "transfrags", "transfrags[].node_ids")}
     return path_triples(spread(table(spark, d, SNAPSHOTS)), "snap_id", "record", arrays, wanted)
 
 
-def _long(c: str):
-    exact = F.expr(f"try_cast({c} AS decimal(38, 6))")
-    return F.coalesce(F.expr(f"try_cast({c} AS bigint)"), F.when(F.abs(exact) < F.lit(9 * 10**18), exact.cast("long")), F.lit(-1))
+def _long(c: Column) -> Column:
+    exact = c.try_cast("decimal(38, 6)")
+    return F.coalesce(c.try_cast("long"), F.when(F.abs(exact) < F.lit(9 * 10**18), exact.cast("long")), F.lit(-1))
+
+
+# tables by the name of the repeated ancestor
+CHILDREN = {"nodes": "node", "junctions": "junction", "transfrags": "transfrag", "node_ids": "transfrag_node"}
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    tables = [Ancestor("junction", "junctions[]", leaf="donor")]
-    for top in ("", "graphs[]."):
-        tables += [
-            Ancestor("node", f"{top}nodes[]", leaf="id"),
-            Ancestor("transfrag", f"{top}transfrags[]", count="node_ids"),
-            Ancestor("transfrag_node", f"{top}transfrags[].node_ids[]"),
-        ]
-    p = pivot_all(_triples(spark, d), tables)
+    wanted = {"junctions[]", "junctions[].donor"} | {p + x for p in TOPS for x in ("nodes[]", "nodes[].id", "transfrags[]", "transfrags[].node_ids[]")}
+    p = pivot_paths(_triples(spark, d, wanted), leaves=("id", "donor"), children=("node_ids",))
+    last = F.regexp_extract("ancestor", r"([^.\[]+)\[\]$", 1)
+    child = F.coalesce(*[F.when(last == k, v) for k, v in CHILDREN.items()])
     none, at = F.lit(-1), lambda k: F.element_at("ords", k)
-    nested = F.col("name") == "transfrag_node"
-    return p.select(
+    value = F.when(F.col("child") == "node", F.col("id")).when(F.col("child") == "junction", F.col("donor")).otherwise(F.col("value"))
+    return p.withColumn("child", child).where("child IS NOT NULL").select(
         F.col("__id").alias("snap_id"),
-        F.col("name").alias("child"),
-        F.when(F.col("path").startswith("graphs[]"), at(1)).otherwise(none).alias("graph_pos"),
-        F.when(nested, at(-2)).otherwise(none).alias("parent_pos"),
+        "child",
+        F.when(F.col("ancestor").startswith("graphs[]"), at(1)).otherwise(none).alias("graph_pos"),
+        F.when(F.col("child") == "transfrag_node", at(-2)).otherwise(none).alias("parent_pos"),
         at(-1).alias("pos"),
-        F.when(F.col("name") == "transfrag", F.col("n")).otherwise(_long("value")).alias("val"),
+        F.when(F.col("child") == "transfrag", F.col("n_node_ids")).otherwise(_long(value)).alias("val"),
     )
 
 
+def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The table of nodes with all its columns, as text; absent or null parts are null."""
+    leaves = ("id", "start", "end", "cov", "hardstart", "hardend")
+    wanted = {f"{p}nodes[]{x}" for p in TOPS for x in ("", *[f".{n}" for n in leaves])}
+    p = pivot_paths(_triples(spark, d, wanted), leaves).where(F.col("ancestor").endswith("nodes[]"))
+    graph = F.when(F.size("ords") > 1, F.element_at("ords", 1)).otherwise(F.lit(-1))
+    return p.select(F.col("__id").alias("snap_id"), graph.alias("graph_pos"), F.element_at("ords", -1).alias("pos"), *leaves)
+
+
 def _judged(spark: SparkSession, d: str) -> list[DataFrame]:
     return [
         judge_lines(spread(table(spark, d, t)), layout).withColumn("tbl", F.lit(t)) for t, layout in LINES.items()
@@ -186,6 +194,6 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("tbl", "chrom", "n_rows", "n_things", "total")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_edits, p3_parity_rows, p3_chain_rows, p4_found, p5_found, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_nodes, p3_found, p3_edits, p3_parity_rows, p3_chain_rows, p4_found, p5_found, p6_found)}
 
 from splicelake.plans.records_sql import ORACLES  # noqa: E402,F401

@@ -43,6 +43,11 @@ SELECT snap_id, 'transfrag_node', graph_pos, pos, (u.p - 1)::INT, coalesce(try_c
 FROM tf, LATERAL (SELECT unnest(ids) AS x, unnest(range(1, len(ids) + 1)) AS p) u
 """
 
+P2_NODES = P2[: P2.index(", tf AS (")] + """
+SELECT snap_id, graph_pos, pos, x->>'$.id' AS id, x->>'$.start' AS start, x->>'$.end' AS "end", x->>'$.cov' AS cov,
+  x->>'$.hardstart' AS hardstart, x->>'$.hardend' AS hardend FROM els WHERE name = 'nodes'
+"""
+
 _PARITY_BAD = """CASE
  WHEN NOT regexp_full_match(v[1], 'LOCG\\.[0-9]+') THEN 'gene_id'
  WHEN NOT regexp_full_match(v[3], '[0-9]{1,18}') THEN 'start'
@@ -165,5 +170,5 @@ SELECT 'ggo19_needy_next5_run_strg_29', chrom, count(*), count(DISTINCT struct_h
 FROM ggo19_needy_next5_run_strg_29 WHERE chrom IS NOT NULL GROUP BY chrom"""
 
 ORACLES = {
-    "p2_found": P2, "p3_found": P3, "p3_parity_rows": P3_PARITY, "p3_chain_rows": P3_CHAINS, "p4_found": P4, "p5_found": P5, "p6_found": P6,
+    "p2_found": P2, "p2_nodes": P2_NODES, "p3_found": P3, "p3_parity_rows": P3_PARITY, "p3_chain_rows": P3_CHAINS, "p4_found": P4, "p5_found": P5, "p6_found": P6,
 }

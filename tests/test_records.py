@@ -9,7 +9,7 @@ from conftest import rows
 
 from splicelake.operators import logs
 from splicelake.operators.islands import periods_and_gaps
-from splicelake.operators.nested import path_triples, pivot_ancestor, shred
+from splicelake.operators.nested import path_triples, pivot_ancestor, pivot_paths, shred
 from splicelake.operators.packed import INTEGERS, NAMES, SPANS, Rule, resolve_rule, split_one, split_packed
 from splicelake.operators.rejects import BIG, judge_lines, repair, scan
 from splicelake.operators.skew import heavy_keys, per_key_report
@@ -104,6 +104,10 @@ def test_shred():
     ]
     assert shred('{"a": {"b": []}}', arrays) == [("a[]", [0], None)]
     assert shred('{"a": null}', arrays) == []
+    for bad in ('{"a": [1, 2,]}', '{"a": 1,}', '{"a": foo}', '{"a": 01}', '{"a": [1,,2]}', '{,}', '[,1]', '{"a"}', '{"a":}', '"', '{"x": "y}', "1 2", "{}{}", "]"):
+        assert shred(bad, arrays) == [], bad
+        assert shred(bad, arrays, frozenset({"b"})) == [], bad
+    assert shred('{"a": [{"b": 1}, {"b": {"c": 2}}], "d": {"a": 3}}', arrays, frozenset({"a[].b[]"})) == [("a[].b[]", [0, 0], "1"), ("a[].b[]", [1, 0], None)]
     for bad in (None, "", "{", '{"a": [1,}', '{"a": 1} x', "[1", '{"a" 1}', '{"a": [1 2]}', "{'a': 1}"):
         assert shred(bad, arrays) == [], bad
     assert shred('{"a": ["]", "}"]}', arrays) == [("a[]", [0], "]"), ("a[]", [1], "}")]
@@ -116,6 +120,20 @@ def test_pivot(spark):
     assert rows(pivot_ancestor(t, "a[].b[]")) == [(1, [0, 0], "1"), (1, [0, 1], "2")]
 
 
+def test_pivot_of_all_paths(spark):
+    """Ancestors come from the paths; of a key given twice the first counts."""
+    rec = '{"t": "top", "a": [{"k": 1, "k": 2, "b": [{"k": "x"}, {}]}, 7], "c": {"d": [{"k": "y"}]}}'
+    df = spark.createDataFrame([(1, rec), (1, rec)], "id long, rec string")
+    t = path_triples(df.limit(1), "id", "rec", [])
+    got = rows(pivot_paths(t, ["k", "t"], ["a", "b", "d"]))
+    assert got == rows_of(
+        [
+            (1, "", [], None, None, "top", 2, 0, 0), (1, "a[]", [0], None, "1", None, 0, 2, 0), (1, "a[]", [1], "7", None, None, 0, 0, 0),
+            (1, "a[].b[]", [0, 0], None, "x", None, 0, 0, 0), (1, "a[].b[]", [0, 1], None, None, None, 0, 0, 0), (1, "c.d[]", [0], None, "y", None, 0, 0, 0),
+        ]
+    )
+
+
 # rejects -------------------------------------------------------------------------------
 
 
