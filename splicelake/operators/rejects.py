@@ -183,12 +183,13 @@ def judge_lines(df: DataFrame, layout: Layout, ident: str = "line_id", raw: str
     base = base.withColumn("__hard", F.contains("__line", F.lit('"')) | (F.size(parts) != n))
     x = base.withColumn("__p", _parser(n, sep)(F.when(F.col("__hard"), F.col("__line"))))
     plain = F.transform(parts, lambda v: F.trim(v, F.lit(" ")))
-    x = x.select(
-        "__id",
+    parsed = F.struct(
         F.when(F.col("__hard"), F.col("__p.cost")).otherwise(F.lit(0)).alias("__cost"),
         F.coalesce("__p.edits", F.lit("")).alias("edits"),
         F.when(F.col("__hard"), F.col("__p.vals")).otherwise(plain).alias("__v"),
     )
+    # one generated row each: filters on the result stay above, so a line is parsed once
+    x = x.select("__id", F.explode(F.array(parsed)).alias("__r")).select("__id", "__r.*")
     value = {c: F.get("__v", F.lit(i)) for i, c in enumerate(layout.columns)}
     at_fault = F.lit("")
     for c in reversed(layout.columns):
