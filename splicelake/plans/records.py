@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splicelake.operators.islands import periods_and_gaps
-from splicelake.operators.logs import log_entries
+from splicelake.operators.logs import line_kinds, log_entries
 from splicelake.operators.nested import path_triples, pivot_paths
 from splicelake.operators.packed import INTEGERS, NAMES, SPANS, split_packed
 from splicelake.operators.rejects import Layout, judge_lines
@@ -81,6 +81,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return log_entries(table(spark, d, "trace_decision_extract"))
 
 
+def p1_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines by layout, and those that look like a header but are of no known layout."""
+    return line_kinds(table(spark, d, "trace_decision_extract"))
+
+
 TOPS = ("", "graphs[].")
 
 
@@ -194,6 +199,6 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("tbl", "chrom", "n_rows", "n_things", "total")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_nodes, p3_found, p3_edits, p3_parity_rows, p3_chain_rows, p4_found, p5_found, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_layouts, p2_found, p2_nodes, p3_found, p3_edits, p3_parity_rows, p3_chain_rows, p4_found, p5_found, p6_found)}
 
 from splicelake.plans.records_sql import ORACLES  # noqa: E402,F401

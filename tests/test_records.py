@@ -34,6 +34,11 @@ LINES = [
     ("--- f: KEEP n=2", (-1, "", "f", "KEEP n=2")),
     ('ts=2026-01-05T03:03:05.950-05:00 lvl=warning comp=iso msg="say \\"hi\\"  now" dur=3', (us(2026, 1, 5, 8, 3, 5) + 950000, "WARN", "iso", 'say "hi" now')),
     ('{"ts":1767602632308,"ctx":{"level":2,"msg":"no"},"lvl":"I","comp":"p","msg":"a\\n\\tb \\u00e9"}', (1767602632308000, "INFO", "p", "a b é")),
+    ("2026-01-05 10:00:00 INFO comp: msg", (us(2026, 1, 5, 10), "INFO", "comp", "msg")),
+    ("2026-01-05 10:00:00,250 - a.b - WARNING - msg", (us(2026, 1, 5, 10) + 250000, "WARN", "a.b", "msg")),
+    ("Jan  5 10:00:00 host prog[12]: msg", (-1, "", "prog", "msg")),
+    ("Feb 29 10:00:00 host prog: msg", (-1, "", "prog", "msg")),
+    ("ts=x lvl=info msg=a", (-1, "INFO", "", "a")),
     ('{"message": "m", "time": "2026-01-05T10:53:29.930Z", "component": "z", "level": "trace"}', (us(2026, 1, 5, 10, 53, 29) + 930000, "TRACE", "z", "m")),
 ]
 
@@ -48,7 +53,8 @@ def test_layouts(line, want):
 
 
 @pytest.mark.parametrize(
-    "line", ["", " [a] x", "exons: 1-2; 3-4", "Caused by: x", "... 3 more", "| 1 | 2 |", "}", "99.99.2026 10:00:00.0 | INFO | x | y", "2026-01-05 11:36:41,000 LOUD [a] b", "t=133 mode=x"]
+    "line", ["", " [a] x", "exons: 1-2; 3-4", "Caused by: x", "... 3 more", "| 1 | 2 |", "}", "99.99.2026 10:00:00.0 | INFO | x | y", "2026-01-05 11:36:41,000 LOUD [a] b", "t=133 mode=x",
+             "{ not json", '{"a": 1}', "{", "[1,2,3]", "ts=x", "[1] x", "Jan 32 10:00:00 h p: m", "Jan  5 10:00:00 h p[x]: m", "Jan  5 10:00:00 h p[12: m"]
 )
 def test_no_header(line):
     assert not logs.is_header(line)
@@ -81,6 +87,24 @@ def test_entries(spark):
     assert logs.log_entries(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("base", [1, logs.BLOCK - 2, logs.BLOCK - 1, logs.BLOCK])
+def test_lookahead(spark, base):
+    """An object over several lines is a header if a known name follows soon, wherever blocks end."""
+    texts = ["[A] one", "{", '  "ctx": {', '    "x": 1', "  },", "", '  "msg": "two"', "}", "{", '  "payload": 1', "}", "{ open", '{"x": {', '"msg": "three"', "}}"]
+    data = [("r", base + i, i, x) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(data, "run_id string, line_no int, line_id long, raw string")
+    got = [(r.line_no - base, r.component, r.message) for r in logs.log_entries(df).orderBy("line_no").collect()]
+    assert got == [(0, "A", "one"), (1, "", 'two { "payload": 1 } { open'), (12, "", "")]
+    kinds = {r.kind: r.n_lines for r in logs.line_kinds(df).collect()}
+    assert kinds == {"tag": 1, "object": 2, "continues": 12}
+
+
+def test_unknown_layouts_are_counted(spark):
+    lines = ["[A] x", "2026/01/05 10:00:00 something", "2026-01-05 10:00:00 LOUD y", "  2026-01-05 10:00:00 quoted", None]
+    df = spark.createDataFrame([("r", i, i, x) for i, x in enumerate(lines)], "run_id string, line_no int, line_id long, raw string")
+    assert {r.kind: r.n_lines for r in logs.line_kinds(df).collect()} == {"tag": 1, "unknown time": 2, "continues": 2}
+
+
 def rows_of(x):
     return sorted(x, key=repr)
 
