@@ -8,6 +8,17 @@ table on blocks of two words skips positions where no pattern can end, the
 suffix block selects a bucket, and the bucket is compared directly. Each hit is
 then extended to both sides, furthest-reaching by number of edits, which decides
 exactly whether it belongs to a passage.
+
+A passage of more than ``FAR`` words can be cut between two words that agree into two of
+at least ``LEAST`` (an edit spoils at most two of the cuts), and one of both has no
+more than one edit in ten. So a passage of at most ``FAR`` words lies in each, and an
+extension needs no more than ``FAR // PER_EDIT`` edits, however long item and document are.
+
+Items are the stated query set. While they are few (``ITEM_CHARS``, measured), one matcher
+goes to all executors and documents are read once, without a shuffle. Beyond that the
+runs of items and documents are joined by hash, a bitmap of fixed size holding back
+those of documents that no item has; only documents left by this join are searched,
+block by block of items.
 """
 
 from __future__ import annotations
@@ -16,16 +27,23 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splicelake.llm.normal import folded
-from splicelake.session import spread
+from splicelake.session import cut, spread
 
 LEAST, PER_EDIT, SEED = 18, 10, 6
-ITEM_CHARS = 20_000_000
-"""Characters of items searched at once; more items are searched in blocks."""
+FAR = 60
+ITEM_CHARS = 2_000_000
+"""Characters of items in one matcher."""
+BITMAP_BITS = 27
+"""Binary logarithm of the bits of the bitmap: 16 MB."""
+KNOWN, SHORT = 300_000, 40
+"""Most pieces between white space remembered by a worker, and their longest."""
 
 
 class _Letters(dict):
@@ -42,9 +60,25 @@ class _Letters(dict):
 _LETTERS = _Letters()
 
 
+_SEEN: dict[str, list[str]] = {}
+
+
 def words(text: str | None) -> list[str]:
-    """Words of a text: case, punctuation, emphasis, quotes and white space don't count."""
-    return folded(text).translate(_LETTERS).split() if text else []
+    """Words of a text: case, punctuation, emphasis, quotes and white space don't count.
+
+    Nothing composes across white space, so pieces between it are read one by one, each
+    distinct one once."""
+    out: list[str] = []
+    for piece in (text or "").split():
+        got = _SEEN.get(piece)
+        if got is None:
+            got = folded(piece).translate(_LETTERS).split()
+            if len(piece) <= SHORT:
+                if len(_SEEN) >= KNOWN:
+                    _SEEN.clear()
+                _SEEN[piece] = got
+        out += got
+    return out
 
 
 @dataclass
@@ -108,10 +142,12 @@ class Matcher:
         e, f = p + SEED, d + SEED
         while e < len(item) and f < len(doc) and item[e] == doc[f]:
             e, f = e + 1, f + 1
-        most = len(item) // PER_EDIT
-        right = _reach(item, e, doc, f, most)
-        left = _reach(item[::-1], len(item) - a, doc[::-1], len(doc) - b, most)
         run = e - a
+        if run >= LEAST:
+            return True, f
+        most = min(len(item), FAR) // PER_EDIT
+        right = _reach(item, e, doc, f, most, 1)
+        left = _reach(item, a - 1, doc, b - 1, most, -1)
         for x, lx in enumerate(left):
             for y, ry in enumerate(right):
                 if run + lx + ry >= max(LEAST, PER_EDIT * (x + y)):
@@ -119,12 +155,14 @@ class Matcher:
         return False, f
 
 
-def _reach(item: list[int], p: int, doc: list[int], d: int, most: int) -> list[int]:
-    """Most words of the item, from ``p`` on, that follow from ``d`` with 0, 1, ... ``most`` edits.
+def _reach(item: list[int], p: int, doc: list[int], d: int, most: int, step: int) -> list[int]:
+    """Most words of the item, from ``p`` on, that follow from ``d`` with 0, 1, ... ``most`` edits,
+    going forward (step 1) or back (-1).
 
     A passage ends with words that agree, so a count is taken where a run of
     equal words ends; edits count between such runs only."""
-    n, m = len(item) - p, len(doc) - d
+    n, m = (len(item) - p, len(doc) - d) if step > 0 else (p + 1, d + 1)
+    n, m = min(n, FAR + most), min(m, FAR + 2 * most)
     front = {0: 0}  # diagonal (document minus item) -> words of the item used
     out, best = [0], 0
     for _ in range(most):
@@ -136,7 +174,7 @@ def _reach(item: list[int], p: int, doc: list[int], d: int, most: int) -> list[i
         front = {}
         for g, x in new.items():
             y = x
-            while y < n and y + g < m and item[p + y] == doc[d + y + g]:
+            while y < n and y + g < m and item[p + step * y] == doc[d + step * (y + g)]:
                 y += 1
             front[g] = y
             if y > x and y > best:
@@ -145,33 +183,96 @@ def _reach(item: list[int], p: int, doc: list[int], d: int, most: int) -> list[i
     return out
 
 
+_WORD_HASHES: dict[str, int] = {}
+_BASE = 0x9E3779B97F4A7C15
+
+
+def seed_hashes(text: str | None) -> np.ndarray:
+    """Distinct 64-bit hashes of the runs of ``SEED`` words of a text."""
+    known = _WORD_HASHES
+    if len(known) > KNOWN:
+        known.clear()
+    h = np.array([known[w] if w in known else known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words(text)], dtype=np.uint64)
+    if len(h) < SEED:
+        return np.empty(0, np.int64)
+    n = len(h) - SEED + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(SEED):
+        out = out * np.uint64(_BASE) + h[k : k + n]
+    return np.unique(out ^ (out >> np.uint64(29))).view(np.int64)
+
+
+def _seeds(df: DataFrame, bitmap=None) -> DataFrame:
+    """(seed, id) of a frame of i and t; only seeds in the bitmap where one is given."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if bitmap is None else bitmap.value
+        for b in batches:
+            found, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = seed_hashes(t)
+                if bits is not None and len(h):
+                    at = h.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+                    h = h[(bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                found.append(h)
+                ids.append(np.full(len(h), i, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))], names=["seed", "id"])
+
+    return df.mapInArrow(run, "seed long, id long")
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """A bitmap of the leading bits of all seeds, of fixed size whatever their number."""
+    at = F.shiftrightunsigned("seed", 64 - BITMAP_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    cells = seeds.groupBy(F.shiftright(at, 6).alias("cell")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(max(1 << (BITMAP_BITS - 6), 1), np.uint64)
+    out[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _searched(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) by one matcher of all ``items``, which must be few."""
+    rows = [(r["i"], r["t"]) for r in items.collect()]
+    matcher = docs.sparkSession.sparkContext.broadcast(Matcher.build(rows))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = matcher.value.search
+        for b in batches:
+            ds, its = [], []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for x in search(t):
+                    ds.append(d)
+                    its.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int64()), pa.array(its, pa.int64())], names=["doc_id", "item_id"])
+
+    return docs.select("i", "t").mapInArrow(run, "doc_id long, item_id long")
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row (doc_id, item_id) per document and item of which it holds a passage.
 
-    Items are the stated query set; they are measured, and beyond ``ITEM_CHARS``
-    characters searched in blocks of that size, each against all documents.
-    Documents are never shuffled. Null and short texts hold no passage; items of
-    fewer than ``LEAST`` words can't leak; repeated items are reported each.
+    Null and short texts hold no passage; items of fewer than ``LEAST`` words can't leak;
+    repeated items are reported each, as are repeated rows of documents. The same rows come
+    out on either side of ``ITEM_CHARS``.
     """
-    q = items.select(F.col(item).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    named = lambda df, i, t: df.select(F.col(i).cast("long").alias("i"), F.col(t).cast("string").alias("t")).where("t IS NOT NULL")
+    q = named(items, item, item_text).where("i IS NOT NULL")
+    base = spread(named(docs, ident, text))
     total = q.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = -(-total // ITEM_CHARS) or 1
-    base = spread(docs.select(F.col(ident).cast("long").alias("d"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL"))
+    if total <= ITEM_CHARS:
+        return _searched(base, q)
+    seeds = cut(_seeds(q).select("seed").distinct())
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(seeds))
+    # documents are told apart by id and text, so that ids may repeat or be null
+    key = F.xxhash64("i", "t")
+    near = _seeds(base.select(key.alias("i"), "t"), bits).join(seeds, "seed", "left_semi").select(F.col("id").alias("__k")).distinct()
+    left = cut(base.withColumn("__k", key).join(near, "__k", "left_semi"))
+    # one block may exceed the size by a little: blocks are dealt by hash
+    blocks = -(-total // ITEM_CHARS) * 2
     out = None
     for k in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        matcher = docs.sparkSession.sparkContext.broadcast(Matcher.build((r["i"], r["t"]) for r in part.collect()))
-
-        def run(batches: Iterable[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
-            search = matcher.value.search
-            for b in batches:
-                ds, its = [], []
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    for x in search(t):
-                        ds.append(d)
-                        its.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int64()), pa.array(its, pa.int64())], names=["doc_id", "item_id"])
-
-        found = base.mapInArrow(run, "doc_id long, item_id long")
+        part = q.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
+        found = cut(_searched(left, part))
         out = found if out is None else out.unionByName(found)
     return out

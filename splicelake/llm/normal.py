@@ -24,12 +24,16 @@ from pyspark.sql import functions as F
 
 from splicelake.session import cut, spread
 
-# Letters drawn alike, each group beside the Latin letter it resembles.
+# Letters drawn alike, each group beside the Latin letter it resembles. Greek, Cyrillic,
+# Armenian, Cherokee, Lisu and Coptic capitals and the small letters of the first three, as far as common text
+# faces draw them alike. Left out: letters that only resemble one (small Cherokee letters, Greek small alpha, rho
+# and gamma), styled mathematical letters, digits and marks, which TESTDATA counts as visible differences.
 LOOKALIKES = {
-    "A": "ΑА", "B": "ΒВ", "C": "СϹ", "E": "ΕЕ", "H": "ΗН", "I": "ΙІӀ", "J": "ЈͿ", "K": "ΚК", "M": "ΜМ", "N": "Ν",
-    "O": "ΟО", "P": "ΡР", "S": "ЅՏ", "T": "ΤТ", "X": "ΧХ", "Y": "ΥҮ", "Z": "Ζ", "Q": "Ԛ", "W": "Ԝ",
-    "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "οоօ", "p": "р",
-    "q": "ԛ", "s": "ѕ", "u": "ս", "v": "ν", "w": "ԝ", "x": "х", "y": "у",
+    "A": "ΑАᎪꓮ", "B": "ΒВᏴꓐ", "C": "СϹᏟꓚⲤ", "D": "Ꭰꓓ", "E": "ΕЕᎬꓰ", "F": "ꓝ", "G": "Ꮐꓖ", "H": "ΗНᎻꓧⲎ", "I": "ΙІӀꓲⲒ",
+    "J": "ЈͿᎫꓙ", "K": "ΚКᏦꓗⲔ", "L": "Ꮮꓡ", "M": "ΜМᎷꓟⲘ", "N": "ΝꓠⲚ", "O": "ΟОꓳⲞՕ", "P": "ΡРᏢꓑⲢ", "Q": "Ԛ", "R": "Ꭱꓣ",
+    "S": "ЅՏᏚꓢ", "T": "ΤТᎢꓔⲦ", "U": "Սꓴ", "V": "Ꮩꓦ", "W": "ԜᎳꓪ", "X": "ΧХꓫⲬ", "Y": "ΥҮᎩꓬⲨ", "Z": "ΖᏃꓜ",
+    "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "οоօ", "p": "р",
+    "q": "ԛզ", "s": "ѕ", "u": "ս", "v": "νѵ", "w": "ԝ", "x": "х", "y": "у",
 }
 
 # The ranges of Default_Ignorable_Code_Point.
@@ -150,6 +154,14 @@ def look_alike_classes(df: DataFrame, ident: str = "doc_id", text: str = "text")
     return candidates.join(several(candidates, ["folded", "seen"]), ["folded", "seen"], "left_semi")
 
 
+def look_alike_members(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_texts, n_docs): documents of the classes of more than one stored text,
+    named by their smallest doc_id; the form of the result that grows with the documents only."""
+    c = cut(look_alike_classes(df, ident, text))
+    g = c.groupBy("folded", "seen").agg(F.min("doc_id").alias("class_id"), F.countDistinct("stored").alias("n_texts"), F.count(F.lit(1)).alias("n_docs"))
+    return c.join(g, ["folded", "seen"]).select("doc_id", "class_id", "n_texts", "n_docs")
+
+
 def look_alike_pairs(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs (doc_id_a < doc_id_b) of documents that differ as stored but read the same.
 

@@ -145,11 +145,50 @@ def test_leaked_items(spark, monkeypatch):
     assert leakage.leaked_items(docs.limit(0), items).count() == 0
 
 
+def test_long_passages_and_repetition():
+    """Extensions stay short: long items, long documents and one word repeated are searched quickly and exactly."""
+    rng = random.Random(9)
+    long = [f"v{rng.randrange(4000)}" for _ in range(30_000)]
+    edited = [w for i, w in enumerate(long[5_000:25_000]) if i % 11] + ["end"]
+    m = leakage.Matcher.build([(1, " ".join(long)), (2, "ha " * 400), (3, " ".join(f"u{i}" for i in range(40)))])
+    assert m.search(" ".join(edited)) == [1]
+    assert m.search("ha " * 20_000) == [2]
+    assert m.search("ha " * 17 + "x") == []
+    # two edits after each six words that agree: no passage
+    sparse = [w if i % 8 > 1 else f"z{i}" for i, w in enumerate(long[:4_000])]
+    assert m.search(" ".join(sparse)) == []
+
+
+def test_pieces_read_one_by_one():
+    rng = random.Random(4)
+    pool = "aÉé ﬁ²½Ⅳ\u0301\u00a8\u200b\u3000\u00a0.,*’-_ⅷ中\u0130ΣςЖ\n\t"
+    for _ in range(3000):
+        t = "".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))
+        assert leakage.words(t) == normal.folded(t).translate(leakage._LETTERS).split(), ascii(t)
+
+
+def test_leaked_items_of_the_table(spark):
+    """Every fifth document of the smallest table and all items against the plain dynamic program, which is slow."""
+    from splicelake.sources.tables import table
+
+    d = os.environ.get("SPLICELAKE_TESTDATA", "/root/testdata") + "/sf0.001"
+    docs = [(r.doc_id, leakage.words(r.text)) for r in table(spark, d, "documents").where("doc_id % 5 = 0").collect()]
+    items = [(r.item_id, leakage.words(r.text)) for r in table(spark, d, "eval_items").collect()]
+    # a passage keeps ten runs of three words or more
+    grams = {k: set(zip(w, w[1:], w[2:])) for k, w in items}
+    want = []
+    for i, w in docs:
+        own = set(zip(w, w[1:], w[2:]))
+        want += [(i, k) for k, t in items if len(grams[k] & own) >= 8 and edit_ok(t, w)]
+    got = [tuple(r) for r in QUERIES["p8_found"](spark, d).collect() if r.doc_id % 5 == 0]
+    assert sorted(got) == sorted(want) and want
+
+
 # look-alike text ------------------------------------------------------------------------
 
 SAME = [
     ("abc", "ａｂｃ"), ("é", "é"), ("a b", "a b"), ("a b", "a　b"), ("ab", "a​b"), ("ab", "a­b"), ("ab", "﻿ab"), ("Peace", "Реасе"),
-    ("o", "ο"), ("fi", "ﬁ"), ("K", "K"), ("Å", "Å"), ("i", "ⅰ"), ("g", "ɡ"), ("ё", "ë"), ("µ", "μ"), ("ç", "ç"),
+    ("o", "ο"), ("ACE", "ᎪᏟᎬ"), ("BTN", "ꓐꓔꓠ"), ("fi", "ﬁ"), ("K", "K"), ("Å", "Å"), ("i", "ⅰ"), ("g", "ɡ"), ("ё", "ë"), ("µ", "μ"), ("ç", "ç"),
 ]
 DIFFERENT = [
     ("a", "A"), ("e", "é"), ("n2", "n²"), ("1", "l"), ("O", "0"), ("a b", "a  b"), ("a b", "ab"), ("a\nb", "a b"), ("a.", "a!"), ("'", "’"), ("a\tb", "a b"), ("rn", "m"), ("½", "1/2"), ("①", "1"),
@@ -194,6 +233,29 @@ def test_pairs(spark):
     assert normal.consistent_text(df, case_fold=True).where("doc_id = 4").first()["text_norm"] == "abc"
 
 
+def test_pairs_and_classes_of_the_table(spark):
+    from splicelake.sources.tables import table
+
+    d = os.environ.get("SPLICELAKE_TESTDATA", "/root/testdata") + "/sf0.01"
+    by = {}
+    for r in table(spark, d, "documents").collect():
+        if r.text and normal.visible(r.text).strip():
+            by.setdefault(normal.visible(r.text), []).append((r.doc_id, r.text))
+    want = sorted((min(a, b), max(a, b)) for g in by.values() for (a, s), (b, t) in itertools.combinations(g, 2) if s != t)
+    assert sorted(map(tuple, QUERIES["p9_found"](spark, d).collect())) == want and want
+    members = {}
+    for g in by.values():
+        if len({t for _, t in g}) > 1:
+            members.update({i: (min(g)[0], len({t for _, t in g}), len(g)) for i, _ in g})
+    assert {r.doc_id: (r.class_id, r.n_texts, r.n_docs) for r in QUERIES["p9_classes"](spark, d).collect()} == members
+
+
+def test_ids_of_the_table(spark, reference):
+    d = os.environ.get("SPLICELAKE_TESTDATA", "/root/testdata") + "/sf0.01"
+    got = QUERIES["p7_ids"](spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id").collect()
+    assert len(got) > 900 and all(r.ids == reference(r.text or "") for r in got)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, name):
     d = os.environ.get("SPLICELAKE_TESTDATA", "/root/testdata") + "/sf0.001"
