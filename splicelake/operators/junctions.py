@@ -187,7 +187,8 @@ def redirect_to_stronger(stats: DataFrame, window: int = NEAR, share: float = 0.
 
 
 def resolve_redirects(pointers: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 32) -> DataFrame:
-    """Pointers followed to their end by doubling. A cycle ends at its smallest member."""
+    """Pointers followed to their end by doubling. A cycle ends at its smallest member.
+    Raises if ``rounds`` don't suffice (a chain of 2**rounds pointers)."""
     cur = cut(pointers.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL"))
     for _ in range(rounds):
         hop = cur.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
@@ -198,8 +199,8 @@ def resolve_redirects(pointers: DataFrame, src: str = "src", dst: str = "dst", r
         changed = new.withColumnRenamed("dst", "d2").join(cur, "src").where("d2 <> dst").limit(1).count()
         cur = new
         if not changed:
-            break
-    return cur
+            return cur
+    raise RuntimeError("redirects did not settle")
 
 
 def demote_alternatives(stats: DataFrame, window: int = 50, share: float = 0.5) -> DataFrame:

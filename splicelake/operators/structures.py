@@ -134,9 +134,9 @@ def long_compatible(a: Path, b: Path, ends: dict[int, int], hard_start: set[int]
     return longer or 3
 
 
-def stitch(left: Path, right: Path, g: Graph, most: int = 50) -> Path | None:
+def stitch(left: Path, right: Path, g: Graph) -> Path | None:
     """The widest way (largest smallest capacity, then fewest nodes) from the end of one path
-    to the start of another, at most ``most`` nodes between."""
+    to the start of another."""
     best: dict[int, tuple[float, int, Path]] = {left[-1]: (float("inf"), 0, left)}
     order = [n for n in topological(g) if n >= left[-1]]
     for u in order:
@@ -145,7 +145,7 @@ def stitch(left: Path, right: Path, g: Graph, most: int = 50) -> Path | None:
         w, k, p = best[u]
         for v, c in g.get(u, {}).items():
             new = (min(w, c), -(k + 1))
-            if v <= right[0] and k < most and (v not in best or new > (best[v][0], -best[v][1])):
+            if v <= right[0] and (v not in best or new > (best[v][0], -best[v][1])):
                 best[v] = (min(w, c), k + 1, (*p, v))
     if right[0] in best and best[right[0]][0] > EPS:
         return (*best[right[0]][2], *right[1:])

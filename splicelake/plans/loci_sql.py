@@ -53,6 +53,15 @@ def _tx(name: str, src: str, keep: str = "true") -> str:
 
 
 TX = READS + "," + _tx("tx", "reads")
+
+
+def _all(name: str, keep: str = "true") -> str:
+    """All transcripts: chains, and each distinct single exon."""
+    lone = f"SELECT chrom, strand, [] AS chain, min(row_id) AS tx_id, sum(w)::DOUBLE AS cov, s, e, 1 AS n, ex FROM reads WHERE len(ex) = 1 AND {keep} GROUP BY chrom, strand, s, e, ex"
+    return f"{_tx(f'{name}_m', 'reads', keep)}, {name} AS (SELECT chrom, strand, chain, tx_id, cov, s, e, n, ex FROM {name}_m UNION ALL {lone})"
+
+
+ALL = READS + "," + _all("tx")
 RAW = (
     READS
     + """,
@@ -61,6 +70,7 @@ raw AS (SELECT chrom, strand, ex, min(row_id) AS tx_id, sum(w)::BIGINT AS cov, e
 )
 _RUN = "CASE WHEN read_name IS NULL THEN NULL WHEN regexp_extract(read_name, '_s([0-9]+)/', 1) IN ('1', '2') THEN 0 ELSE 1 END"
 TWO = READS + "," + _tx("ta", "reads", f"({_RUN}) = 0") + "," + _tx("tb", "reads", f"({_RUN}) = 1")
+ALL_TWO = READS + "," + _all("ta", f"({_RUN}) = 0") + "," + _all("tb", f"({_RUN}) = 1")
 REGION = (
     READS
     + """,
@@ -76,6 +86,24 @@ pl AS (SELECT read_name AS read, chrom || ':' || region_start AS locus, max(leas
 multi AS (SELECT read, locus FROM pl WHERE read IN (SELECT read FROM pl GROUP BY read HAVING count(*) > 1)),
 links AS (SELECT x.locus AS a, y.locus AS b, count(*) AS n_shared FROM multi x JOIN multi y ON x.read = y.read AND x.locus < y.locus GROUP BY ALL)"""
 )
+EM_START = ", e0 AS MATERIALIZED (SELECT read, locus, compat, 1.0::DOUBLE / count(*) OVER (PARTITION BY read) AS wt, false AS done FROM pl)"
+EM_THREE = (
+    "WITH " + PLACES + EM_START
+    + "".join(f", s{k} AS (SELECT read, locus, compat, (compat + 0.01) * sqrt(sum(wt) OVER (PARTITION BY locus)) AS sc FROM e{k - 1}), e{k} AS (SELECT read, locus, compat, sc / sum(sc) OVER (PARTITION BY read) AS wt FROM s{k})" for k in (1, 2, 3))
+    + " SELECT read, locus AS copy, round(wt, 5) AS weight FROM e3"
+)
+
+
+def _em_rounds(most: int) -> str:
+    """Rounds of the re-weighting until no weight moves by 1e-3; after that rounds change nothing."""
+    return "".join(
+        f""", s{k} AS (SELECT *, (compat + 0.01) * sqrt(sum(wt) OVER (PARTITION BY locus)) AS sc FROM e{k - 1}),
+        n{k} AS (SELECT *, sc / sum(sc) OVER (PARTITION BY read) AS nw FROM s{k}),
+        e{k} AS MATERIALIZED (SELECT read, locus, compat, CASE WHEN done THEN wt ELSE nw END AS wt, done OR max(abs(nw - wt)) OVER () < 1e-3 AS done FROM n{k})"""
+        for k in range(1, most + 1)
+    )
+
+
 PANEL = """panel AS (SELECT row_id, chrom, panel_start AS s, panel_end AS e FROM ggo19_needy_top15 WHERE chrom IS NOT NULL AND panel_start < panel_end)"""
 FLOW = """
 fp AS (SELECT run_id, chrom, bdstart, bdend, strand, bottleneck AS w, list_transform(regexp_extract_all(path_nodes, '[0-9]+'), lambda x: x::BIGINT) AS p
@@ -204,17 +232,18 @@ ORACLES = {
     "chain_dedup": w(RAW, f"SELECT tx_id, cov AS coverage FROM raw WHERE n = 1 UNION ALL SELECT tx_id, cov FROM (SELECT *, {CHAIN} AS chain FROM raw WHERE n > 1) QUALIFY row_number() OVER (PARTITION BY chrom, strand, chain ORDER BY cov DESC, tx_id) = 1"),
     "subset_chains": w(TX, f"SELECT x.tx_id, count(*) AS n_larger FROM tx x JOIN tx y ON {_SAME} AND {_PART} GROUP BY ALL"),
     "containment_filter": w(
-        TX,
+        ALL,
         f"""SELECT tx_id, cov AS coverage FROM tx x WHERE NOT EXISTS (SELECT 1 FROM tx y WHERE {_SAME} AND x.tx_id <> y.tx_id AND y.s <= x.s AND x.e <= y.e
         AND (y.cov > x.cov OR (y.cov = x.cov AND y.tx_id < x.tx_id))
         AND len(list_filter(x.ex, lambda a: len(list_filter(y.ex, lambda b: b.s <= a.s AND a.e <= b.e)) = 0)) = 0)""",
     ),
     "near_equal_pairs": w(TX, f"SELECT x.tx_id, y.tx_id AS r_tx_id FROM tx x JOIN tx y ON {_SAME} AND x.n = y.n AND x.tx_id < y.tx_id AND abs(x.chain[1].d - y.chain[1].d) <= 8 WHERE len(list_filter(range(1, x.n), lambda i: abs(x.chain[i].d - y.chain[i].d) > 8 OR abs(x.chain[i].a - y.chain[i].a) > 8)) = 0"),
     "isofrac_locus": w(
-        TX + f", l AS (SELECT *, sum(nw) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id) AS locus FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS nw FROM tx))",
-        "SELECT tx_id, cov AS coverage FROM (SELECT *, max(cov) OVER (PARTITION BY chrom, strand, locus) AS m FROM l) WHERE cov >= 0.05 * (CASE WHEN cov > 100 THEN 0.05 WHEN cov > 50 THEN 0.5 ELSE 1 END) * m",
+        ALL + ", l AS (SELECT *, sum(nw) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id) AS locus FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS nw FROM tx))",
+        """SELECT tx_id, cov AS coverage FROM (SELECT *, max(cov) OVER (PARTITION BY chrom, strand, locus) AS m, max(CASE WHEN n > 1 THEN cov END) OVER (PARTITION BY chrom, strand, locus) AS mm FROM l)
+        WHERE cov >= 0.05 * (CASE WHEN cov > 100 THEN 0.05 WHEN cov > 50 THEN 0.5 ELSE 1 END) * CASE WHEN n > 1 THEN mm ELSE m END""",
     ),
-    "opposite_dominated": w(TX, "SELECT DISTINCT x.tx_id FROM tx x JOIN tx y ON x.chrom = y.chrom AND x.s < y.e AND y.s < x.e WHERE x.strand * y.strand < 0 AND y.cov >= 3 * x.cov"),
+    "opposite_dominated": w(ALL, "SELECT DISTINCT x.tx_id FROM tx x JOIN tx y ON x.chrom = y.chrom AND x.s < y.e AND y.s < x.e WHERE x.strand * y.strand < 0 AND y.cov >= 3 * x.cov"),
     "intronic": w(RAW + f", i AS (SELECT chrom, strand, n, unnest({CHAIN}) AS j FROM raw WHERE n > 1)", f"SELECT DISTINCT x.tx_id FROM raw x JOIN i y ON {_SAME} AND x.s >= y.j.d AND x.e <= y.j.a AND y.n > x.n WHERE y.j.d < y.j.a"),
     "retained_introns": w(
         RAW + f", i AS (SELECT chrom, strand, j.d AS d, j.a AS a, max(cov) AS c FROM (SELECT chrom, strand, cov, unnest({CHAIN}) AS j FROM raw WHERE n > 1) WHERE j.d < j.a GROUP BY ALL), x AS (SELECT chrom, strand, tx_id, cov, unnest(ex) AS b FROM raw)",
@@ -225,14 +254,14 @@ ORACLES = {
         "SELECT DISTINCT tx_id FROM p ANTI JOIN seen USING (chrom, strand, d1, a1, d2, a2)",
     ),
     "supported_introns": w(STATS + "," + _tx("tx", "reads"), "SELECT tx_id FROM tx WHERE tx_id NOT IN (SELECT tx_id FROM (SELECT tx_id, chrom, strand, j.d AS donor, j.a AS acceptor FROM (SELECT tx_id, chrom, strand, unnest(chain) AS j FROM tx)) ANTI JOIN (SELECT * FROM stats WHERE nreads_good >= 2) USING (chrom, strand, donor, acceptor))"),
-    "length_filters": w(TX, "SELECT tx_id FROM tx WHERE list_min(list_transform(ex, lambda x: x.e - x.s)) >= 20 AND list_sum(list_transform(ex, lambda x: x.e - x.s)) >= 500 AND ex[1].e - ex[1].s >= 25 AND ex[n].e - ex[n].s >= 25"),
+    "length_filters": w(ALL, "SELECT tx_id FROM tx WHERE list_min(list_transform(ex, lambda x: x.e - x.s)) >= 20 AND list_sum(list_transform(ex, lambda x: x.e - x.s)) >= 500 AND (n = 1 OR (ex[1].e - ex[1].s >= 25 AND ex[n].e - ex[n].s >= 25))"),
     "coverage_gate": w(RAW, "SELECT tx_id, cov AS coverage FROM raw WHERE cov >= CASE WHEN n > 1 THEN 2 ELSE 3 END"),
-    "tpm": w(TX, "SELECT tx_id, round(cov * 1e6 / (SELECT sum(cov) FROM tx), 4) AS tpm, round(cov * 1000, 4) AS fpkm FROM tx"),
+    "tpm": w(ALL, "SELECT tx_id, round(cov * 1e6 / (SELECT sum(cov) FROM tx), 4) AS tpm, round(cov * 1000, 4) AS fpkm FROM tx"),
     "top_transcripts": w(
-        TX + ", l AS (SELECT *, sum(nw) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id) AS g FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS nw FROM tx))",
+        ALL + ", l AS (SELECT *, sum(nw) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id) AS g FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS nw FROM tx))",
         "SELECT chrom, strand, locus, tx_id, rank FROM (SELECT *, min(s) OVER (PARTITION BY chrom, strand, g) AS locus, row_number() OVER (PARTITION BY chrom, strand, g ORDER BY cov DESC, tx_id) AS rank FROM l) WHERE rank <= 3",
     ),
-    "exact_reference": w(TWO, _EXACT),
+    "exact_reference": w(ALL_TWO, f"SELECT x.tx_id, y.tx_id AS ref_id FROM ta x JOIN tb y ON {_SAME} AND x.n > 1 AND y.n > 1 AND x.chain = y.chain UNION ALL SELECT x.tx_id, y.tx_id FROM ta x JOIN tb y ON {_SAME} AND x.n = 1 AND y.n = 1 AND x.s = y.s AND x.e = y.e"),
     "reference_subset": w(TWO, f"SELECT tx_id FROM ta x WHERE EXISTS (SELECT 1 FROM tb y WHERE {_SAME} AND {_PART}) AND tx_id NOT IN (SELECT tx_id FROM ({_EXACT}))"),
     "zero_novel_not_exact": w(TWO, f"SELECT tx_id FROM ta WHERE tx_id NOT IN (SELECT tx_id FROM (SELECT tx_id, chrom, strand, unnest(chain) AS j FROM ta) ANTI JOIN (SELECT chrom, strand, unnest(chain) AS j FROM tb) USING (chrom, strand, j)) AND tx_id NOT IN (SELECT tx_id FROM ({_EXACT}))"),
     "recovered_guides": w(
@@ -240,7 +269,7 @@ ORACLES = {
         "SELECT tx_id, cov AS coverage FROM r0 UNION ALL SELECT tx_id, cov FROM r1 ANTI JOIN r0 USING (chrom, strand, ex)",
     ).replace("r0 AS (SELECT chrom, strand, ex,", "q0 AS (SELECT chrom, strand, ex,").replace("FROM r0 UNION ALL SELECT tx_id, cov FROM r1 ANTI JOIN r0", "FROM q0 UNION ALL SELECT tx_id, cov FROM r1 ANTI JOIN q0"),
     "transcript_coverage": w(
-        TX + f", seg AS ({_segments('exon', 'chrom')}), b AS (SELECT tx_id, chrom, unnest(ex) AS x FROM tx)",
+        ALL + f", seg AS ({_segments('exon', 'chrom')}), b AS (SELECT tx_id, chrom, unnest(ex) AS x FROM tx)",
         """SELECT tx_id, sum(c)::BIGINT AS cov_sum, floor(sum(c) / sum(l) * 1000)::BIGINT AS mean_milli FROM (
           SELECT b.tx_id, b.x, any_value(b.x.e - b.x.s) AS l, coalesce(sum((least(b.x.e, g."end") - greatest(b.x.s, g.start)) * g.depth), 0) AS c
           FROM b LEFT JOIN seg g ON b.chrom = g.chrom AND b.x.s < g."end" AND g.start < b.x.e GROUP BY ALL) GROUP BY tx_id""",
@@ -288,12 +317,7 @@ ORACLES = {
     "max_flow": w(FLOW, f"SELECT {B}, round(sum(w), 4) AS max_flow FROM flow GROUP BY {B}"),
     "partition_signature": f"SELECT {B}, array_to_string(list(t ORDER BY s, t), '+') AS signature FROM (SELECT DISTINCT {B}, start AS s, (start + 1) || '-' || \"end\" AS t FROM nodes WHERE chrom IS NOT NULL AND start < \"end\") GROUP BY {B}",
     "multimap_links": w(PLACES, "SELECT * FROM links"),
-    "em_weights": w(
-        PLACES
-        + ", e0 AS (SELECT read, locus, compat, 1.0::DOUBLE / count(*) OVER (PARTITION BY read) AS wt FROM pl)"
-        + "".join(f", s{k} AS (SELECT read, locus, compat, (compat + 0.01) * sqrt(sum(wt) OVER (PARTITION BY locus)) AS sc FROM e{k - 1}), e{k} AS (SELECT read, locus, compat, sc / sum(sc) OVER (PARTITION BY read) AS wt FROM s{k})" for k in (1, 2, 3)),
-        "SELECT read, locus AS copy, round(wt, 5) AS weight FROM e3",
-    ),
+    "em_weights": w(PLACES + EM_START + _em_rounds(20), "SELECT read, locus AS copy, round(wt, 5) AS weight FROM e20"),
     "phase_split": w(
         REGION + ", h AS (SELECT chrom || ':' || region_start AS locus, CASE strand WHEN 1 THEN 1 WHEN -1 THEN 2 END AS hp FROM reg), f AS (SELECT *, bool_or(coalesce(hp, 0) = 1) OVER (PARTITION BY locus) AND bool_or(coalesce(hp, 0) = 2) OVER (PARTITION BY locus) AS two FROM h)",
         "SELECT locus, phase, count(*) AS n_reads FROM (SELECT locus, unnest(CASE WHEN NOT two THEN [0] WHEN hp IS NULL THEN [1, 2] ELSE [hp] END) AS phase FROM f) GROUP BY ALL",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,23 +24,32 @@ def get_spark(app: str = "splicelake", cpus: int | str = "*", **conf: str) -> Sp
     return b.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint.
+def _checkpoints(spark: SparkSession) -> str:
+    """The folder of checkpoints, set where it isn't yet.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where neither that nor a directory set by the caller exists (a local
-    session, as in tests) is a temporary folder used.
-    """
-    spark = df.sparkSession
+    It is the one the cluster names in ``spark.checkpoint.dir``; only where neither
+    that nor a directory set by the caller exists, and driver and executors are one
+    process (as in tests), is a temporary folder used."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at and not sc.master.startswith("local"):
+        if not at and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="splicelake-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage through a reliable checkpoint in the shared folder."""
+    _checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, for files that a job writes and reads again."""
+    return f"{_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition a scan that has fewer splits than the session has cores.
 

@@ -99,11 +99,22 @@ def tile(contigs: DataFrame, size: int = 5000, stride: int | None = None, overla
     )
 
 
-def fetch(contigs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Half-open sub-sequences of ``ranges`` (chrom, start, end, ...), clamped to the contig."""
-    c = contigs.select(F.col("name").alias("chrom"), F.col("seq").alias("__seq"))
-    sub = F.substring("__seq", (F.greatest("start", F.lit(0)) + 1).try_cast("int"), F.greatest(F.col("end") - F.greatest("start", F.lit(0)), F.lit(0)).try_cast("int"))
-    return ranges.join(c, "chrom").withColumn("seq", sub).drop("__seq")
+def fetch(contigs: DataFrame, ranges: DataFrame, size: int = 1 << 16) -> DataFrame:
+    """Half-open sub-sequences of ``ranges`` (chrom, start, end, ...), clamped to the contig.
+
+    Contigs are cut into tiles first, so a range meets the tiles it touches and never a
+    whole contig; equal ranges are read once. Ranges of unknown contigs are left out."""
+    s = F.greatest("start", F.lit(0)).cast("long")
+    e = F.greatest("end", s).cast("long")
+    d = ranges.select("chrom", "start", "end").distinct().select("*", s.alias("__s"), e.alias("__e"))
+    t = tile(contigs, size).select(F.col("name").alias("chrom"), F.floor(F.col("start") / size).alias("__t"), F.col("seq").alias("__seq"))
+    touched = F.explode(F.sequence(F.floor(F.col("__s") / size), F.floor(F.greatest(F.col("__e") - 1, F.col("__s")) / size)))
+    x = d.select("*", touched.alias("__t")).join(t, ["chrom", "__t"])
+    g = x.groupBy("chrom", "start", "end", "__s", "__e").agg(F.array_sort(F.collect_list(F.struct("__t", "__seq"))).alias("__l"))
+    at = F.col("__s") - F.get("__l", F.lit(0))["__t"] * size
+    g = g.select("chrom", "start", "end", F.substring(F.array_join(F.col("__l.__seq"), ""), (at + 1).cast("int"), (F.col("__e") - F.col("__s")).cast("int")).alias("seq"))
+    known = ranges.join(contigs.select(F.col("name").alias("chrom")).distinct(), "chrom", "left_semi")
+    return known.join(g, ["chrom", "start", "end"], "left").withColumn("seq", F.coalesce("seq", F.lit("")))
 
 
 GTF = "chrom string, source string, feature string, start long, end long, score string, strand string, frame string, attributes string"

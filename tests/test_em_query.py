@@ -1,4 +1,4 @@
-"""The weights of ``em_weights`` are settled; three rounds of the operator are what the SQL unrolls."""
+"""The weights of ``em_weights`` are settled; three rounds of the operator are those of SQL that unrolls three."""
 
 import math
 from collections import defaultdict
@@ -7,7 +7,7 @@ import oracle
 from pyspark.sql import functions as F
 
 from splicelake.operators import families as FA
-from splicelake.plans import lifts, loci
+from splicelake.plans import lifts, loci, loci_sql
 
 
 def _placed(spark, d):
@@ -48,5 +48,5 @@ def test_three_rounds_same_as_sql(spark, tiny):
     x, used, _ = FA.em_reweight(_placed(spark, tiny), rounds=3, settled=0.0)
     assert used == 3
     x = x.select("read", "copy", F.round("weight", 5).alias("weight"))
-    n, extra, missing = oracle.compare(x, oracle.connect(tiny), loci.ORACLES["em_weights"])
+    n, extra, missing = oracle.compare(x, oracle.connect(tiny), loci_sql.EM_THREE)
     assert not extra and not missing, (n, extra, missing)

@@ -184,3 +184,10 @@ def test_profiles_tell_copies_apart(spark):
     w = {(r["read"], r["copy"]): r["weight"] for r in P.hmm_weights(s.where("loglik IS NOT NULL"), pri).collect()}
     assert w == {("ra", "a"): 1.0, ("ra", "b"): 0.0, ("rb", "a"): 0.0, ("rb", "b"): 1.0}
     assert s.where("loglik IS NULL").count() == 2
+
+
+def test_redirects_raise_when_not_settled(spark):
+    p = spark.createDataFrame([(i, i + 1) for i in range(40)], "src int, dst int")
+    assert dict(rows(J.resolve_redirects(p))) == {i: 40 for i in range(40)}
+    with pytest.raises(RuntimeError):
+        J.resolve_redirects(p, rounds=3)
