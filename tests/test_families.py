@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
