@@ -441,16 +441,18 @@ def rank_penalised(tx: DataFrame) -> DataFrame:
 
 def chimeras(tx: DataFrame, ref: DataFrame) -> DataFrame:
     """tx_ids without novel intron that fall into two parts: at some point the references
-    that hold an intron before it and those that hold one after it have none in common."""
+    that hold an intron before it and those that hold one after it have none in common.
+
+    A reference bridges the points between its first and last intron in the transcript; only
+    these two are kept of it, and only distinct pairs of them meet: no more than a
+    transcript's introns squared, however many references hold them."""
     r = with_structure(ref).select(F.col("tx_id").alias("ref_id"), *PLACE, F.explode("chain").alias("j"))
-    sets = r.groupBy(*PLACE, "j").agg(F.collect_set("ref_id").alias("refs"))
     x = with_structure(tx).where("n_exons > 2").select("tx_id", *PLACE, "n_exons", F.posexplode("chain").alias("i", "j"))
-    g = x.join(sets, [*PLACE, "j"]).groupBy("tx_id", "n_exons").agg(F.sort_array(F.collect_list(F.struct("i", "refs"))).alias("l"))
-    known = g.where(F.size("l") == F.col("n_exons") - 1)
-    refs = F.transform("l", lambda y: y["refs"])
-    n = F.size("l")
-    apart = F.exists(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        lambda k: ~F.arrays_overlap(F.flatten(F.slice(refs, F.lit(1), k)), F.flatten(F.slice(refs, k + 1, F.greatest(n - k, F.lit(0))))),
-    )
-    return known.where((n > 1) & apart).select("tx_id")
+    known = x.join(r.select(*PLACE, "j").distinct(), [*PLACE, "j"], "left_semi").groupBy("tx_id", "n_exons").agg(F.count(F.lit(1)).alias("n"))
+    known = known.where("n = n_exons - 1").select("tx_id")
+    spans = x.join(known, "tx_id", "left_semi").join(r, [*PLACE, "j"]).groupBy("tx_id", "n_exons", "ref_id").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+    g = spans.where("lo < hi").groupBy("tx_id").agg(F.collect_set(F.struct("lo", "hi")).alias("b"))
+    all_ = spans.select("tx_id", "n_exons").distinct().join(g, "tx_id", "left")
+    points = F.sequence(F.lit(0), F.col("n_exons") - 3)
+    apart = F.exists(points, lambda k: ~F.exists(F.coalesce("b", F.array()), lambda y: (y["lo"] <= k) & (y["hi"] > k)))
+    return all_.where(apart).select("tx_id")

@@ -57,9 +57,16 @@ def transcripts(r: DataFrame) -> DataFrame:
     return g.select("tx_id", "chrom", "strand", ex.alias("exons"), F.col("longcov").cast("double").alias("coverage"), "longcov")
 
 
+def retaining(r: DataFrame, gap: int = 2500) -> DataFrame:
+    """Reads of which every seventh keeps its introns of at most ``gap`` bases: the tables hold no retained introns."""
+    kept = F.when(F.col("row_id") % 7 == 0, chains.merge_gaps(F.col("exons"), gap)).otherwise(F.col("exons"))
+    return r.withColumn("exons", kept)
+
+
 def halves(r: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reads of cells 1 and 2 and of all other cells (named in the read): two samples to compare."""
-    x = r.where("read_name IS NOT NULL").withColumn("__cell", F.regexp_extract("read_name", "_s([0-9]+)/", 1))
+    """Reads of cells 1 and 2 and of all other cells (named in the read; reads without a name are
+    among these): two samples to compare."""
+    x = r.withColumn("__cell", F.coalesce(F.regexp_extract("read_name", "_s([0-9]+)/", 1), F.lit("")))
     first = F.col("__cell").isin("1", "2")
     return x.where(first).drop("__cell"), x.where(~first).drop("__cell")
 

@@ -184,12 +184,13 @@ def nearest_snap(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def redirect_junctions(spark: SparkSession, d: str) -> DataFrame:
-    return J.redirect_to_stronger(_stats(spark, d))
+    """Anchors of 200 bases make a read reliable here; neighbours are 2,000 bases away at most."""
+    return J.redirect_to_stronger(J.junction_stats(lifts.reads(spark, d), support=200, long_support=250), window=2000)
 
 
 @query
 def demoted_alternatives(spark: SparkSession, d: str) -> DataFrame:
-    return J.demote_alternatives(_stats(spark, d))
+    return J.demote_alternatives(_stats(spark, d), window=1000)
 
 
 @query
@@ -268,7 +269,7 @@ def containment_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def near_equal_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return T.near_chain_pairs(_chained(spark, d), 8).select("tx_id", "r_tx_id")
+    return T.near_chain_pairs(_chained(spark, d), 500).select("tx_id", "r_tx_id")
 
 
 @query
@@ -288,7 +289,7 @@ def intronic(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def retained_introns(spark: SparkSession, d: str) -> DataFrame:
-    return T.retained_introns(T.raw_transcripts(lifts.reads(spark, d)), 0.5)
+    return T.retained_introns(T.raw_transcripts(lifts.retaining(lifts.reads(spark, d))), 1.0)
 
 
 @query

@@ -62,13 +62,20 @@ def _all(name: str, keep: str = "true") -> str:
 
 
 ALL = READS + "," + _all("tx")
-RAW = (
-    READS
-    + """,
+_RAW = """,
 raw AS (SELECT chrom, strand, ex, min(row_id) AS tx_id, sum(w)::BIGINT AS cov, ex[1].s AS s, ex[len(ex)].e AS e, len(ex) AS n
   FROM reads WHERE list_sum(list_transform(ex, lambda x: x.e - x.s)) >= 200 GROUP BY chrom, strand, ex)"""
+RAW = READS + _RAW
+_RUN = "CASE WHEN regexp_extract(coalesce(read_name, ''), '_s([0-9]+)/', 1) IN ('1', '2') THEN 0 ELSE 1 END"
+# every seventh read keeps its introns of at most 2,500 bases
+RETAINING = READS.replace("reads AS (SELECT", "reads0 AS (SELECT", 1).replace(
+    "exon AS (",
+    """rm AS (SELECT *, list_filter(range(1, len(ex)), lambda i: ex[i + 1].s - ex[i].e > 2500) AS b FROM reads0),
+reads AS (SELECT * REPLACE (CASE WHEN row_id % 7 = 0 THEN list_transform(range(1, len(b) + 2), lambda k: {'s': ex[CASE WHEN k = 1 THEN 1 ELSE b[k - 1] + 1 END].s,
+  'e': ex[CASE WHEN k = len(b) + 1 THEN len(ex) ELSE b[k] END].e}) ELSE ex END AS ex) FROM rm),
+exon AS (""",
+    1,
 )
-_RUN = "CASE WHEN read_name IS NULL THEN NULL WHEN regexp_extract(read_name, '_s([0-9]+)/', 1) IN ('1', '2') THEN 0 ELSE 1 END"
 TWO = READS + "," + _tx("ta", "reads", f"({_RUN}) = 0") + "," + _tx("tb", "reads", f"({_RUN}) = 1")
 ALL_TWO = READS + "," + _all("ta", f"({_RUN}) = 0") + "," + _all("tb", f"({_RUN}) = 1")
 REGION = (
@@ -110,6 +117,7 @@ fp AS (SELECT run_id, chrom, bdstart, bdend, strand, bottleneck AS w, list_trans
   FROM flow_iterations WHERE path_nodes IS NOT NULL AND bottleneck IS NOT NULL AND chrom IS NOT NULL),
 flow AS (SELECT * FROM fp WHERE len(p) > 0)"""
 B = "run_id, chrom, bdstart, bdend, strand"
+_FB = " AND ".join(f"{{x}}.{c} IS NOT DISTINCT FROM {{y}}.{c}" for c in B.split(", "))
 
 
 def _segments(src: str, keys: str) -> str:
@@ -214,8 +222,8 @@ ORACLES = {
         (SELECT y.donor FROM g y WHERE {_SAME} AND abs(y.donor - x.donor) <= 25 ORDER BY abs(y.donor - x.donor), y.donor LIMIT 1) AS nearest_donor,
         (SELECT y.acceptor FROM g y WHERE {_SAME} AND abs(y.acceptor - x.acceptor) <= 25 ORDER BY abs(y.acceptor - x.acceptor), y.acceptor LIMIT 1) AS nearest_acceptor FROM stats x""",
     ),
-    "redirect_junctions": w(STATS, f"SELECT x.chrom, x.strand, x.donor, x.acceptor, y.donor AS to_donor, y.acceptor AS to_acceptor FROM stats x JOIN stats y ON {_SAME} AND {_near('donor acceptor', 25)} WHERE x.nreads_good = 0 AND y.nreads_good > 0 AND y.mrcount > x.mrcount * 0.9 QUALIFY row_number() OVER (PARTITION BY x.chrom, x.strand, x.donor, x.acceptor ORDER BY y.mrcount DESC, y.donor, y.acceptor) = 1"),
-    "demoted_alternatives": w(STATS, f"SELECT x.chrom, x.strand, x.donor, x.acceptor, y.donor AS to_donor FROM stats x JOIN stats y ON {_SAME} AND x.acceptor = y.acceptor AND abs(x.donor - y.donor) <= 50 AND x.donor <> y.donor WHERE x.mrcount < y.mrcount * 0.5 QUALIFY row_number() OVER (PARTITION BY x.chrom, x.strand, x.donor, x.acceptor ORDER BY y.mrcount DESC, y.donor) = 1"),
+    "redirect_junctions": w(STATS.replace("THEN 25 ELSE 10", "THEN 250 ELSE 200"), f"SELECT x.chrom, x.strand, x.donor, x.acceptor, y.donor AS to_donor, y.acceptor AS to_acceptor FROM stats x JOIN stats y ON {_SAME} AND {_near('donor acceptor', 2000)} WHERE x.nreads_good = 0 AND y.nreads_good > 0 AND y.mrcount > x.mrcount * 0.9 QUALIFY row_number() OVER (PARTITION BY x.chrom, x.strand, x.donor, x.acceptor ORDER BY y.mrcount DESC, y.donor, y.acceptor) = 1"),
+    "demoted_alternatives": w(STATS, f"SELECT x.chrom, x.strand, x.donor, x.acceptor, y.donor AS to_donor FROM stats x JOIN stats y ON {_SAME} AND x.acceptor = y.acceptor AND abs(x.donor - y.donor) <= 1000 AND x.donor <> y.donor WHERE x.mrcount < y.mrcount * 0.5 QUALIFY row_number() OVER (PARTITION BY x.chrom, x.strand, x.donor, x.acceptor ORDER BY y.mrcount DESC, y.donor) = 1"),
     "intron_pairs": w(READS, "SELECT chrom, strand, ex[i].e AS d1, ex[i + 1].s AS a1, ex[i + 1].e AS d2, ex[i + 2].s AS a2, sum(w)::BIGINT AS n_reads FROM (SELECT chrom, strand, ex, w, unnest(range(1, len(ex) - 1)) AS i FROM reads) GROUP BY ALL"),
     "junction_usage": w(
         STATS + "," + _tx("ta", "reads", f"({_RUN}) = 0") + f", known AS (SELECT DISTINCT {_JK} FROM jx WHERE ({_RUN}) = 1), u AS (SELECT chrom, strand, tx_id, unnest(chain) AS j FROM ta)",
@@ -237,7 +245,7 @@ ORACLES = {
         AND (y.cov > x.cov OR (y.cov = x.cov AND y.tx_id < x.tx_id))
         AND len(list_filter(x.ex, lambda a: len(list_filter(y.ex, lambda b: b.s <= a.s AND a.e <= b.e)) = 0)) = 0)""",
     ),
-    "near_equal_pairs": w(TX, f"SELECT x.tx_id, y.tx_id AS r_tx_id FROM tx x JOIN tx y ON {_SAME} AND x.n = y.n AND x.tx_id < y.tx_id AND abs(x.chain[1].d - y.chain[1].d) <= 8 WHERE len(list_filter(range(1, x.n), lambda i: abs(x.chain[i].d - y.chain[i].d) > 8 OR abs(x.chain[i].a - y.chain[i].a) > 8)) = 0"),
+    "near_equal_pairs": w(TX, f"SELECT x.tx_id, y.tx_id AS r_tx_id FROM tx x JOIN tx y ON {_SAME} AND x.n = y.n AND x.tx_id < y.tx_id AND abs(x.chain[1].d - y.chain[1].d) <= 500 WHERE len(list_filter(range(1, x.n), lambda i: abs(x.chain[i].d - y.chain[i].d) > 500 OR abs(x.chain[i].a - y.chain[i].a) > 500)) = 0"),
     "isofrac_locus": w(
         ALL + ", l AS (SELECT *, sum(nw) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id) AS locus FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY chrom, strand ORDER BY s, e, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS nw FROM tx))",
         """SELECT tx_id, cov AS coverage FROM (SELECT *, max(cov) OVER (PARTITION BY chrom, strand, locus) AS m, max(CASE WHEN n > 1 THEN cov END) OVER (PARTITION BY chrom, strand, locus) AS mm FROM l)
@@ -246,8 +254,8 @@ ORACLES = {
     "opposite_dominated": w(ALL, "SELECT DISTINCT x.tx_id FROM tx x JOIN tx y ON x.chrom = y.chrom AND x.s < y.e AND y.s < x.e WHERE x.strand * y.strand < 0 AND y.cov >= 3 * x.cov"),
     "intronic": w(RAW + f", i AS (SELECT chrom, strand, n, unnest({CHAIN}) AS j FROM raw WHERE n > 1)", f"SELECT DISTINCT x.tx_id FROM raw x JOIN i y ON {_SAME} AND x.s >= y.j.d AND x.e <= y.j.a AND y.n > x.n WHERE y.j.d < y.j.a"),
     "retained_introns": w(
-        RAW + f", i AS (SELECT chrom, strand, j.d AS d, j.a AS a, max(cov) AS c FROM (SELECT chrom, strand, cov, unnest({CHAIN}) AS j FROM raw WHERE n > 1) WHERE j.d < j.a GROUP BY ALL), x AS (SELECT chrom, strand, tx_id, cov, unnest(ex) AS b FROM raw)",
-        f"SELECT DISTINCT x.tx_id FROM x JOIN i y ON {_SAME} AND x.b.s < y.d AND x.b.e > y.a WHERE x.cov < 0.5 * y.c",
+        RETAINING + _RAW + f", i AS (SELECT chrom, strand, j.d AS d, j.a AS a, max(cov) AS c FROM (SELECT chrom, strand, cov, unnest({CHAIN}) AS j FROM raw WHERE n > 1) WHERE j.d < j.a GROUP BY ALL), x AS (SELECT chrom, strand, tx_id, cov, unnest(ex) AS b FROM raw)",
+        f"SELECT DISTINCT x.tx_id FROM x JOIN i y ON {_SAME} AND x.b.s < y.d AND x.b.e > y.a WHERE x.cov < y.c",
     ),
     "unwitnessed": w(
         TWO + f", seen AS (SELECT DISTINCT chrom, strand, ex[i].e AS d1, ex[i + 1].s AS a1, ex[i + 1].e AS d2, ex[i + 2].s AS a2 FROM (SELECT chrom, strand, ex, unnest(range(1, len(ex) - 1)) AS i FROM reads WHERE ({_RUN}) = 1)), p AS (SELECT chrom, strand, tx_id, chain[i].d AS d1, chain[i].a AS a1, chain[i + 1].d AS d2, chain[i + 1].a AS a2 FROM (SELECT chrom, strand, tx_id, chain, unnest(range(1, len(chain))) AS i FROM ta))",
@@ -316,6 +324,32 @@ ORACLES = {
     "node_flux": w(FLOW, f"SELECT {B}, p[i] AS node, round(sum(CASE WHEN i > 1 THEN w ELSE 0 END), 4) AS abundin, round(sum(CASE WHEN i < len(p) THEN w ELSE 0 END), 4) AS abundout, round(sum(w), 4) AS longcov, round(greatest(sum(CASE WHEN i > 1 THEN w ELSE 0 END), sum(CASE WHEN i < len(p) THEN w ELSE 0 END)), 4) AS nodecov FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM flow) GROUP BY {B}, p[i]"),
     "max_flow": w(FLOW, f"SELECT {B}, round(sum(w), 4) AS max_flow FROM flow GROUP BY {B}"),
     "partition_signature": f"SELECT {B}, array_to_string(list(t ORDER BY s, t), '+') AS signature FROM (SELECT DISTINCT {B}, start AS s, (start + 1) || '-' || \"end\" AS t FROM nodes WHERE chrom IS NOT NULL AND start < \"end\") GROUP BY {B}",
+    "families": w(
+        "RECURSIVE " + PLACES + ", l AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links), r AS (SELECT u, u AS v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u), c AS (SELECT u AS locus, min(v) AS family FROM r GROUP BY u)",
+        "SELECT locus, family, (row_number() OVER (PARTITION BY family ORDER BY locus) - 1)::INT AS copy_idx FROM c",
+    ),
+    "gene_abundance": w(
+        "RECURSIVE " + ALL + """, x AS (SELECT tx_id, chrom, strand, unnest(ex) AS b FROM tx), l AS (SELECT DISTINCT x.tx_id AS u, y.tx_id AS v FROM x JOIN x y ON x.chrom = y.chrom AND x.strand = y.strand AND x.b.s < y.b.e AND y.b.s < x.b.e),
+r AS (SELECT tx_id AS u, tx_id AS v FROM tx UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u), g AS (SELECT u AS tx_id, min(v) AS gene_id FROM r GROUP BY u)""",
+        'SELECT gene_id, chrom, strand, min(s) AS start, max(e) AS "end", count(*) AS n_tx, sum(cov) AS coverage, round(sum(cov) * 1e6 / (SELECT sum(cov) FROM tx), 3) AS tpm FROM tx JOIN g USING (tx_id) GROUP BY ALL',
+    ),
+    "structural_merge": w(
+        ALL_TWO + f""", u AS (SELECT chrom, strand, ex, min(tx_id) AS tx_id FROM (SELECT * FROM ta UNION ALL SELECT * FROM tb) GROUP BY ALL), v AS (SELECT *, len(ex) AS n, ex[1].s AS s, ex[len(ex)].e AS e, {CHAIN} AS chain FROM u),
+c AS (SELECT * FROM v QUALIFY n = 1 OR row_number() OVER (PARTITION BY chrom, strand, n, chain ORDER BY tx_id) = 1),
+p AS (SELECT x.tx_id AS a, y.tx_id AS b, x.e - x.s AS la, y.e - y.s AS lb FROM c x JOIN c y ON {_SAME} AND x.n = y.n AND x.n > 1 AND x.tx_id < y.tx_id AND abs(x.chain[1].d - y.chain[1].d) <= 250
+  WHERE len(list_filter(range(1, x.n), lambda i: abs(x.chain[i].d - y.chain[i].d) > 250 OR abs(x.chain[i].a - y.chain[i].a) > 250)) = 0),
+k AS (SELECT * FROM c WHERE tx_id NOT IN (SELECT CASE WHEN la >= lb THEN b ELSE a END FROM p)),
+z AS (SELECT x.tx_id FROM k x JOIN k y ON {_SAME} AND x.tx_id <> y.tx_id AND x.s >= y.s AND x.e <= y.e WHERE (x.n = 1 AND y.n = 1 AND (x.s <> y.s OR x.e <> y.e OR y.tx_id < x.tx_id)) OR (x.n > 1 AND {_PART}))""",
+        f"SELECT tx_id, chrom, strand, {EXON_TEXT} AS exons FROM k WHERE tx_id NOT IN (SELECT tx_id FROM z) AND list_sum(list_transform(ex, lambda x: x.e - x.s)) >= 200",
+    ),
+    "graph_stats": w(
+        "RECURSIVE " + FLOW + f""", fq AS (SELECT {B}, list_concat([-1::BIGINT], p, [-2::BIGINT]) AS q FROM flow), ed AS (SELECT DISTINCT {B}, q[i] AS u, q[i + 1] AS v FROM (SELECT *, unnest(range(1, len(q))) AS i FROM fq)),
+nd AS (SELECT DISTINCT {B}, unnest(p) AS n FROM flow), l AS (SELECT {B}, u, v FROM ed WHERE u >= 0 AND v >= 0 UNION ALL SELECT {B}, v, u FROM ed WHERE u >= 0 AND v >= 0),
+r AS (SELECT {B}, n AS u, n AS v FROM nd UNION SELECT r.run_id, r.chrom, r.bdstart, r.bdend, r.strand, r.u, l.v FROM r JOIN l ON {_FB.format(x='r', y='l')} AND r.v = l.u),
+parts AS (SELECT {B}, count(DISTINCT m) AS n_parts FROM (SELECT {B}, u, min(v) AS m FROM r GROUP BY ALL) GROUP BY ALL),
+dp AS (SELECT DISTINCT {B}, v AS n, 0 AS k FROM ed WHERE u = -1 UNION SELECT dp.run_id, dp.chrom, dp.bdstart, dp.bdend, dp.strand, ed.v, dp.k + 1 FROM dp JOIN ed ON {_FB.format(x='dp', y='ed')} AND dp.n = ed.u WHERE dp.n >= 0)""",
+        f"SELECT {B}, (SELECT count(*) FROM nd WHERE {_FB.format(x='nd', y='parts')})::INT AS n_nodes, (SELECT count(*) FROM ed WHERE {_FB.format(x='ed', y='parts')})::INT AS n_edges, n_parts::INT AS n_parts, (SELECT max(k) FROM dp WHERE dp.n = -2 AND {_FB.format(x='dp', y='parts')})::INT AS longest_path FROM parts",
+    ),
     "multimap_links": w(PLACES, "SELECT * FROM links"),
     "em_weights": w(PLACES + EM_START + _em_rounds(20), "SELECT read, locus AS copy, round(wt, 5) AS weight FROM e20"),
     "phase_split": w(

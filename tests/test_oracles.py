@@ -4,9 +4,9 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
-from splicelake.plans import alignments, loci, records
+from splicelake.plans import alignments, loci, records, structures
 
-MODULES = (records, loci, alignments)
+MODULES = (records, loci, alignments, structures)
 PAIRS = [(m, n) for m in MODULES for n in m.ORACLES]
 ALONE = [(m, n) for m in MODULES for n in m.QUERIES if n not in m.ORACLES]
 
