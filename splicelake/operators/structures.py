@@ -357,11 +357,7 @@ def fit_profiles(seqs: dict[str, str], shared_from: float = 0.6, tilt_from: floa
     shared = P.from_alignment(rows) if like >= shared_from else P.from_sequence(seqs[names[0]])
     if like < tilt_from:
         return shared, {n: P.from_sequence(seqs[n]) for n in names}, True
-    keep = [j for j in range(len(rows[0])) if 2 * sum(r[j] == "-" for r in rows) < len(rows)]
-    own = {n: "".join(r[j] if r[j] != "-" else "N" for j in keep) for n, r in zip(names, rows)}
-    if like >= shared_from:
-        return shared, {n: P.tilted(shared, own[n], alpha) for n in names}, False
-    return shared, {n: P.tilted(P.from_alignment(rows), own[n], alpha) for n in names}, False
+    return shared, {n: P.of_copy(rows, i, alpha) for i, n in enumerate(names)}, False
 
 
 def assign_copy(path: set[int], copies: dict[str, set[int]]) -> str:

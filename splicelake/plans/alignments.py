@@ -13,6 +13,7 @@ from splicelake.functions import sequences as S
 from splicelake.operators import coverage as CV
 from splicelake.operators import families as FA
 from splicelake.operators import junctions as J
+from splicelake.operators import profiles as P
 from splicelake.operators import reads as RD
 from splicelake.plans import lifts
 from splicelake.plans import loci_sql as Q
@@ -270,6 +271,24 @@ def novel_reads(spark: SparkSession, d: str) -> DataFrame:
     return FA.novel_reads(_named(spark, d), k).select("read", "family", "hits")
 
 
+@R.query()
+def profile_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Likelihood of the letters of every bundle under the profiles of three of them (the first of each strand)."""
+    x = table(spark, d, "nodes").where("chrom IS NOT NULL AND bdstart IS NOT NULL AND strand IS NOT NULL")
+    x = x.select("strand", F.concat_ws(":", "chrom", "bdstart", "strand").alias("read")).distinct().withColumn("seq", _letters(F.col("read")))
+    first = x.groupBy("strand").agg(F.min(F.struct("read", "seq")).alias("m"))
+    models = {r["strand"]: P.from_sequence(r["m"]["seq"]) for r in first.collect()}
+    return P.score_reads(x, models).withColumn("loglik", F.round("loglik", 3))
+
+
+@R.query()
+def family_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Four copies of each bundle's letters, which differ in a tail, aligned."""
+    n = table(spark, d, "nodes").where("chrom IS NOT NULL AND bdstart IS NOT NULL").select(F.concat_ws(":", "chrom", "bdstart").alias("family"), (F.col("node_idx") % 4).alias("copy")).distinct()
+    seq = F.concat(F.substring(_letters(F.col("family")), 1, 40), F.substring(_letters(F.concat_ws("/", "family", "copy")), 1, 6))
+    return P.family_profiles(n.withColumn("seq", seq)).withColumn("identity", F.round("identity", 6))
+
+
 # read filters ----------------------------------------------------------------------------------
 
 GOOD = Q.STATS + ", good AS (SELECT DISTINCT chrom, donor, acceptor FROM stats WHERE mrcount >= 3)"

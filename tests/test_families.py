@@ -187,6 +187,26 @@ def test_profiles_tell_copies_apart(spark):
     assert s.where("loglik IS NULL").count() == 2
 
 
+def test_many_reads_score_like_single_ones():
+    rng = random.Random(6)
+    word = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    p = P.from_alignment([word("ACGT-", 12) for _ in range(4)])
+    seqs = [word("ACGTN", rng.randint(0, 20)) for _ in range(40)] + [word("ACGT", 15) for _ in range(20)]
+    for q in (p, P.from_sequence("ACCGT"), P.of_copy(["AC-GT", "ACCGA"], 0)):
+        for s, x in zip(seqs, P.score_many(q, seqs, cells=100)):
+            y = P.log_likelihood(q, s)
+            assert x == pytest.approx(y, abs=1e-6) or (x < -1e20 and y < -1e20), s
+
+
+def test_profile_rules():
+    p = P.from_sequence("AN")
+    assert p.match[1] == pytest.approx([math.log(0.001)] * 4) and math.exp(p.trans[0][0]) == pytest.approx(0.95)
+    q = P.from_alignment(["AAC", "AAC", "AAC"])
+    assert math.exp(q.match[0][0]) > math.exp(q.match[2][0]) > math.exp(q.match[2][3])
+    c = P.of_copy(["AC-T", "A-GT", "AG-T"], 0, alpha=0.7)
+    assert c.columns == 3 and math.exp(c.match[1][1]) == pytest.approx(0.85 / 1.002, abs=1e-3)
+
+
 def test_redirects_raise_when_not_settled(spark):
     p = spark.createDataFrame([(i, i + 1) for i in range(40)], "src int, dst int")
     assert dict(rows(J.resolve_redirects(p))) == {i: 40 for i in range(40)}
