@@ -1,10 +1,13 @@
-"""Assembly of transcripts from the weighted paths of one graph.
+"""Assembly of transcripts from the weighted paths of one graph.
 
 A locus reaches Python as its distinct paths with added weights. Seeds are taken
 by weight; each is extended to both ends along the best supported neighbours,
 must be witnessed, receives its flow from the paths it contains, and takes that
 weight away. Seeds that fail are matched to kept paths, which then share their
-weight, or stand on their own. All orders are total.
+weight, or stand on their own. Guides are paths that come first, are not extended and
+keep their own ends; in estimation mode nothing else comes out. Supplements add what
+the seeds left out. All orders are total. Paths are indexed by node, edge and splice,
+so a step meets the paths that can matter and not all of a locus.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splicelake.operators.folding import Rows, fold_groups, key_schema
-from splicelake.operators.graphs import EPS, best_match, max_flow
+from splicelake.operators.graphs import EPS, best_match, greedy_decomposition, max_flow
 from splicelake.session import cut
 
 Path = tuple[int, ...]
@@ -34,11 +37,25 @@ class Locus:
     def __post_init__(self) -> None:
         self.after: dict[int, dict[int, float]] = defaultdict(dict)
         self.before: dict[int, dict[int, float]] = defaultdict(dict)
+        for p in self.guides:
+            self.weight.setdefault(p, 0.0)
+        self.by_first: dict[int, list[Path]] = defaultdict(list)
+        self.by_node: dict[int, list[Path]] = defaultdict(list)
+        self.by_edge: dict[tuple[int, int], list[Path]] = defaultdict(list)
+        self.by_splice: dict[tuple[int, int], dict[Path, int]] = defaultdict(dict)
         for p, w in self.weight.items():
+            self.by_first[p[0]].append(p)
+            for n in p:
+                self.by_node[n].append(p)
             for u, v in zip(p, p[1:]):
-                self.after[u][v] = self.after[u].get(v, 0.0) + w
-                self.before[v][u] = self.before[v].get(u, 0.0) + w
+                self.by_edge[u, v].append(p)
+                if w > 0:
+                    self.after[u][v] = self.after[u].get(v, 0.0) + w
+                    self.before[v][u] = self.before[v].get(u, 0.0) + w
         self.splices = {p: self.splice_edges(p) for p in self.weight}
+        for p, s in self.splices.items():
+            for i, e in enumerate(s):
+                self.by_splice[e].setdefault(p, i)
 
     def splice_edges(self, p: Path) -> tuple[tuple[int, int], ...]:
         """Edges of a path that jump over bases."""
@@ -80,7 +97,7 @@ def extend(locus: Locus, seed: Path, left: dict[Path, float], forward: bool) ->
         for n, total in options.items():
             new = (*path, n) if forward else (n, *path)
             step = (end, n) if forward else (n, end)
-            got = sum(w for p, w in left.items() if w > EPS and _has_edge(p, step) and compatible(p, new))
+            got = sum(left[p] for p in locus.by_edge[step] if left[p] > EPS and compatible(p, new))
             rank = (got, total, -abs(n - end))
             if got > EPS and (best is None or rank > best[0]):
                 best = (rank, new)
@@ -89,21 +106,23 @@ def extend(locus: Locus, seed: Path, left: dict[Path, float], forward: bool) ->
         path = best[1]
 
 
-def _has_edge(p: Path, e: tuple[int, int]) -> bool:
-    return any(x == e[0] and y == e[1] for x, y in zip(p, p[1:]))
-
-
 def witnessed(locus: Locus, path: Path) -> bool:
-    """X15 (pairs): every two consecutive splices of a path occur together, in order, in some input path."""
+    """X15 (pairs): every two consecutive splices of a path occur together, in order, in some input path with weight."""
     s = locus.splice_edges(path)
     for a, b in zip(s, s[1:]):
-        if not any(_in_order(t, a, b) for t in locus.splices.values()):
+        first, then = locus.by_splice.get(a, {}), locus.by_splice.get(b, {})
+        if not any(i < then[p] and locus.weight[p] > 0 for p, i in first.items() if p in then):
             return False
     return True
 
 
-def _in_order(t: Sequence[tuple[int, int]], a: tuple[int, int], b: tuple[int, int]) -> bool:
-    return a in t and b in t and t.index(a) < t.index(b)
+def full_witness(locus: Locus, path: Path) -> bool:
+    """X15 (chain): one input path with weight holds all splices of a path, one after the other."""
+    s = locus.splice_edges(path)
+    if not s:
+        return True
+    k = len(s)
+    return any(locus.weight[p] > 0 and locus.splices[p][i : i + k] == s for p, i in locus.by_splice.get(s[0], {}).items())
 
 
 def path_flow(locus: Locus, path: Path, left: dict[Path, float], take: bool = True) -> tuple[float, list[float]]:
@@ -114,28 +133,38 @@ def path_flow(locus: Locus, path: Path, left: dict[Path, float], take: bool = Tr
     remains; overlapping pieces join, as a step back costs nothing. Of a piece that the
     flow does not use up, the path gets the share that input paths inside it have among
     all longer input paths with that piece (all of it where there are none)."""
+    total, carried, taken = _flow(locus, path, left)
+    if take:
+        for p, f in taken.items():
+            left[p] -= f
+    return total, carried
+
+
+def _flow(locus: Locus, path: Path, left: dict[Path, float]) -> tuple[float, list[float], dict[Path, float]]:
+    """Flow, weight by node, and what is taken from each piece."""
     at = {n: i for i, n in enumerate(path)}
-    pieces = [(p, w) for p, w in left.items() if w > EPS and p[0] in at and inside(p, path)]
+    pieces = [(p, left[p]) for n in path for p in locus.by_first.get(n, ()) if left[p] > EPS and inside(p, path)]
     edges = [(at[p[0]], at[p[-1]] + 1, w) for p, w in pieces]
     edges += [(i + 1, i, 1e12) for i in range(len(path))]
     total, used = max_flow(edges, 0, len(path)) if pieces else (0.0, {})
     carried = [0.0] * len(path)
+    taken: dict[Path, float] = {}
     if total <= EPS:
-        return 0.0, carried
+        return 0.0, carried, taken
+    whole: dict[tuple[int, int], float] = defaultdict(float)
+    for q, x in pieces:
+        whole[q[0], q[-1]] += x
     for p, w in pieces:
-        end = (at[p[0]], at[p[-1]] + 1)
-        whole = sum(x for q, x in pieces if (q[0], q[-1]) == (p[0], p[-1]))
-        f = min(w, used.get(end, 0.0) * w / whole)
+        f = min(w, used.get((at[p[0]], at[p[-1]] + 1), 0.0) * w / whole[p[0], p[-1]])
         if w - f > EPS and p != path:
-            hosts = [q for q in locus.weight if len(q) > len(p) and inside(p, q)]
+            hosts = [q for q in locus.by_node[p[0]] if len(q) > len(p) and inside(p, q)]
             every = sum(locus.weight[q] for q in hosts)
             own = sum(locus.weight[q] for q in hosts if inside(q, path))
             f += (w - f) * (own / every if every else 1.0)
         for n in p:
             carried[at[n]] += f
-        if take:
-            left[p] = w - f
-    return total, carried
+        taken[p] = f
+    return total, carried, taken
 
 
 def exons_of(locus: Locus, path: Path) -> list[tuple[int, int]]:
@@ -149,53 +178,103 @@ def exons_of(locus: Locus, path: Path) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def assemble(locus: Locus, min_length: int = 200, read_least: float = 1.0, single_least: float = 4.75) -> list[tuple[Path, float, str]]:
-    """(path, coverage, origin) of a locus; origin is seed, guide or rescue."""
+def assemble(
+    locus: Locus, min_length: int = 200, read_least: float = 1.0, single_least: float = 4.75, supplement: bool = False, only_guides: bool = False
+) -> list[tuple[Path, float, str]]:
+    """(path, coverage, origin) of a locus.
+
+    origin is guide, seed or rescue; with ``supplement`` also suffix-free rescues of equal outer ends
+    (alternative, X14), input paths with a splice of their own (novel, X31), paths of the greedy
+    decomposition with one (greedy, X32) and the heaviest path of a competing splice (competing, X33),
+    while seeds that are the end of a much longer kept path go to it (X13). With ``only_guides``
+    (X8) every guide comes out, with coverage 0 where nothing supports it, and nothing else."""
     left = dict(locus.weight)
     kept: list[list] = []
+    place: dict[Path, int] = {}
     deferred: list[Path] = []
     order = sorted(locus.weight, key=lambda p: (p not in locus.guides, -locus.weight[p], -len(p), p))
     for seed in order:
-        if left[seed] <= EPS:
+        guide = seed in locus.guides
+        if not guide and (only_guides or left[seed] <= EPS):
             continue
-        path = seed if seed in locus.guides else extend(locus, extend(locus, seed, left, False), left, True)
+        path = seed if guide else extend(locus, extend(locus, seed, left, False), left, True)
         least = read_least if locus.splice_edges(path) else single_least
-        if locus.length(path) < min_length or not witnessed(locus, path):
+        if not only_guides and (locus.length(path) < min_length or not (guide or witnessed(locus, path))):
             deferred.append(seed)
             continue
-        flow, carried = path_flow(locus, path, left, take=False)
+        flow, carried, taken = _flow(locus, path, left)
         if flow <= EPS:
-            deferred.append(seed)
+            if only_guides:
+                place[path] = len(kept)
+                kept.append([path, 0.0, "guide"])
+            else:
+                deferred.append(seed)
             continue
         bases = sum(c * (locus.ends[n] - n) for c, n in zip(carried, path))
         cov = bases / locus.length(path)
-        if cov < least and seed not in locus.guides:
+        if cov < least and not guide:
             deferred.append(seed)
             continue
-        path_flow(locus, path, left)
+        for p, f in taken.items():
+            left[p] -= f
         if left[seed] > EPS:
             deferred.append(seed)
-        same = next((k for k in kept if k[0] == path), None)
-        if same:
-            same[1] += cov
+        if path in place:
+            kept[place[path]][1] += cov
         else:
-            kept.append([path, cov, "guide" if seed in locus.guides else "seed"])
+            place[path] = len(kept)
+            kept.append([path, cov, "guide" if guide else "seed"])
+    if only_guides:
+        return [(k[0], k[1], k[2]) for k in kept]
     for seed in sorted(dict.fromkeys(deferred), key=lambda p: (-locus.weight[p], p)):
         rest = left[seed]
         if rest <= EPS:
             continue
         hosts = [i for i in best_match(seed, [k[0] for k in kept]) if compatible(seed, kept[i][0])]
         total = sum(kept[i][1] for i in hosts)
-        if hosts and total > 0:
+        whole = chimeric_suffix(seed, [k[0] for k in kept]) if supplement else None
+        if whole is not None:
+            kept[whole][1] += rest * locus.length(seed) / locus.length(kept[whole][0])
+        elif hosts and total > 0:
             for i in hosts:
                 share = rest * kept[i][1] / total
                 kept[i][1] += share * locus.length(seed) / locus.length(kept[i][0])
         elif rest >= (read_least if locus.splice_edges(seed) else single_least) and locus.length(seed) >= min_length and witnessed(locus, seed):
-            kept.append([seed, rest, "rescue"])
+            outer = supplement and any(same_outer(seed, k[0]) for k in kept)
+            kept.append([seed, rest, "alternative" if outer else "rescue"])
         left[seed] = 0.0
+    if supplement:
+        _supplement(locus, kept, min_length, read_least)
     return [(k[0], k[1], k[2]) for k in kept]
 
 
+def _supplement(locus: Locus, kept: list[list], min_length: int, least: float) -> None:
+    """Paths with splices that nothing kept has, in this order, each once."""
+
+    def add(path: Path, cov: float, origin: str) -> None:
+        if locus.length(path) >= min_length and all(k[0] != path for k in kept):
+            kept.append([path, cov, origin])
+
+    for p, w in sorted(novel_chains([k[0] for k in kept], locus, least), key=lambda x: (-x[1], x[0])):
+        known = {s for k in kept for s in locus.splice_edges(k[0])}
+        if any(s not in known for s in locus.splices[p]):
+            add(p, w, "novel")
+    edges = [(u, v, c) for u, x in locus.after.items() for v, c in x.items()]
+    heads, tails = defaultdict(float), defaultdict(float)
+    for p, w in locus.weight.items():
+        heads[p[0]] += w
+        tails[p[-1]] += w
+    edges += [(-1, n, w) for n, w in sorted(heads.items())] + [(n, -2, w) for n, w in sorted(tails.items())]
+    for nodes, flow, _ in greedy_decomposition(edges, least=least):
+        p = tuple(nodes)
+        known = {s for k in kept for s in locus.splice_edges(k[0])}
+        if any(s not in known for s in locus.splice_edges(p)) and witnessed(locus, p):
+            add(p, flow, "greedy")
+    for s in competing_acceptors([k[0] for k in kept], locus):
+        best = max(locus.by_splice[s], key=lambda p: (locus.weight[p], [-n for n in p]))
+        add(best, locus.weight[best], "competing")
+
+
 def novel_chains(kept: Sequence[Path], locus: Locus, least: float = 1.0) -> list[tuple[Path, float]]:
     """Input paths with a splice that no kept path has, weighted at least ``least``."""
     known = {s for k in kept for s in locus.splice_edges(k)}
@@ -230,42 +309,71 @@ def same_outer(a: Path, b: Path) -> bool:
 
 
 def assemble_loci(paths: DataFrame, keys: Sequence[str], **options) -> DataFrame:
-    """X1 for every locus: keys, tx_no, origin, coverage, exons.
+    """X1 for every locus: keys, tx_no, origin, coverage, exons, guide_id.
 
-    ``paths``: keys, path (array of struct<start,end> nodes in order), abundance."""
+    ``paths``: keys, path (array of struct<start,end> nodes in order), abundance; and, in guided
+    mode, guides (array of struct<guide_id,start,end>: J19, J21: those with this path, each of which
+    keeps its own ends, X18, and has a row of its own with the path's coverage)."""
+    guided = "guides" in paths.columns
 
     def run(rows: Rows):
         ends = {n["start"]: n["end"] for r in rows for n in r["path"]}
         weight: dict[Path, float] = defaultdict(float)
+        guides: dict[Path, list[dict]] = defaultdict(list)
         for r in rows:
-            if r["path"] and r["abundance"]:
-                weight[tuple(n["start"] for n in r["path"])] += r["abundance"]
-        locus = Locus(ends, dict(weight))
+            p = tuple(n["start"] for n in r["path"] or ())
+            if p and r["abundance"]:
+                weight[p] += r["abundance"]
+            if p and guided:
+                guides[p] += r["guides"] or []
+        locus = Locus(ends, dict(weight), {p for p, g in guides.items() if g})
         own = [rows[0][k] for k in keys]
-        for i, (p, cov, origin) in enumerate(assemble(locus, **options), 1):
-            yield (*own, i, origin, cov, [{"start": a, "end": b} for a, b in exons_of(locus, p)])
-
-    schema = f"{key_schema(paths, keys)}, tx_no int, origin string, coverage double, exons array<struct<start:bigint,end:bigint>>"
+        no = 0
+        for p, cov, origin in assemble(locus, **options):
+            ex = exons_of(locus, p)
+            for g in sorted(guides[p], key=lambda g: g["guide_id"]) if origin == "guide" else [None]:
+                no += 1
+                out = ex
+                if g:
+                    out = [(g["start"], ex[0][1]), *ex[1:-1], (ex[-1][0], g["end"])] if len(ex) > 1 else [(g["start"], g["end"])]
+                yield (*own, no, origin, cov, [{"start": a, "end": b} for a, b in out], g["guide_id"] if g else None)
+
+    schema = f"{key_schema(paths, keys)}, tx_no int, origin string, coverage double, exons array<struct<start:bigint,end:bigint>>, guide_id bigint"
     return fold_groups(paths, keys, ["abundance"], run, schema)
 
 
-def locus_paths(reads: DataFrame, runoff: int = 0) -> DataFrame:
+def locus_paths(reads: DataFrame, runoff: int = 0, guides: DataFrame | None = None) -> DataFrame:
     """Reads to the input of ``assemble_loci``: chrom, strand, locus, path, abundance.
 
-    Loci are chains of overlapping reads of one strand; a path's nodes are those its exons overlap."""
+    Loci are chains of overlapping reads of one strand; a path's nodes are those its exons overlap.
+    ``guides`` (tx_id, chrom, strand, exons) take part without weight: their junctions cut
+    nodes (G19, G20), and their paths come with them."""
+    from splicelake.functions.chains import bounds
     from splicelake.operators.graphs import split_nodes
     from splicelake.operators.ranges import overlap_join, regions
 
     keys = ["chrom", "strand"]
-    r = regions(reads, keys, runoff).withColumnRenamed("region_start", "locus")
-    nodes = cut(split_nodes(reads, keys).drop("island"))
+    base = reads.select("row_id", *keys, "exons", "start", "end", "weight")
+    extra: list[str] = []
+    if guides is not None:
+        extra = ["guide_id"]
+        b = bounds(F.col("exons"))
+        g = guides.select((-1 - F.col("tx_id")).alias("row_id"), *keys, "exons", b["start"].alias("start"), b["end"].alias("end"), F.lit(0).cast(base.schema["weight"].dataType).alias("weight"), F.col("tx_id").cast("long").alias("guide_id"))
+        base = base.withColumn("guide_id", F.lit(None).cast("long")).unionByName(g)
+    r = regions(base, keys, runoff).withColumnRenamed("region_start", "locus")
+    nodes = cut(split_nodes(base, keys).drop("island"))
     # distinct structures first: what meets the nodes is no longer every read
     s = r.groupBy(*keys, "locus", "exons").agg(
-        F.sum("weight").cast("double").alias("abundance"), F.min("row_id").alias("sid")
+        F.sum("weight").cast("double").alias("abundance"), F.min("row_id").alias("sid"), *[F.collect_set(c).alias(c) for c in extra]
     )
     s = cut(s)
     ex = s.select(*keys, "sid", F.explode("exons").alias("e")).select(*keys, "sid", F.col("e.start").alias("start"), F.col("e.end").alias("end"))
     hit = overlap_join(ex, nodes, keys).select(*keys, "sid", F.struct(F.col("r_start").alias("start"), F.col("r_end").alias("end")).alias("n"))
     p = hit.groupBy(*keys, "sid").agg(F.array_sort(F.collect_set("n")).alias("path"))
-    x = s.select(*keys, "sid", "locus", "abundance").join(p, [*keys, "sid"])
-    return x.groupBy(*keys, "locus", "path").agg(F.sum("abundance").alias("abundance"))
+    if guides is None:
+        x = s.select(*keys, "sid", "locus", "abundance").join(p, [*keys, "sid"])
+        return x.groupBy(*keys, "locus", "path").agg(F.sum("abundance").alias("abundance"))
+    b = bounds(F.col("exons"))
+    own = F.transform("guide_id", lambda i: F.struct(i.alias("guide_id"), b["start"].alias("start"), b["end"].alias("end")))
+    x = s.select(*keys, "sid", "locus", "abundance", own.alias("g")).join(p, [*keys, "sid"])
+    return x.groupBy(*keys, "locus", "path").agg(F.sum("abundance").alias("abundance"), F.flatten(F.collect_list("g")).alias("guides"))

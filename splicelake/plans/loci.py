@@ -388,6 +388,36 @@ def assembled(spark: SparkSession, d: str) -> DataFrame:
     return x.select("chrom", "strand", "locus", "tx_no", "origin", F.round("coverage", 4).alias("coverage"), _exon_text().alias("exons"))
 
 
+def _guided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Reads of one sample and, as guides, the chains of the other."""
+    a, b = lifts.halves(lifts.reads(spark, d))
+    return a, cut(lifts.chain_transcripts(b))
+
+
+def _assembled(x: DataFrame) -> DataFrame:
+    return x.select("chrom", "strand", "locus", "tx_no", "origin", "guide_id", F.round("coverage", 4).alias("coverage"), _exon_text().alias("exons"))
+
+
+@query
+def assembled_guided(spark: SparkSession, d: str) -> DataFrame:
+    r, g = _guided(spark, d)
+    return _assembled(A.assemble_loci(A.locus_paths(r, guides=g), ["chrom", "strand", "locus"]))
+
+
+@query
+def guide_expression(spark: SparkSession, d: str) -> DataFrame:
+    """Estimation mode: every guide with its own exons, whether anything supports it or not."""
+    r, g = _guided(spark, d)
+    x = A.assemble_loci(A.locus_paths(r, guides=g), ["chrom", "strand", "locus"], only_guides=True)
+    return x.select("guide_id", "chrom", "strand", _exon_text().alias("exons"))
+
+
+@query
+def assembled_supplemented(spark: SparkSession, d: str) -> DataFrame:
+    x = A.assemble_loci(A.locus_paths(lifts.reads(spark, d)), ["chrom", "strand", "locus"], supplement=True)
+    return _assembled(x)
+
+
 @query
 def filtered_loci(spark: SparkSession, d: str) -> DataFrame:
     x = LF.filter_loci(_tx(spark, d))

@@ -276,6 +276,7 @@ ORACLES = {
         READS + "".join(f", r{k} AS (SELECT chrom, strand, ex, min(row_id) AS tx_id, sum(w)::DOUBLE AS cov FROM reads WHERE ({_RUN}) = {k} AND list_sum(list_transform(ex, lambda x: x.e - x.s)) >= 200 GROUP BY chrom, strand, ex)" for k in (0, 1)),
         "SELECT tx_id, cov AS coverage FROM r0 UNION ALL SELECT tx_id, cov FROM r1 ANTI JOIN r0 USING (chrom, strand, ex)",
     ).replace("r0 AS (SELECT chrom, strand, ex,", "q0 AS (SELECT chrom, strand, ex,").replace("FROM r0 UNION ALL SELECT tx_id, cov FROM r1 ANTI JOIN r0", "FROM q0 UNION ALL SELECT tx_id, cov FROM r1 ANTI JOIN q0"),
+    "guide_expression": w(TWO, f"SELECT tx_id AS guide_id, chrom, strand, {EXON_TEXT} AS exons FROM tb"),
     "transcript_coverage": w(
         ALL + f", seg AS ({_segments('exon', 'chrom')}), b AS (SELECT tx_id, chrom, unnest(ex) AS x FROM tx)",
         """SELECT tx_id, sum(c)::BIGINT AS cov_sum, floor(sum(c) / sum(l) * 1000)::BIGINT AS mean_milli FROM (

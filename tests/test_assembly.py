@@ -80,6 +80,44 @@ def test_assembly_of_reads(spark):
     assert A.assemble_loci(A.locus_paths(reads.limit(0)), ["chrom", "strand", "locus"]).count() == 0
 
 
+def test_guided_assembly(spark):
+    """Guides with support come out with their own ends, whatever the reads' ends; in estimation mode all do."""
+    schema = "row_id long, chrom string, strand int, exons array<struct<start:bigint,end:bigint>>, weight long"
+    reads = spark.createDataFrame([(i, "c", 1, [(0, 100), (200, 300), (400, 520)], 4) for i in range(3)], schema)
+    reads = reads.withColumn("start", F.col("exons")[0]["start"]).withColumn("end", F.element_at("exons", -1)["end"])
+    data = [(7, "c", 1, [(20, 100), (200, 300), (400, 480)]), (8, "c", 1, [(10, 100), (200, 300), (400, 500)]), (9, "c", 1, [(0, 100), (200, 300), (400, 450), (900, 990)]), (10, "d", 1, [(5, 50)])]
+    guides = spark.createDataFrame(data, "tx_id long, chrom string, strand int, exons array<struct<start:bigint,end:bigint>>")
+    paths = A.locus_paths(reads, guides=guides)
+    got = {r.guide_id: (r.origin, r.coverage, [tuple(e) for e in r.exons]) for r in A.assemble_loci(paths, ["chrom", "strand", "locus"]).collect()}
+    assert got[7][0] == got[8][0] == "guide" and got[7][2] == data[0][3] and got[8][2] == data[1][3] and got[7][1] == got[8][1] > 0
+    assert 10 not in got
+    only = {r.guide_id: r.coverage for r in A.assemble_loci(paths, ["chrom", "strand", "locus"], only_guides=True).collect()}
+    assert set(only) == {7, 8, 9, 10} and only[10] == 0.0 and only[7] > 0
+    none = A.locus_paths(reads, guides=guides.limit(0))
+    assert [r.guide_id for r in A.assemble_loci(none, ["chrom", "strand", "locus"]).collect()] == [None]
+
+
+def test_supplements():
+    rng = random.Random(2)
+    ends = {n: n + 150 for n in range(0, 1800, 200)}
+    origins = set()
+    for _ in range(200):
+        weight = {}
+        for _ in range(rng.randint(2, 9)):
+            lo = rng.choice([0, 0, 200, 400, 600])
+            p = tuple(n for n in ends if lo <= n <= lo + 800 and rng.random() < 0.6)
+            if len(p) > 1:
+                weight[p] = weight.get(p, 0) + rng.randint(1, 9)
+        plain, more = A.assemble(A.Locus(ends, dict(weight))), A.assemble(A.Locus(ends, dict(weight)), supplement=True)
+        assert {p for p, _, _ in plain} <= {p for p, _, _ in more} and len({p for p, _, _ in more}) == len(more)
+        locus = A.Locus(ends, dict(weight))
+        held = {s for p, _, _ in more for s in locus.splice_edges(p)}
+        assert {s for p, w in weight.items() if w >= 1 and locus.length(p) >= 200 for s in locus.splice_edges(p)} <= held
+        origins |= {o for _, _, o in more}
+    assert "seed" in origins and origins & {"novel", "greedy", "alternative", "competing", "rescue"}, origins
+    assert A.full_witness(A.Locus(ENDS, {(0, 200, 400): 1.0}), (0, 200)) and not A.full_witness(A.Locus(ENDS, {(0, 200): 1.0, (200, 400): 1.0}), (0, 200, 400))
+
+
 # filters -----------------------------------------------------------------------
 
 E3 = [(0, 100), (200, 300), (400, 500)]
