@@ -85,23 +85,35 @@ def scan_boundaries(depth: Sequence[float], window: int = 50, least: float = 10.
 
 
 def _change_points(depth: Sequence[float], window: int = 50, least: float = 10.0, share: float = 0.1, margin: int = 25) -> list[tuple[int, str, float]]:
-    """All change points, near ones too."""
-    n = len(depth)
-    up, down = [0.0] * (n + 1), [0.0] * (n + 1)
-    for i in range(1, n):
-        d = depth[i] - depth[i - 1]
-        up[i + 1] = up[i] + max(d, 0.0)
-        down[i + 1] = down[i] + max(-d, 0.0)
+    """All change points of per-base coverage, near ones too."""
+    steps = [(i, depth[i] - depth[i - 1]) for i in range(1, len(depth)) if depth[i] != depth[i - 1]]
+    return change_points(steps, len(depth), window, least, share, margin)
+
+
+def change_points(steps: Sequence[tuple[int, float]], n: int, window: int = 50, least: float = 10.0, share: float = 0.1, margin: int = 25) -> list[tuple[int, str, float]]:
+    """All change points of a stretch of ``n`` bases, from the positions (1 to n - 1, ascending) at which
+    coverage rises or falls: only there can one be, so the work grows with the steps and not the bases."""
+    at = [i for i, _ in steps]
+    up, down = [0.0], [0.0]
+    for _, x in steps:
+        up.append(up[-1] + max(x, 0.0))
+        down.append(down[-1] + max(-x, 0.0))
     found: list[tuple[int, str, float]] = []
-    for i in range(max(margin, 1), n - margin):
-        a, b = max(i - window, 1), min(i + window, n)
-        rise_l, rise_r = up[i] - up[a], up[b] - up[i]
-        fall_l, fall_r = down[i] - down[a], down[b] - down[i]
-        rise, fall = depth[i] - depth[i - 1], depth[i - 1] - depth[i]
-        if rise > 0 and rise_r > least and rise_l < share * rise_r:
+    lo = hi = 0
+    for k, (i, x) in enumerate(steps):
+        # steps of the windows [i - window, i) and [i, i + window)
+        while at[lo] < i - window:
+            lo += 1
+        while hi < len(at) and at[hi] < i + window:
+            hi += 1
+        if not max(margin, 1) <= i < n - margin:
+            continue
+        rise_l, rise_r = up[k] - up[lo], up[hi] - up[k]
+        fall_l, fall_r = down[k] - down[lo], down[hi] - down[k]
+        if x > 0 and rise_r > least and rise_l < share * rise_r:
             found.append((i, "start", rise_r))
-        if fall > 0 and fall_l + fall > least and fall_r - fall < share * (fall_l + fall):
-            found.append((i, "end", fall_l + fall))
+        if x < 0 and fall_l - x > least and fall_r + x < share * (fall_l - x):
+            found.append((i, "end", fall_l - x))
     return found
 
 
@@ -114,31 +126,31 @@ def _strongest(points: Sequence[tuple[int, str, float]], apart: int = 100) -> li
     return sorted(out)
 
 
-def node_boundaries(nodes: DataFrame, segments: DataFrame, keys: Sequence[str], longest: int = 5_000_000, **options) -> DataFrame:
+def node_boundaries(nodes: DataFrame, segments: DataFrame, keys: Sequence[str], **options) -> DataFrame:
     """Change points inside every node: keys, node_start, pos, kind, strength.
 
-    ``nodes``: keys, start, end. A node's coverage is expanded alone; nodes longer
-    than ``longest`` bases are scanned in pieces of that length that see past their cuts;
-    near points are weighed over the whole node."""
-    import numpy as np
-
+    ``nodes``: keys, start, end. A fold walks the coverage segments of one node, however long
+    it is; nodes of 150 bases or fewer have none."""
     keys, apart = list(keys), options.pop("apart", 100)
-    halo = max(options.get("window", 50), options.get("margin", 25)) + 1
-    hit = overlap_join(nodes.select(*keys, "start", "end"), segments.select(*keys, "start", "end", "depth"), keys)
-    hit = hit.select(*keys, "start", "end", F.greatest("start", "r_start").alias("s"), F.least("end", "r_end").alias("e"), "r_depth")
+    long = nodes.select(*keys, "start", "end").where(F.col("end") - F.col("start") > 150)
+    hit = overlap_join(long, segments.select(*keys, "start", "end", "depth"), keys)
+    hit = hit.select(*keys, "start", "end", F.greatest("start", "r_start").alias("s"), F.least("end", "r_end").alias("e"), F.col("r_depth").cast("double").alias("d"))
 
     def run(rows: Rows):
         a, b = rows[0]["start"], rows[0]["end"]
-        found = []
-        for lo in range(a, b if b - a > 150 else a, longest):
-            hi = min(b, lo + longest)
-            u, v = max(a, lo - halo), min(b, hi + halo)
-            d = np.zeros(v - u)
-            for r in rows:
-                d[max(r["s"], u) - u : max(min(r["e"], v) - u, 0)] = r["r_depth"]
-            found += [(u + p, kind, x) for p, kind, x in _change_points(d.tolist(), **options) if lo <= u + p < hi]
-        for pos, kind, strength in _strongest(found, apart):
-            yield (*[rows[0][k] for k in keys], a, pos, kind, strength)
+        steps: list[tuple[int, float]] = []
+        end, depth = a, 0.0
+        for r in rows:
+            if r["s"] > end and depth:
+                steps.append((end - a, -depth))
+                depth = 0.0
+            if r["s"] > a and r["d"] != depth:
+                steps.append((r["s"] - a, r["d"] - depth))
+            end, depth = r["e"], r["d"]
+        if end < b and depth:
+            steps.append((end - a, -depth))
+        for pos, kind, strength in _strongest(change_points(steps, b - a, **options), apart):
+            yield (*[rows[0][k] for k in keys], a, a + pos, kind, strength)
 
     schema = f"{key_schema(nodes, keys)}, node_start bigint, pos bigint, kind string, strength double"
     return fold_groups(hit, [*keys, "start", "end"], ["s"], run, schema)

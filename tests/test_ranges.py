@@ -104,3 +104,18 @@ def test_components(spark, seed):
     want = union_find(edges, {x for e in edges for x in e} | {999, 7})
     assert {r["node"]: r["component"] for r in components.connected_components(df, vertices=extra).collect()} == want
     assert components.connected_components(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("per_task", [1, 3, 40])
+def test_components_of_more_than_one_task(spark, monkeypatch, per_task):
+    monkeypatch.setattr(components, "PER_TASK", per_task)
+    rng = random.Random(per_task)
+    edges = [(f"n{rng.randint(0, 60)}", f"n{rng.randint(0, 60)}") for _ in range(45)] + [("hub", f"n{i}") for i in range(8)]
+    want = {}
+    for a, b in edges:
+        x = want.get(a, {a}) | want.get(b, {b})
+        for n in x:
+            want[n] = x
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {n: min(x) for n, x in want.items()}
+    assert components.contract([]) == [] and sorted(components.contract([(3, 2), (2, 1), (9, 8)])) == [(2, 1), (3, 1), (9, 8)]
