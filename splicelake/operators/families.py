@@ -19,13 +19,23 @@ def multi_locus_reads(placements: DataFrame) -> DataFrame:
     return d.join(many, "read", "left_semi")
 
 
+TOGETHER = 256
+"""Loci of one read that meet in one join key."""
+
+
 def locus_links(placements: DataFrame, min_shared: int = 1) -> DataFrame:
     """Pairs of loci (a < b) with the number of reads they share, at least ``min_shared``.
 
-    Pairs arise from a join of the distinct placements on the read, so a read with
-    many loci is spread like any join key; counts are combined map-side."""
+    Pairs arise from a join of the distinct placements on the read. The loci of a read with
+    more than ``TOGETHER`` are dealt into slices, and each pair of slices is a key of its own, so
+    the pairs of one read, which the definition asks for, spread over tasks; counts are combined map-side."""
     d = cut(multi_locus_reads(placements))
-    p = d.withColumnRenamed("locus", "a").join(d.withColumnRenamed("locus", "b"), "read").where("a < b")
+    n = d.groupBy("read").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("__m"))
+    d = d.join(n, "read").withColumn("__own", F.pmod(F.xxhash64("locus"), F.col("__m")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("__m") - 1))
+    a = d.select("read", F.col("locus").alias("a"), F.col("__own").alias("__x"), others.alias("__y"))
+    b = d.select("read", F.col("locus").alias("b"), others.alias("__x"), F.col("__own").alias("__y"))
+    p = a.join(b, ["read", "__x", "__y"]).where("a < b")
     return p.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared")).where(F.col("n_shared") >= min_shared)
 
 

@@ -73,13 +73,15 @@ def graph_edges(nodes: DataFrame, reads: DataFrame, keys: Sequence[str] = ("chro
 
 
 def map_reads(reads: DataFrame, nodes: DataFrame, keys: Sequence[str] = ("chrom", "strand"), ident: str = "row_id") -> DataFrame:
-    """The path of each read: starts of the nodes its exons overlap, in order."""
+    """The path of each read: starts of the nodes its exons overlap, in order.
+
+    Distinct structures meet the nodes; reads take the path of theirs."""
     keys = list(keys)
-    ex = reads.select(ident, *keys, "weight", F.explode("exons").alias("e")).select(
-        ident, *keys, "weight", F.col("e.start").alias("start"), F.col("e.end").alias("end")
-    )
-    hit = overlap_join(ex, nodes, keys)
-    return hit.groupBy(ident, *keys, "weight").agg(F.array_sort(F.collect_set("r_start")).alias("path"))
+    s = cut(reads.groupBy(*keys, "exons").agg(F.min(ident).alias("__sid")))
+    ex = s.select("__sid", *keys, F.explode("exons").alias("e")).select("__sid", *keys, F.col("e.start").alias("start"), F.col("e.end").alias("end"))
+    p = overlap_join(ex, nodes, keys).groupBy("__sid", *keys).agg(F.array_sort(F.collect_set("r_start")).alias("path"))
+    known = s.join(p, ["__sid", *keys]).drop("__sid")
+    return reads.select(ident, *keys, "weight", "exons").join(known, [*keys, "exons"]).drop("exons")
 
 
 def transfrags(paths: DataFrame, keys: Sequence[str] = ("chrom", "strand")) -> DataFrame:

@@ -55,10 +55,20 @@ def overlap_join(
     )
 
 
+def merged_ranges(df: DataFrame, keys: Sequence[str], pad: int = 0) -> DataFrame:
+    """The union of the ranges of each key (keys, start, end), padded on both sides. Null and empty ranges don't count."""
+    keys = list(keys)
+    x = df.where(F.col("start") - pad < F.col("end") + pad).select(*keys, (F.col("start") - pad).alias("start"), (F.col("end") + pad).alias("end"))
+    lab = label_islands(x, keys)
+    return lab.groupBy(*keys, F.col("__island").alias("start")).agg(F.max("__e").alias("end"))
+
+
 def overlap_semi(left: DataFrame, right: DataFrame, keys: Sequence[str], ident: str, anti: bool = False, pad: int = 0, **kw) -> DataFrame:
-    """Rows of ``left`` that overlap some (anti: no) range of ``right``, padded by ``pad``."""
-    slim = right.select(*keys, (F.col("start") - pad).alias("start"), (F.col("end") + pad).alias("end"))
-    hit = overlap_join(left.select(ident, *keys, "start", "end"), slim, keys, **kw).select(ident).distinct()
+    """Rows of ``left`` that overlap some (anti: no) range of ``right``, padded by ``pad``.
+
+    The right side is merged first, so that a row meets the few stretches it touches, however many
+    ranges lie there."""
+    hit = overlap_join(left.select(ident, *keys, "start", "end"), merged_ranges(right, keys, pad), keys, **kw).select(ident).distinct()
     return left.join(hit, ident, "left_anti" if anti else "left_semi")
 
 

@@ -105,14 +105,29 @@ def _overlapping(x: DataFrame, keys: Sequence[str], slim: Sequence[str] | None =
     return overlap_join(s, s, keys, bin_size=bin_size).where("tx_id <> r_tx_id")
 
 
+def larger_chains(small: DataFrame, large: DataFrame) -> DataFrame:
+    """Pairs (tx_id, r_tx_id) of which the first's chain is an ordered proper part of the second's, of one place.
+
+    A part shares all its introns with the whole, so only chains that hold the part's rarest intron
+    are compared. Both: tx_id, place, chain, n_exons."""
+    s = small.select("tx_id", *PLACE, "chain", "n_exons")
+    r = cut(large.select(F.col("tx_id").alias("r_tx_id"), *PLACE, F.col("chain").alias("r_chain"), F.col("n_exons").alias("r_n_exons")))
+    holds = r.select("r_tx_id", *PLACE, F.explode("r_chain").alias("j"))
+    df = holds.groupBy(*PLACE, "j").agg(F.count(F.lit(1)).alias("df"))
+    own = s.select("tx_id", *PLACE, F.explode("chain").alias("j")).join(df, [*PLACE, "j"])
+    rare = own.groupBy("tx_id").agg(F.min_by("j", F.struct("df", "j")).alias("j"))
+    # ids come from both sides by equal joins; the arrays join last, for candidates only
+    pairs = s.select("tx_id", *PLACE, "n_exons").join(rare, "tx_id").join(holds, [*PLACE, "j"]).select("tx_id", "n_exons", "r_tx_id")
+    pairs = pairs.join(r.select("r_tx_id", "r_chain", "r_n_exons"), "r_tx_id").where("n_exons < r_n_exons")
+    both = pairs.join(s.select("tx_id", "chain"), "tx_id")
+    return both.where(chains.is_proper_subchain(F.col("chain"), F.col("r_chain"))).select("tx_id", "r_tx_id")
+
+
 def subset_chains(tx: DataFrame) -> DataFrame:
     """tx_ids whose chain is an ordered proper part of another chain of the place,
-    with the number of such others. A chain's parts share its span, so candidates
-    come from the overlap join."""
-    x = with_structure(tx).where("n_exons > 1")
-    p = _overlapping(x, PLACE, ["chain", "n_exons"]).where("n_exons < r_n_exons")
-    hit = p.where(chains.is_proper_subchain(F.col("chain"), F.col("r_chain")))
-    return hit.groupBy("tx_id").agg(F.countDistinct("r_tx_id").alias("n_larger"))
+    with the number of such others."""
+    x = cut(with_structure(tx).where("n_exons > 1").select("tx_id", *PLACE, "chain", "n_exons"))
+    return larger_chains(x, x).groupBy("tx_id").agg(F.countDistinct("r_tx_id").alias("n_larger"))
 
 
 def containment_filter(tx: DataFrame) -> DataFrame:
@@ -130,13 +145,14 @@ def contained_merge(tx: DataFrame) -> DataFrame:
     """Single exons inside single exons, and chains that are parts of others with the
     span inside, are absorbed (ties of equal spans: the smaller tx_id stays)."""
     x = with_structure(tx)
-    p = _overlapping(x, PLACE, ["chain", "n_exons"])
+    x = cut(x.select("tx_id", *PLACE, "start", "end", "chain", "n_exons"))
+    span = x.select(F.col("tx_id").alias("r_tx_id"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     inside = (F.col("start") >= F.col("r_start")) & (F.col("end") <= F.col("r_end"))
+    multi = x.where("n_exons > 1")
+    parts = larger_chains(multi, multi).join(multi.select("tx_id", "start", "end"), "tx_id").join(span, "r_tx_id").where(inside).select("tx_id")
     same = (F.col("start") == F.col("r_start")) & (F.col("end") == F.col("r_end"))
-    single = (F.col("n_exons") == 1) & (F.col("r_n_exons") == 1) & (~same | (F.col("r_tx_id") < F.col("tx_id")))
-    multi = (F.col("n_exons") > 1) & chains.is_proper_subchain(F.col("chain"), F.col("r_chain"))
-    lost = p.where(inside & (single | multi)).select("tx_id").distinct()
-    return tx.join(lost, "tx_id", "left_anti")
+    lone = _overlapping(x.where("n_exons = 1"), PLACE).where(inside & (~same | (F.col("r_tx_id") < F.col("tx_id")))).select("tx_id")
+    return tx.join(parts.unionByName(lone).distinct(), "tx_id", "left_anti")
 
 
 def length_filters(tx: DataFrame, min_exon: int = 1, min_length: int = 200, terminal: int = 0) -> DataFrame:
@@ -273,12 +289,8 @@ def set_comparison(found: DataFrame, truth: DataFrame, keys: Sequence[str]) -> D
 def reference_subset(tx: DataFrame, ref: DataFrame) -> DataFrame:
     """tx_ids whose introns are all known, that match no reference chain exactly and
     are an ordered proper part of one."""
-    sub = with_structure(tx).where("n_exons > 1")
-    r = with_structure(ref).where("n_exons > 1").select(
-        F.col("tx_id").alias("ref_id"), *PLACE, "start", "end", F.col("chain").alias("ref_chain")
-    )
-    p = overlap_join(sub.select("tx_id", *PLACE, "start", "end", "chain"), r, PLACE)
-    part = p.where(chains.is_proper_subchain(F.col("chain"), F.col("r_ref_chain"))).select("tx_id").distinct()
+    sub, r = (with_structure(x).where("n_exons > 1") for x in (tx, ref))
+    part = larger_chains(cut(sub.select("tx_id", *PLACE, "chain", "n_exons")), r).select("tx_id").distinct()
     return part.join(exact_reference(tx, ref).select("tx_id").distinct(), "tx_id", "left_anti")
 
 
@@ -317,10 +329,11 @@ def loss_report(best: DataFrame, refs: DataFrame, ref: str = "ref_id", code: str
 
 def abundance(tx: DataFrame, fragment_bases: float | None = None) -> DataFrame:
     """TPM = coverage * 1e6 / sum of coverage; FPKM = coverage * 1e9 / fragment bases (0 without)."""
-    total = tx.agg(F.sum("coverage")).first()[0] or 0
-    total = float(total) if total and total > 1e-9 else 1.0
+    # the total is one row: it joins every transcript without a pass through the driver
+    total = tx.agg(F.sum("coverage").cast("double").alias("__t")).select(F.when(F.col("__t") > 1e-9, F.col("__t")).otherwise(1.0).alias("__t"), F.lit(1).alias("__one"))
     fpkm = F.col("coverage") * F.lit(1e9 / fragment_bases) if fragment_bases else F.lit(0.0)
-    return tx.withColumn("tpm", F.col("coverage") * F.lit(1e6) / F.lit(total)).withColumn("fpkm", fpkm)
+    x = tx.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one", "left")
+    return x.withColumn("tpm", F.col("coverage") * F.lit(1e6) / F.col("__t")).withColumn("fpkm", fpkm).drop("__one", "__t")
 
 
 def gene_ids(tx: DataFrame) -> DataFrame:
