@@ -192,6 +192,31 @@ def path_counts(capacities: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _fold_edges(capacities, keys, run, "n_paths string, widest double")
 
 
+def sink_within(capacities: DataFrame, nodes: DataFrame, keys: Sequence[str], anchor: int) -> DataFrame:
+    """Keys, node, near: whether a way of at most ``anchor`` bases behind a node leads to the sink.
+    ``nodes``: keys, node, start, end; unknown nodes have no length."""
+    n = nodes.select(*keys, F.col("node").alias("v"), (F.col("end") - F.col("start")).alias("len")).distinct()
+    e = capacities.select(*keys, "u", "v", "capacity").join(n, [*keys, "v"], "left").withColumn("len", F.coalesce("len", F.lit(0)))
+
+    def run(rows: Rows):
+        import heapq
+
+        g, size = G.build(_edges(rows)), {r["v"]: r["len"] for r in rows}
+        for s in sorted({r["v"] for r in rows if r["v"] >= 0}):
+            best, todo, near = {s: 0}, [(0, s)], False
+            while todo and not near:
+                l, u = heapq.heappop(todo)
+                for v in g.get(u, {}) if l <= best.get(u, l) else ():
+                    k = l + (size.get(v, 0) if v >= 0 else 0)
+                    if k <= anchor and k < best.get(v, anchor + 1):
+                        near = near or v == -2
+                        best[v] = k
+                        heapq.heappush(todo, (k, v))
+            yield (*_own(rows, keys), s, near)
+
+    return _fold_edges(e, keys, run, "node bigint, near boolean")
+
+
 # paths ------------------------------------------------------------------------------------------
 
 

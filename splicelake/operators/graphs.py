@@ -23,11 +23,12 @@ from splicelake.session import cut
 EPS = 1e-6
 
 
-def exon_islands(reads: DataFrame, keys: Sequence[str] = ("chrom", "strand")) -> DataFrame:
-    """Bundle nodes: stretches covered by exons, with the number of distinct exons."""
+def exon_islands(reads: DataFrame, keys: Sequence[str] = ("chrom", "strand"), merge: int = 0) -> DataFrame:
+    """Bundle nodes: stretches covered by exons, joined over gaps of at most ``merge`` bases (G3, G4),
+    with the number of distinct starts."""
     keys = list(keys)
     ex = reads.select(*keys, F.explode("exons").alias("e")).select(*keys, F.col("e.start").alias("start"), F.col("e.end").alias("end"))
-    lab = label_islands(ex, keys)
+    lab = label_islands(ex, keys, slack=merge)
     return lab.groupBy(*keys, F.col("__island").alias("start")).agg(F.max("__e").alias("end"), F.count(F.lit(1)).alias("n_starts"))
 
 

@@ -4,9 +4,9 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
-from splicelake.plans import alignments, bundles, loci, records, structures
+from splicelake.plans import alignments, audits, bundles, loci, records, structures
 
-MODULES = (records, loci, alignments, structures, bundles)
+MODULES = (records, loci, alignments, structures, bundles, audits)
 PAIRS = [(m, n) for m in MODULES for n in m.ORACLES]
 ALONE = [(m, n) for m in MODULES for n in m.QUERIES if n not in m.ORACLES]
 
