@@ -353,27 +353,23 @@ def locus_paths(reads: DataFrame, runoff: int = 0, guides: DataFrame | None = No
     from splicelake.operators.ranges import overlap_join, regions
 
     keys = ["chrom", "strand"]
-    base = reads.select("row_id", *keys, "exons", "start", "end", "weight")
-    extra: list[str] = []
+    # distinct structures first: what is cut into nodes and meets them is no longer every read
+    base, more = reads.select(*keys, "exons", "weight", "row_id"), []
     if guides is not None:
-        extra = ["guide_id"]
-        b = bounds(F.col("exons"))
-        g = guides.select((-1 - F.col("tx_id")).alias("row_id"), *keys, "exons", b["start"].alias("start"), b["end"].alias("end"), F.lit(0).cast(base.schema["weight"].dataType).alias("weight"), F.col("tx_id").cast("long").alias("guide_id"))
-        base = base.withColumn("guide_id", F.lit(None).cast("long")).unionByName(g)
-    r = regions(base, keys, runoff).withColumnRenamed("region_start", "locus")
+        none = F.lit(0).cast(base.schema["weight"].dataType)
+        g = guides.select(*keys, "exons", none.alias("weight"), (-1 - F.col("tx_id")).alias("row_id"), F.col("tx_id").cast("long").alias("guide_id"))
+        base, more = base.withColumn("guide_id", F.lit(None).cast("long")).unionByName(g), [F.collect_set("guide_id").alias("guide_id")]
+    base = base.groupBy(*keys, "exons").agg(F.sum("weight").cast("double").alias("abundance"), F.min("row_id").alias("sid"), *more)
+    b = bounds(F.col("exons"))
+    base = cut(base.withColumn("start", b["start"]).withColumn("end", b["end"]))
+    s = cut(regions(base, keys, runoff).withColumnRenamed("region_start", "locus"))
     nodes = cut(split_nodes(base, keys).drop("island"))
-    # distinct structures first: what meets the nodes is no longer every read
-    s = r.groupBy(*keys, "locus", "exons").agg(
-        F.sum("weight").cast("double").alias("abundance"), F.min("row_id").alias("sid"), *[F.collect_set(c).alias(c) for c in extra]
-    )
-    s = cut(s)
     ex = s.select(*keys, "sid", F.explode("exons").alias("e")).select(*keys, "sid", F.col("e.start").alias("start"), F.col("e.end").alias("end"))
     hit = overlap_join(ex, nodes, keys).select(*keys, "sid", F.struct(F.col("r_start").alias("start"), F.col("r_end").alias("end")).alias("n"))
     p = hit.groupBy(*keys, "sid").agg(F.array_sort(F.collect_set("n")).alias("path"))
     if guides is None:
         x = s.select(*keys, "sid", "locus", "abundance").join(p, [*keys, "sid"])
         return x.groupBy(*keys, "locus", "path").agg(F.sum("abundance").alias("abundance"))
-    b = bounds(F.col("exons"))
     own = F.transform("guide_id", lambda i: F.struct(i.alias("guide_id"), b["start"].alias("start"), b["end"].alias("end")))
     x = s.select(*keys, "sid", "locus", "abundance", own.alias("g")).join(p, [*keys, "sid"])
     return x.groupBy(*keys, "locus", "path").agg(F.sum("abundance").alias("abundance"), F.flatten(F.collect_list("g")).alias("guides"))

@@ -206,3 +206,127 @@ def read_groups(reads: DataFrame, islands: DataFrame, keys: Sequence[str] = PLAC
 
     x = map_reads(reads, islands, keys, ident)
     return x.select(ident, F.col("path").alias("groups"))
+
+
+# transcripts ---------------------------------------------------------------------------------------
+
+
+def high_overlap(tx: DataFrame, share: float = 0.8, ratio: float = 0.5) -> DataFrame:
+    """Multi-exon tx_ids of which another of the place with more coverage holds at least ``share`` of the
+    introns, and that have at most ``ratio`` of its coverage.
+
+    Such a transcript shares one of its ``n - ceil(share * n) + 1`` rarest introns with the other, so only
+    these are joined; candidates are counted exactly."""
+    x = with_structure(tx).where("n_exons > 1").select("tx_id", *PLACE, "coverage", "n_exons", F.explode("chain").alias("j"))
+    df = x.groupBy(*PLACE, "j").agg(F.count(F.lit(1)).alias("df"))
+    w = Window.partitionBy("tx_id").orderBy("df", "j")
+    n = F.col("n_exons") - 1
+    ranked = x.join(df, [*PLACE, "j"]).withColumn("r", F.row_number().over(w))
+    pre = ranked.where(F.col("r") <= n - F.ceil(n * F.lit(share) - 1e-9) + 1).select("tx_id", "coverage", "n_exons", *PLACE, "j")
+    other = x.select(F.col("tx_id").alias("o"), F.col("coverage").alias("oc"), *PLACE, "j")
+    cand = pre.join(other, [*PLACE, "j"]).where((F.col("o") != F.col("tx_id")) & (F.col("oc") > F.col("coverage")) & (F.col("coverage") <= F.col("oc") * F.lit(ratio)))
+    cand = cand.select("tx_id", "n_exons", "o").distinct()
+    both = cand.join(x.select("tx_id", "j"), "tx_id").join(other.select("o", "j"), ["o", "j"])
+    k = both.groupBy("tx_id", "o", "n_exons").agg(F.count(F.lit(1)).alias("k"))
+    return k.where(F.col("k") >= n * F.lit(share) - 1e-9).select("tx_id").distinct()
+
+
+def included_variants(tx: DataFrame, drop: float = 0.5, reach: int = 100) -> DataFrame:
+    """tx_ids whose introns are a run of those of another of the place, whose ends pass its exons there by at
+    most ``reach`` bases, and that have less than ``drop`` of its coverage."""
+    from splicelake.operators.transcripts import larger_chains
+    from splicelake.session import cut
+
+    x = cut(with_structure(tx).where("n_exons > 1").select("tx_id", *PLACE, "chain", "n_exons", "exons", "start", "end", "coverage"))
+    o = x.select(F.col("tx_id").alias("r_tx_id"), F.col("chain").alias("rc"), F.col("exons").alias("re"), F.col("coverage").alias("rcov"))
+    p = larger_chains(x, x).join(x, "tx_id").join(o, "r_tx_id").where(F.col("coverage") < F.col("rcov") * F.lit(drop))
+    at = F.array_position("rc", F.get("chain", F.lit(0))).cast("int")
+    k = F.size("chain")
+    run = (at > 0) & (F.slice("rc", F.greatest(at, F.lit(1)), k) == F.col("chain"))
+    first, last = F.get("re", at - 1), F.get("re", at + k - 1)
+    ends = (F.col("start") >= first["start"] - reach) & (F.col("end") <= last["end"] + reach)
+    return p.where(run & ends).select("tx_id").distinct()
+
+
+def within_exon(tx: DataFrame, share: float = 0.3) -> DataFrame:
+    """P16 (kill): tx_ids that lie inside one exon of another of the place and have less than ``share`` of its coverage.
+    Exons of one span count once, with their most coverage."""
+    x = with_structure(tx).select("tx_id", *PLACE, "start", "end", "coverage")
+    e = tx.select("tx_id", *PLACE, "coverage", F.explode("exons").alias("e")).groupBy(*PLACE, F.col("e.start").alias("start"), F.col("e.end").alias("end")).agg(F.max("coverage").alias("coverage"))
+    hit = overlap_join(x, e, list(PLACE)).where("r_start <= start AND end <= r_end")
+    return hit.where(F.col("coverage") < F.col("r_coverage") * F.lit(share)).select("tx_id").distinct()
+
+
+def trim_weak_terminals(tx: DataFrame, segments: DataFrame, share: float = 0.1) -> DataFrame:
+    """P16 (trim): multi-exon transcripts without a first or last exon whose mean coverage is below ``share`` of its
+    neighbour's: tx_id, exons."""
+    e = exon_coverage(tx.where(F.size("exons") > 1), segments).select("tx_id", "part", "start", "end", "mean")
+    w = Window.partitionBy("tx_id").orderBy("part")
+    e = e.withColumn("l", F.lag("mean").over(w)).withColumn("r", F.lead("mean").over(w))
+    first = F.col("l").isNull() & (F.col("mean") < F.col("r") * F.lit(share))
+    last = F.col("r").isNull() & (F.col("mean") < F.col("l") * F.lit(share))
+    return e.where(~F.coalesce(first | last, F.lit(False))).groupBy("tx_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("exons"))
+
+
+def cross_strand_retained(tx: DataFrame, share: float = 0.1) -> DataFrame:
+    """tx_ids with an exon that spans an intron of a transcript of the other strand, of which they have less
+    than ``share`` of the coverage. Introns of one span count once, with their most coverage."""
+    x = with_structure(tx).where("strand <> 0")
+    ex = x.select("tx_id", "chrom", F.col("strand").alias("s"), "coverage", F.explode("exons").alias("e"))
+    ex = ex.select("tx_id", "chrom", "s", "coverage", F.col("e.start").alias("start"), F.col("e.end").alias("end"))
+    it = x.select("chrom", (-F.col("strand")).alias("s"), F.col("coverage").alias("cov"), F.explode("chain").alias("j"))
+    it = it.groupBy("chrom", "s", F.col("j.donor").alias("start"), F.col("j.acceptor").alias("end")).agg(F.max("cov").alias("cov"))
+    p = overlap_join(ex, it, ["chrom", "s"]).where("start < r_start AND end > r_end")
+    return p.where(F.col("coverage") < F.col("r_cov") * F.lit(share)).select("tx_id").distinct()
+
+
+def alternative_ends(tx: DataFrame, clusters: DataFrame, margin: int = 25) -> DataFrame:
+    """Shortened variants of multi-exon transcripts that begin at a cluster of read starts inside their first
+    exon, ``margin`` bases or more from its ends: tx_id, centre, weight, exons. ``clusters``: place, centre, weight."""
+    x = with_structure(tx).where("n_exons > 1").select("tx_id", *PLACE, "exons")
+    e = F.get("exons", F.lit(0))
+    first = x.select("tx_id", *PLACE, "exons", (e["start"] + margin).alias("start"), (e["end"] - margin).alias("end")).where("start < end")
+    c = clusters.select(*PLACE, "weight", F.col("centre").alias("start"), (F.col("centre") + 1).alias("end"))
+    hit = overlap_join(first, c, list(PLACE))
+    new = F.concat(F.array(F.struct(F.col("r_start").alias("start"), e["end"].alias("end"))), F.slice("exons", F.lit(2), F.size("exons") - 1))
+    return hit.select("tx_id", F.col("r_start").alias("centre"), F.col("r_weight").alias("weight"), new.alias("exons"))
+
+
+def alternative_sites(tx: DataFrame, stats: DataFrame, window: int = 25, ratio: float = 0.7) -> DataFrame:
+    """Variants of transcripts with an intron moved to another of its acceptor, whose donor lies within ``window``
+    bases and which has at least ``ratio`` of its reads: tx_id, part (of the intron), donor, exons. A donor that
+    would empty the exon before it makes no variant."""
+    j = with_structure(tx).where("n_exons > 1").select("tx_id", *PLACE, "exons", F.posexplode("chain").alias("part", "j"))
+    j = j.select("tx_id", *PLACE, "exons", "part", F.col("j.donor").alias("donor"), F.col("j.acceptor").alias("acceptor"))
+    s = stats.select(*JKEY, "mrcount")
+    own = s.select(*JKEY, F.col("mrcount").alias("own"))
+    near = tolerance_join(j, s, [*PLACE, "acceptor"], ["donor"], window).where("donor <> r_donor").join(own, list(JKEY))
+    near = near.where(F.col("r_mrcount") >= F.col("own") * F.lit(ratio))
+    e = F.get("exons", F.col("part"))
+    moved = F.transform("exons", lambda x, i: F.struct(x["start"].alias("start"), F.when(i == F.col("part"), F.col("r_donor")).otherwise(x["end"]).alias("end")))
+    return near.where(e["start"] < F.col("r_donor")).select("tx_id", "part", F.col("r_donor").alias("donor"), moved.alias("exons"))
+
+
+def longtrim(nodes: DataFrame, segments: DataFrame, keys: Sequence[str], **options) -> DataFrame:
+    """Nodes cut at the change points of their coverage: keys, node, start, end."""
+    from splicelake.operators.bundles import cut_nodes
+    from splicelake.operators.coverage import node_boundaries
+    from splicelake.session import cut
+
+    return cut_nodes(nodes, cut(node_boundaries(nodes, segments, keys, **options)), keys)
+
+
+def length_consensus(members: DataFrame, window: int = 20) -> DataFrame:
+    """Per family and node the heaviest cluster of exon lengths (ties: the shorter): family, node, length, n.
+    ``members``: family, node, length."""
+    from splicelake.operators.ranges import cluster_positions
+
+    c = cluster_positions(members.withColumn("w", F.lit(1).cast("long")), ["family", "node"], "length", "w", window, 1)
+    best = c.groupBy("family", "node").agg(F.max(F.struct("weight", (-F.col("centre")).alias("c"))).alias("m"))
+    return best.select("family", "node", (-F.col("m.c")).alias("length"), F.col("m.weight").alias("n"))
+
+
+def local_pair_links(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Mates by the groups they lie in: group, mate_group, n. ``pairs``: row_id, mate_id; ``groups``: row_id, group."""
+    a = pairs.join(groups, "row_id").join(groups.select(F.col("row_id").alias("mate_id"), F.col("group").alias("mate_group")), "mate_id")
+    return a.groupBy("group", "mate_group").agg(F.count(F.lit(1)).alias("n"))

@@ -289,3 +289,108 @@ def merged_islands(spark: SparkSession, d: str) -> DataFrame:
 )
 def sink_within_anchor(spark: SparkSession, d: str) -> DataFrame:
     return B.sink_within(PB._capacities(spark, d), PB._nodes(spark, d), BUNDLE, 1000)
+
+
+# transcripts -----------------------------------------------------------------------------------------------
+
+
+@R.query(W(Q.TX + f", p AS (SELECT x.tx_id, x.n - 1 AS n, len(list_filter(x.chain, lambda j: list_contains(y.chain, j))) AS k FROM tx x JOIN tx y ON {SAME} AND x.tx_id <> y.tx_id AND y.cov > x.cov AND x.cov <= y.cov * 0.5::DOUBLE AND x.s < y.e AND y.s < x.e)", "SELECT DISTINCT tx_id FROM p WHERE k >= n * 0.6 - 1e-9"))
+def high_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return A.high_overlap(cut(lifts.chain_transcripts(lifts.reads(spark, d))), 0.6)
+
+
+@R.query(
+    W(
+        Q.TX + f", p AS (SELECT x.tx_id, x.s, x.e, x.chain AS a, y.chain AS b, y.ex AS ye, list_position(y.chain, x.chain[1]) AS k FROM tx x JOIN tx y ON {SAME} AND x.n < y.n AND x.cov < y.cov * 0.5::DOUBLE AND list_has_all(y.chain, x.chain))",
+        "SELECT DISTINCT tx_id FROM p WHERE k > 0 AND b[k:k + len(a) - 1] = a AND s >= ye[k].s - 100 AND e <= ye[k + len(a)].e + 100",
+    )
+)
+def included_variants(spark: SparkSession, d: str) -> DataFrame:
+    return A.included_variants(lifts.chain_transcripts(lifts.reads(spark, d)))
+
+
+@R.query(W(Q.ALL + ", x AS (SELECT chrom, strand, cov, unnest(ex) AS b FROM tx)", f"SELECT DISTINCT x.tx_id FROM tx x JOIN x y ON {SAME} AND y.b.s <= x.s AND x.e <= y.b.e AND x.cov < y.cov * 0.3::DOUBLE"))
+def within_exon(spark: SparkSession, d: str) -> DataFrame:
+    return A.within_exon(cut(lifts.transcripts(lifts.reads(spark, d))))
+
+
+@R.query(
+    W(
+        Q.TX + "," + SEG
+        + """, x AS (SELECT tx_id, chrom, u.i AS i, ex[u.i].s AS s, ex[u.i].e AS e FROM tx, LATERAL (SELECT unnest(range(1, n + 1)) AS i) u),
+c AS (SELECT tx_id, i, s, e, coalesce(sum((least(e, g."end") - greatest(s, g.start)) * g.depth), 0) / (e - s) AS m FROM x LEFT JOIN seg g ON g.chrom = x.chrom AND g.start < e AND g."end" > s GROUP BY tx_id, i, s, e),
+f AS (SELECT *, lag(m) OVER w AS l, lead(m) OVER w AS r FROM c WINDOW w AS (PARTITION BY tx_id ORDER BY i))""",
+        "SELECT tx_id, string_agg(s || '-' || e, ',' ORDER BY i) AS exons FROM f WHERE NOT coalesce((l IS NULL AND m < r * 0.5::DOUBLE) OR (r IS NULL AND m < l * 0.5::DOUBLE), false) GROUP BY tx_id",
+    )
+)
+def trimmed_terminals(spark: SparkSession, d: str) -> DataFrame:
+    r = cut(lifts.reads(spark, d))
+    return A.trim_weak_terminals(lifts.chain_transcripts(r), _segments(r), 0.5).select("tx_id", exon_text())
+
+
+@R.query(
+    W(
+        Q.RETAINING + Q._RAW + f", i AS (SELECT chrom, strand, j.d AS d, j.a AS a, max(cov) AS c FROM (SELECT chrom, strand, cov, unnest({Q.CHAIN}) AS j FROM raw WHERE n > 1 AND strand <> 0) WHERE j.d < j.a GROUP BY ALL), x AS (SELECT chrom, strand, tx_id, cov, unnest(ex) AS b FROM raw WHERE strand <> 0)",
+        "SELECT DISTINCT x.tx_id FROM x JOIN i y ON x.chrom = y.chrom AND x.strand = -y.strand AND x.b.s < y.d AND x.b.e > y.a WHERE x.cov < 2 * y.c",
+    )
+)
+def cross_strand_retained(spark: SparkSession, d: str) -> DataFrame:
+    return A.cross_strand_retained(cut(T.raw_transcripts(lifts.retaining(lifts.reads(spark, d)))), 2.0)
+
+
+ENDS = "array_to_string(list_transform(list_concat([{'s': y.centre, 'e': x.ex[1].e}], x.ex[2:]), lambda k: k.s || '-' || k.e), ',')"
+
+
+@R.query(
+    W(
+        Q.TX + f", pt AS (SELECT chrom, strand, s, s AS e, sum(w) AS w FROM reads GROUP BY ALL), c AS (SELECT * FROM ({Q._islands('pt', 'chrom, strand', 5, 'floor(sum(s * w) / sum(w) + 0.5)::BIGINT AS centre, sum(w)::BIGINT AS weight')}) WHERE weight >= 2)",
+        f"SELECT x.tx_id, y.centre, y.weight, {ENDS} AS exons FROM tx x JOIN c y ON {SAME} AND y.centre >= x.ex[1].s + 5 AND y.centre < x.ex[1].e - 5",
+    )
+)
+def alternative_ends(spark: SparkSession, d: str) -> DataFrame:
+    r = cut(lifts.reads(spark, d))
+    c = RG.cluster_positions(r.select("chrom", "strand", F.col("start").alias("pos"), "weight"), ["chrom", "strand"], window=5, least=2)
+    return A.alternative_ends(lifts.chain_transcripts(r), c, 5).select("tx_id", "centre", "weight", exon_text())
+
+
+@R.query(
+    W(
+        Q.STATS + "," + Q._tx("tx", "reads") + f", j AS (SELECT tx_id, chrom, strand, ex, u.i AS i, chain[u.i].d AS donor, chain[u.i].a AS acceptor FROM tx, LATERAL (SELECT unnest(range(1, n)) AS i) u), p AS (SELECT x.*, y.donor AS d2 FROM j x JOIN stats y ON {SAME} AND x.acceptor = y.acceptor AND abs(x.donor - y.donor) <= 1000 AND x.donor <> y.donor JOIN stats o ON o.chrom = x.chrom AND o.strand = x.strand AND o.donor = x.donor AND o.acceptor = x.acceptor WHERE y.mrcount >= o.mrcount * 0.7::DOUBLE)",
+        "SELECT tx_id, i - 1 AS part, d2 AS donor, array_to_string(list_transform(range(1, len(ex) + 1), lambda k: ex[k].s || '-' || CASE WHEN k = i THEN d2 ELSE ex[k].e END), ',') AS exons FROM p WHERE ex[i].s < d2",
+    )
+)
+def alternative_sites(spark: SparkSession, d: str) -> DataFrame:
+    r = cut(lifts.reads(spark, d))
+    return A.alternative_sites(cut(lifts.chain_transcripts(r)), J.junction_stats(r), 1000).select("tx_id", "part", "donor", exon_text())
+
+
+@R.query()
+def longtrimmed_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Graph nodes cut where coverage changes."""
+    r = cut(lifts.reads(spark, d))
+    seg = cut(RG.coverage_segments(lifts.exon_rows(r), ["chrom", "strand"]))
+    return A.longtrim(cut(G.split_nodes(r)), seg, ["chrom", "strand"])
+
+
+@R.query(
+    W(
+        f"m AS (SELECT chrom || ':' || bdstart || strand AS family, node_idx AS node, \"end\" - start AS n, count(*) AS w FROM nodes WHERE chrom IS NOT NULL AND bdstart IS NOT NULL AND strand IS NOT NULL AND node_idx IS NOT NULL AND start < \"end\" GROUP BY ALL), p AS (SELECT family, node, n AS s, n AS e, w FROM m), c AS ({Q._islands('p', 'family, node', 20, 'sum(w) AS k, floor(sum(s * w) / sum(w) + 0.5)::BIGINT AS centre')})",
+        "SELECT family, node, centre AS length, k::BIGINT AS n FROM c QUALIFY row_number() OVER (PARTITION BY family, node ORDER BY k DESC, centre) = 1",
+    )
+)
+def length_consensus(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "nodes").where("chrom IS NOT NULL AND bdstart IS NOT NULL AND strand IS NOT NULL AND node_idx IS NOT NULL AND start < end")
+    x = x.select(F.concat("chrom", F.lit(":"), "bdstart", "strand").alias("family"), F.col("node_idx").alias("node"), (F.col("end") - F.col("start")).alias("length"))
+    return A.length_consensus(x)
+
+
+@R.query(
+    W(
+        Q.REGION + ", p AS (SELECT *, count(*) OVER (PARTITION BY read_name, chrom) AS c, sum(s) OVER (PARTITION BY read_name, chrom) - s AS m FROM reg WHERE read_name IS NOT NULL)",
+        "SELECT x.region_start AS \"group\", y.region_start AS mate_group, count(*) AS n FROM p x JOIN p y ON x.read_name = y.read_name AND x.chrom = y.chrom AND x.c = 2 AND y.c = 2 AND x.s = y.m AND y.s = x.m AND (x.s < y.s OR (x.s = y.s AND x.row_id < y.row_id)) GROUP BY ALL",
+    )
+)
+def local_pair_links(spark: SparkSession, d: str) -> DataFrame:
+    """Mates by the starts of the regions they lie in."""
+    g = cut(RG.regions(lifts.reads(spark, d), ["chrom"])).select("row_id", F.col("region_start").alias("group"))
+    return A.local_pair_links(PS.mate_pairs(spark, d), g)

@@ -426,39 +426,39 @@ def filtered_loci(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def transcript_coverage(spark: SparkSession, d: str) -> DataFrame:
-    r = lifts.reads(spark, d)
-    x = CV.transcript_coverage(lifts.transcripts(r), _coverage(spark, d, ["chrom"]))
+    r = cut(lifts.reads(spark, d))
+    x = CV.transcript_coverage(lifts.transcripts(r), cut(R.coverage_segments(lifts.exon_rows(r), ["chrom"])))
     return x.select("tx_id", "cov_sum", F.floor(F.col("mean") * 1000).alias("mean_milli"))
 
 
 @query
 def low_introns(spark: SparkSession, d: str) -> DataFrame:
-    r = lifts.reads(spark, d)
-    x = CV.low_introns(lifts.chain_transcripts(r), _coverage(spark, d, ["chrom"]))
+    r = cut(lifts.reads(spark, d))
+    x = CV.low_introns(lifts.chain_transcripts(r), cut(R.coverage_segments(lifts.exon_rows(r), ["chrom"])))
     return x.select("tx_id", "part", F.floor(F.col("mean") * 1000).alias("mean_milli"), "low")
 
 
 @query
 def resolved_strands(spark: SparkSession, d: str) -> DataFrame:
-    r = lifts.reads(spark, d)
+    r = cut(lifts.reads(spark, d))
     return CV.resolve_strand(r, J.junction_stats(r)).groupBy("strand", "resolved_strand").agg(F.count(F.lit(1)).alias("n_reads"))
 
 
 @query
 def pile_ups(spark: SparkSession, d: str) -> DataFrame:
-    return CV.pile_ups(lifts.reads(spark, d))
+    return CV.pile_ups(cut(lifts.reads(spark, d)))
 
 
 @query
 def bridged_gaps(spark: SparkSession, d: str) -> DataFrame:
-    r = lifts.reads(spark, d)
-    return CV.bridge_gaps(_coverage(spark, d, ["chrom"]), r)
+    r = cut(lifts.reads(spark, d))
+    return CV.bridge_gaps(cut(R.coverage_segments(lifts.exon_rows(r), ["chrom"])), r)
 
 
 @query
 def node_boundaries(spark: SparkSession, d: str) -> DataFrame:
-    r = lifts.reads(spark, d)
-    seg = _coverage(spark, d, ["chrom", "strand"])
+    r = cut(lifts.reads(spark, d))
+    seg = cut(R.coverage_segments(lifts.exon_rows(r), ["chrom", "strand"]))
     x = CV.node_boundaries(G.split_nodes(r), seg, ["chrom", "strand"])
     return x.withColumn("strength", F.round("strength", 3))
 
@@ -478,20 +478,20 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    r = lifts.reads(spark, d)
+    r = cut(lifts.reads(spark, d))
     return G.graph_edges(G.split_nodes(r), r)
 
 
 @query
 def read_paths(spark: SparkSession, d: str) -> DataFrame:
-    r = lifts.reads(spark, d)
+    r = cut(lifts.reads(spark, d))
     x = G.map_reads(r, G.split_nodes(r))
     return x.select("row_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
 @query
 def transfrags(spark: SparkSession, d: str) -> DataFrame:
-    r = lifts.reads(spark, d)
+    r = cut(lifts.reads(spark, d))
     x = G.transfrags(G.map_reads(r, G.split_nodes(r)))
     return x.select("chrom", "strand", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"), "abundance", "n_reads")
 
