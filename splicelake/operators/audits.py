@@ -36,9 +36,7 @@ def class_gaps(tracking: DataFrame, code: str = "class_code", bucket: Sequence[t
     """Gap analysis: comparison rows by bucket of their class and class, with their share."""
     at = F.coalesce(*[F.when(F.instr(F.lit(letters), F.col(code)) > 0, name) for name, letters in bucket], F.lit("other"))
     g = tracking.where(F.col(code).isNotNull()).groupBy(at.alias("bucket"), F.col(code).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    total = g.agg(F.sum("n").alias("__t")).withColumn("__one", F.lit(1))
-    x = g.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one")
-    return x.select("bucket", "code", "n", (F.col("n") / F.col("__t")).alias("share"))
+    return g.select("bucket", "code", "n", (F.col("n") / g.agg(F.sum("n")).scalar()).alias("share"))
 
 
 def attribute_agreement(tx: DataFrame, ref: DataFrame, value: str = "coverage") -> DataFrame:

@@ -329,11 +329,10 @@ def loss_report(best: DataFrame, refs: DataFrame, ref: str = "ref_id", code: str
 
 def abundance(tx: DataFrame, fragment_bases: float | None = None) -> DataFrame:
     """TPM = coverage * 1e6 / sum of coverage; FPKM = coverage * 1e9 / fragment bases (0 without)."""
-    # the total is one row: it joins every transcript without a pass through the driver
-    total = tx.agg(F.sum("coverage").cast("double").alias("__t")).select(F.when(F.col("__t") > 1e-9, F.col("__t")).otherwise(1.0).alias("__t"), F.lit(1).alias("__one"))
+    # the total is a scalar subquery of the same plan
+    total = tx.agg(F.sum("coverage").cast("double").alias("t")).select(F.when(F.col("t") > 1e-9, F.col("t")).otherwise(1.0)).scalar()
     fpkm = F.col("coverage") * F.lit(1e9 / fragment_bases) if fragment_bases else F.lit(0.0)
-    x = tx.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one", "left")
-    return x.withColumn("tpm", F.col("coverage") * F.lit(1e6) / F.col("__t")).withColumn("fpkm", fpkm).drop("__one", "__t")
+    return tx.withColumn("tpm", F.col("coverage") * F.lit(1e6) / total).withColumn("fpkm", fpkm)
 
 
 def gene_ids(tx: DataFrame) -> DataFrame:

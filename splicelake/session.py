@@ -16,6 +16,8 @@ def get_spark(app: str = "splicelake", cpus: int | str = "*", **conf: str) -> Sp
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # checkpoints go when their frames do
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
