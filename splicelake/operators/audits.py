@@ -328,3 +328,31 @@ def local_pair_links(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """Mates by the groups they lie in: group, mate_group, n. ``pairs``: row_id, mate_id; ``groups``: row_id, group."""
     a = pairs.join(groups, "row_id").join(groups.select(F.col("row_id").alias("mate_id"), F.col("group").alias("mate_group")), "mate_id")
     return a.groupBy("group", "mate_group").agg(F.count(F.lit(1)).alias("n"))
+
+
+def snapped_guides(guides: DataFrame, stats: DataFrame, tolerance: int = 25) -> DataFrame:
+    """Guides all of whose introns have a junction of their place within the tolerance at both sites, with these
+    junctions: tx_id, chain. The nearest counts (ties: more reads, then the smaller sites)."""
+    j = with_structure(guides).where("n_exons > 1").select("tx_id", *PLACE, F.size("chain").alias("n"), F.posexplode("chain").alias("i", "j"))
+    j = j.select("tx_id", *PLACE, "n", "i", F.col("j.donor").alias("donor"), F.col("j.acceptor").alias("acceptor"))
+    near = tolerance_join(j, stats.select(*JKEY, "mrcount"), list(PLACE), ["donor", "acceptor"], tolerance)
+    far = F.abs(F.col("donor") - F.col("r_donor")) + F.abs(F.col("acceptor") - F.col("r_acceptor"))
+    best = near.groupBy("tx_id", "n", "i").agg(F.min(F.struct(far.alias("d"), (-F.col("r_mrcount")).alias("m"), F.col("r_donor").alias("donor"), F.col("r_acceptor").alias("acceptor"))).alias("b"))
+    g = best.groupBy("tx_id", "n").agg(F.array_sort(F.collect_list(F.struct("i", "b"))).alias("l")).where(F.size("l") == F.col("n"))
+    return g.select("tx_id", F.transform("l", lambda x: F.struct(x["b"]["donor"].alias("donor"), x["b"]["acceptor"].alias("acceptor"))).alias("chain"))
+
+
+def graph_compatibility(matched: Column, exons: Column, path_length: Column) -> Column:
+    """V2: share of matched exons times (1 + .1 ln(path length)); 0 without exons or path."""
+    return F.when((exons > 0) & (path_length > 0), matched / exons * (1 + 0.1 * F.log(path_length.cast("double")))).otherwise(F.lit(0.0))
+
+
+def assigned_copies(paths: DataFrame, members: DataFrame, ident: str) -> DataFrame:
+    """Per path of a family the copy with the largest share of its nodes on the path (ties: more of them, then the
+    smaller copy): ident, copy. ``paths``: family, ident, path; ``members``: family, copy, node."""
+    m = members.select("family", "copy", "node").distinct()
+    size = m.groupBy("family", "copy").agg(F.count(F.lit(1)).alias("n"))
+    p = paths.select("family", ident, F.explode(F.array_distinct("path")).alias("node"))
+    k = p.join(m, ["family", "node"]).groupBy("family", ident, "copy").agg(F.count(F.lit(1)).alias("k")).join(size, ["family", "copy"])
+    best = k.groupBy(ident).agg(F.min(F.struct((-F.col("k") / F.col("n")).alias("s"), (-F.col("k")).alias("t"), "copy")).alias("b"))
+    return best.select(ident, F.col("b.copy").alias("copy"))

@@ -19,7 +19,7 @@ from splicelake.plans import lifts
 from splicelake.plans import loci_sql as Q
 from splicelake.plans.registry import Registry, exon_text
 from splicelake.session import shared_folder
-from splicelake.sources import sinks, text
+from splicelake.sources import bam, sinks, text
 from splicelake.sources.tables import table
 
 R = Registry()
@@ -41,27 +41,37 @@ def _letters_sql(c: str) -> str:
     return f"translate(md5({c} || '1') || md5({c} || '2'), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 
 
-def _sam(spark: SparkSession, d: str) -> DataFrame:
-    """Alignments written as SAM text and read again. Flags, clips and tags follow row_id, which is the score's rest."""
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Alignments as records: read_name, flag, chrom, start, mapq, cigar, seq, tags (a map). Flags, clips and tags
+    follow row_id."""
     i = F.col("row_id")
     rest = lambda n: F.pmod(i, F.lit(n))
     flag = rest(2) * 16 + F.when(rest(5) == 0, 256).otherwise(0) + F.when(rest(17) == 0, 4).otherwise(0)
     cigar = F.concat(F.when(rest(3) == 0, "5S").otherwise(""), S.cigar_of_exons(F.col("exons")), F.when(rest(4) == 0, "7S").otherwise(""))
-    tags = F.concat_ws(
-        "\t",
-        F.concat(F.lit("NH:i:"), rest(3) + 1),
-        F.concat(F.lit("HI:i:"), rest(3)),
-        F.when(rest(2) == 0, F.concat(F.lit("NM:i:"), rest(4))).otherwise(F.concat(F.lit("nM:i:"), rest(6))),
-        F.when(F.col("strand") != 0, F.concat(F.lit("ts:A:"), F.when(F.col("strand") > 0, "+").otherwise("-"))),
-        F.when(rest(7) == 0, F.lit("YC:f:2.0")),
-        F.concat(F.lit("AS:i:"), F.col("end") - F.col("start") - rest(50)),
-        F.concat(F.lit("XI:i:"), i),
-    )
+    tags = {
+        "NH": rest(3) + 1, "HI": rest(3), "NM": F.when(rest(2) == 0, rest(4)), "nM": F.when(rest(2) != 0, rest(6)),
+        "ts": F.when(F.col("strand") > 0, "+").when(F.col("strand") < 0, "-"), "YC": F.when(rest(7) == 0, F.lit("2.0")),
+        "AS": F.col("end") - F.col("start") - rest(50), "XI": i,
+    }
+    pairs = F.create_map(*[x for k, v in tags.items() for x in (F.lit(k), v.cast("string"))])
     name = F.coalesce("read_name", F.lit("*"))
-    line = F.concat_ws("\t", name, flag.cast("string"), "chrom", (F.col("start") + 1).cast("string"), F.lit("60"), cigar, F.lit("*"), F.lit("0"), F.lit("0"), _letters(name), F.lit("*"), tags)
+    return lifts.reads(spark, d).select(
+        name.alias("read_name"), flag.cast("int").alias("flag"), "chrom", "start", F.lit(60).alias("mapq"), cigar.alias("cigar"),
+        _letters(name).alias("seq"), F.map_filter(pairs, lambda k, v: v.isNotNull()).alias("tags"),
+    )
+
+
+# tags of SAM text are typed
+TYPES = {"ts": "A", "YC": "f"}
+
+
+def _sam(spark: SparkSession, d: str) -> DataFrame:
+    """The records written as SAM text and read again."""
+    tag = F.transform(F.map_entries("tags"), lambda e: F.concat_ws(":", e["key"], F.coalesce(*[F.when(e["key"] == k, v) for k, v in TYPES.items()], F.lit("i")), e["value"]))
+    line = F.concat_ws("\t", "read_name", F.col("flag").cast("string"), "chrom", (F.col("start") + 1).cast("string"), F.lit("60"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), "seq", F.lit("*"), F.array_join(tag, "\t"))
     at = shared_folder(spark, "sam")
     head = spark.createDataFrame([("@HD\tVN:1.6",)], "value string")
-    head.unionByName(lifts.reads(spark, d).select(line.alias("value"))).write.text(at)
+    head.unionByName(_records(spark, d).select(line.alias("value"))).write.text(at)
     return text.read_sam(spark, at)
 
 
@@ -77,11 +87,25 @@ sam AS (SELECT row_id, coalesce(read_name, '*') AS read_name, (row_id % 2) * 16
 )
 
 
-@R.query(W(SAM, f'SELECT read_name, flag, chrom, start, "end", is_mapped, is_primary, strand, nh, hi, round(weight, 6) AS weight, score, edits, {EXT.format("ex")} AS exons FROM sam'))
+SCAN = W(SAM, f'SELECT read_name, flag, chrom, start, "end", is_mapped, is_primary, strand, nh, hi, round(weight, 6) AS weight, score, edits, {EXT.format("ex")} AS exons FROM sam')
+
+
+def _scanned(x: DataFrame) -> DataFrame:
+    return x.select("read_name", "flag", "chrom", "start", "end", "is_mapped", "is_primary", "strand", "nh", "hi", F.round("weight", 6).alias("weight"), "score", "edits", exon_text())
+
+
+@R.query(SCAN)
 def sam_scan(spark: SparkSession, d: str) -> DataFrame:
     """Record to read row, tags, strand, weight, edit distance, exons of a CIGAR string."""
-    x = _sam(spark, d)
-    return x.select("read_name", "flag", "chrom", "start", "end", "is_mapped", "is_primary", "strand", "nh", "hi", F.round("weight", 6).alias("weight"), "score", "edits", exon_text())
+    return _scanned(_sam(spark, d))
+
+
+@R.query(SCAN)
+def bam_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same through BAM files, written in parallel and read by byte ranges smaller than a file."""
+    at = shared_folder(spark, "bam")
+    bam.write_bam_folder(_records(spark, d), at)
+    return _scanned(bam.alignments(bam.read_bam(spark, at, split_bytes=200_000)))
 
 
 @R.query(W(SAM, """SELECT read_name, flag, chrom, start, "end" FROM sam WHERE is_mapped AND "end" - start >= 300 AND is_primary AND chrom NOT IN ('chr_q1', 'chr_q19')"""))
@@ -255,12 +279,14 @@ def sequence_entropy(spark: SparkSession, d: str) -> DataFrame:
     return _named(spark, d).select("read", F.round(S.entropy(counts), 6).alias("entropy"))
 
 
+KMERS = f"""fam AS (SELECT DISTINCT chrom AS family, substr(x.s, u.i, 15) AS kmer FROM (SELECT DISTINCT chrom, {_letters_sql("read_name")} AS s FROM aligned_reads WHERE read_name IS NOT NULL AND chrom IS NOT NULL AND row_id % 3 = 0) x, LATERAL (SELECT unnest(range(1, 51)) AS i) u),
+b AS (SELECT read, 1 AS st, seq AS q FROM nm UNION ALL SELECT read, -1, reverse(translate(seq, 'ACGT', 'TGCA')) FROM nm), k AS (SELECT read, st, substr(q, u.i, 15) AS kmer FROM b, LATERAL (SELECT unnest(range(1, 51)) AS i) u),
+h AS (SELECT read, family, max(n) AS hits FROM (SELECT read, st, family, count(*) AS n FROM k JOIN fam USING (kmer) GROUP BY ALL) GROUP BY ALL)"""
+
+
 @R.query(
     W(
-        NAMES
-        + f""", fam AS (SELECT DISTINCT chrom AS family, substr(x.s, u.i, 15) AS kmer FROM (SELECT DISTINCT chrom, {_letters_sql("read_name")} AS s FROM aligned_reads WHERE read_name IS NOT NULL AND chrom IS NOT NULL AND row_id % 3 = 0) x, LATERAL (SELECT unnest(range(1, 51)) AS i) u),
-b AS (SELECT read, 1 AS st, seq AS q FROM nm UNION ALL SELECT read, -1, reverse(translate(seq, 'ACGT', 'TGCA')) FROM nm), k AS (SELECT read, st, substr(q, u.i, 15) AS kmer FROM b, LATERAL (SELECT unnest(range(1, 51)) AS i) u),
-h AS (SELECT read, family, max(n) AS hits FROM (SELECT read, st, family, count(*) AS n FROM k JOIN fam USING (kmer) GROUP BY ALL) GROUP BY ALL)""",
+        NAMES + "," + KMERS,
         "SELECT read, family, hits FROM h WHERE hits >= 3 QUALIFY row_number() OVER (PARTITION BY read ORDER BY hits DESC, family) = 1",
     )
 )

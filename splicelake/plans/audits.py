@@ -14,6 +14,7 @@ from splicelake.operators import junctions as J
 from splicelake.operators import nested as N
 from splicelake.operators import ranges as RG
 from splicelake.operators import transcripts as T
+from splicelake.plans import alignments as PA
 from splicelake.plans import bundles as PB
 from splicelake.plans import lifts
 from splicelake.plans import loci_sql as Q
@@ -394,3 +395,69 @@ def local_pair_links(spark: SparkSession, d: str) -> DataFrame:
     """Mates by the starts of the regions they lie in."""
     g = cut(RG.regions(lifts.reads(spark, d), ["chrom"])).select("row_id", F.col("region_start").alias("group"))
     return A.local_pair_links(PS.mate_pairs(spark, d), g)
+
+
+# guides, rescue and copies -----------------------------------------------------------------------------------
+
+
+@R.query(
+    W(
+        Q.TWO + f", st AS (SELECT {JK}, count(*) AS m FROM junc WHERE acceptor - donor >= 20 AND ({Q._RUN}) = 0 GROUP BY ALL), "
+        + f"""g AS (SELECT tx_id, chrom, strand, len(chain) AS n, u.i AS i, chain[u.i].d AS d, chain[u.i].a AS a FROM tb, LATERAL (SELECT unnest(range(1, len(chain) + 1)) AS i) u),
+b AS (SELECT x.tx_id, x.n, x.i, y.donor, y.acceptor FROM g x JOIN st y ON {SAME} AND abs(x.d - y.donor) <= 500 AND abs(x.a - y.acceptor) <= 500 QUALIFY row_number() OVER (PARTITION BY x.tx_id, x.i ORDER BY abs(x.d - y.donor) + abs(x.a - y.acceptor), y.m DESC, y.donor, y.acceptor) = 1)""",
+        "SELECT tx_id, string_agg(donor || '-' || acceptor, ',' ORDER BY i) AS chain FROM b GROUP BY tx_id, n HAVING count(*) = n",
+    )
+)
+def guide_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of one sample as guides, led to the junctions of the other within 500 bases."""
+    a, b = lifts.halves(lifts.reads(spark, d))
+    x = A.snapped_guides(lifts.chain_transcripts(b), J.junction_stats(a), 500)
+    return x.select("tx_id", F.array_join(F.transform("chain", lambda j: F.concat_ws("-", j["donor"], j["acceptor"])), ",").alias("chain"))
+
+
+@R.query(W(Q.READS, "SELECT row_id, round(CASE WHEN row_id % 4 > 0 THEN least(row_id % 5, len(ex)) / len(ex) * (1 + 0.1 * ln(row_id % 4)) ELSE 0 END, 6) AS fit FROM reads"))
+def graph_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Compatibility of reads with a graph (matched exons and path length drawn from row_id)."""
+    n = F.size("exons")
+    fit = A.graph_compatibility(F.least(F.col("row_id") % 5, n), n, F.col("row_id") % 4)
+    return lifts.reads(spark, d).select("row_id", F.round(fit, 6).alias("fit"))
+
+
+@R.query(
+    W(
+        PS.MEMBERS + "," + Q.FLOW + ", p AS (SELECT DISTINCT chrom || ':' || bdstart || strand AS family, array_to_string(p, ',') AS path, p FROM flow WHERE bdstart IS NOT NULL AND strand IS NOT NULL), m AS (SELECT DISTINCT family, copy, node FROM mb), s AS (SELECT family, copy, count(*) AS n FROM m GROUP BY ALL), k AS (SELECT x.family, x.path, m.copy, count(*) AS k FROM (SELECT DISTINCT family, path, unnest(p) AS node FROM p) x JOIN m ON x.family = m.family AND x.node = m.node GROUP BY ALL)",
+        "SELECT family || '/' || path AS pid, copy FROM k JOIN s USING (family, copy) QUALIFY row_number() OVER (PARTITION BY family, path ORDER BY k / n DESC, k DESC, copy) = 1",
+    )
+)
+def copy_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Flow paths of a place given to the run (as copy) whose nodes they cover best."""
+    x = lifts.flow_paths(spark, d).where("bdstart IS NOT NULL AND strand IS NOT NULL")
+    p = x.select(F.concat("chrom", F.lit(":"), "bdstart", "strand").alias("family"), "path").distinct()
+    p = p.withColumn("pid", F.concat_ws("/", "family", F.array_join(F.col("path").cast("array<string>"), ",")))
+    return A.assigned_copies(p, PS._members(spark, d), "pid")
+
+
+@R.query("SELECT row_id AS exon_id, min(row_id) OVER (PARTITION BY chrom, bdstart, node_idx % 2) AS part FROM nodes WHERE chrom IS NOT NULL AND bdstart IS NOT NULL AND node_idx IS NOT NULL")
+def minimizer_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of a place split by their letters, which follow place and parity."""
+    from splicelake.operators.families import split_by_minimizers
+    from splicelake.plans.alignments import _letters
+
+    n = table(spark, d, "nodes").where("chrom IS NOT NULL AND bdstart IS NOT NULL AND node_idx IS NOT NULL")
+    key = F.concat_ws(":", "chrom", "bdstart")
+    x = n.select(key.alias("node"), F.col("row_id").alias("exon_id"), _letters(F.concat_ws("/", key, F.col("node_idx") % 2)).alias("seq"))
+    return split_by_minimizers(x).select("exon_id", "part")
+
+
+@R.query(
+    W(
+        PA.NAMES + "," + PA.KMERS,
+        "SELECT family, family AS path, count(*) AS n_reads, round(avg(hits), 6) AS loglik FROM (SELECT read, family, hits FROM h WHERE hits >= 3 QUALIFY row_number() OVER (PARTITION BY read ORDER BY hits DESC, family) = 1) GROUP BY family HAVING count(*) >= 3",
+    )
+)
+def rescued_bundles(spark: SparkSession, d: str) -> DataFrame:
+    """Rescue end to end: reads matched to families by k-mers, scored (here by hits), and bundles made of them."""
+    from splicelake.operators.families import synthesize_bundles
+
+    x = PA.novel_reads(spark, d).select("family", F.col("family").alias("path"), F.col("hits").cast("double").alias("loglik"))
+    return synthesize_bundles(x).withColumn("loglik", F.round("loglik", 6))
