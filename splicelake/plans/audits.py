@@ -365,7 +365,7 @@ def alternative_sites(spark: SparkSession, d: str) -> DataFrame:
     return A.alternative_sites(cut(lifts.chain_transcripts(r)), J.junction_stats(r), 1000).select("tx_id", "part", "donor", exon_text())
 
 
-@R.query()
+@R.query(W(Q.BOUNDARIES + ", c AS (SELECT chrom, strand, s, e, unnest([s, e]) AS p FROM node UNION SELECT chrom, strand, node_start, e, pos FROM bd)", "SELECT chrom, strand, s AS node, p AS start, nx AS \"end\" FROM (SELECT *, lead(p) OVER (PARTITION BY chrom, strand, s ORDER BY p) AS nx FROM c) WHERE nx IS NOT NULL"))
 def longtrimmed_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Graph nodes cut where coverage changes."""
     r = cut(lifts.reads(spark, d))

@@ -155,6 +155,22 @@ rp AS (SELECT x.row_id, x.chrom, x.strand, list_sort(list(DISTINCT n.s)) AS p
 )
 
 
+# change points of coverage inside nodes: steps are where exons begin or end; of a kind the strongest within 100 bases
+# stays (a fold over the points in order of strength)
+BOUNDARIES = (
+    NODES
+    + """,
+ev AS (SELECT chrom, strand, pos, sum(d) AS x FROM (SELECT chrom, strand, s AS pos, 1 AS d FROM exon UNION ALL SELECT chrom, strand, e, -1 FROM exon) GROUP BY ALL HAVING sum(d) <> 0),
+sp AS (SELECT n.chrom, n.strand, n.s, n.e, v.pos, v.x FROM node n JOIN ev v ON n.chrom = v.chrom AND n.strand = v.strand AND v.pos > n.s AND v.pos < n.e WHERE n.e - n.s > 150),
+wn AS (SELECT *, coalesce(sum(greatest(x, 0)) OVER l, 0) AS rl, sum(greatest(x, 0)) OVER r AS rr, coalesce(sum(greatest(-x, 0)) OVER l, 0) AS fl, sum(greatest(-x, 0)) OVER r AS fr FROM sp
+  WINDOW l AS (PARTITION BY chrom, strand, s ORDER BY pos RANGE BETWEEN 50 PRECEDING AND 1 PRECEDING), r AS (PARTITION BY chrom, strand, s ORDER BY pos RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+cp AS (SELECT chrom, strand, s, e, pos, CASE WHEN x > 0 THEN 'start' ELSE 'end' END AS kind, CASE WHEN x > 0 THEN rr ELSE fl - x END AS strength FROM wn
+  WHERE pos - s >= 25 AND pos - s < e - s - 25 AND CASE WHEN x > 0 THEN rr > 10 AND rl < 0.1 * rr ELSE fl - x > 10 AND fr + x < 0.1 * (fl - x) END),
+kp AS (SELECT chrom, strand, s, e, kind, list_reduce(list([{'p': pos, 'w': strength}] ORDER BY strength DESC, pos), lambda a, b: CASE WHEN len(list_filter(a, lambda q: abs(q.p - b[1].p) <= 100)) = 0 THEN list_concat(a, b) ELSE a END) AS k FROM cp GROUP BY chrom, strand, s, e, kind),
+bd AS (SELECT chrom, strand, s AS node_start, e, u.x.p AS pos, kind, u.x.w AS strength FROM kp, LATERAL (SELECT unnest(k) AS x) u)"""
+)
+
+
 def _near(cols: str, window: int) -> str:
     return " AND ".join(f"abs(x.{c} - y.{c}) <= {window}" for c in cols.split())
 
@@ -311,6 +327,7 @@ ORACLES = {
       (SELECT locus_id, min({'r': CASE WHEN instr('=jcmxiypnsu', c) > 0 THEN instr('=jcmxiypnsu', c) ELSE 99 END, 'c': c}) AS m FROM (SELECT locus_id, unnest(regexp_extract_all(classes, '([=a-z]):', 1)) AS c FROM ggo19_needy_top15) GROUP BY 1) b ON l.locus_id = b.locus_id) GROUP BY ALL""",
     "cigar_roundtrip": w(READS, f"SELECT row_id, array_to_string(list_transform(range(1, len(ex) + 1), lambda i: CASE WHEN i > 1 THEN (ex[i].s - ex[i - 1].e) || 'N' ELSE '' END || (ex[i].e - ex[i].s) || 'M'), '') AS cigar, {EXON_TEXT} AS exons FROM reads"),
     "intron_table": w(TX, "SELECT chrom, strand, j.d + 1 AS start, j.a AS \"end\", count(DISTINCT tx_id) AS n_tx FROM (SELECT chrom, strand, tx_id, unnest(chain) AS j FROM tx) GROUP BY ALL"),
+    "node_boundaries": w(BOUNDARIES, "SELECT chrom, strand, node_start, pos, kind, round(strength, 3)::DOUBLE AS strength FROM bd"),
     "exon_islands": w(NODES, "SELECT chrom, strand, s AS start, e AS \"end\" FROM isl"),
     "graph_nodes": w(NODES, "SELECT chrom, strand, island, s AS start, e AS \"end\" FROM node"),
     "graph_edges": w(
