@@ -527,7 +527,8 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
 @query
 def absorbed_paths(spark: SparkSession, d: str) -> DataFrame:
     x = lifts.flow_paths(spark, d).groupBy(*BUNDLE, "path").agg(F.sum("abundance").alias("abundance"))
-    return G.absorb(x, BUNDLE)
+    x = G.absorb(x, BUNDLE)
+    return x.select(*BUNDLE, F.array_join(F.col("path").cast("array<string>"), ",").alias("path"), F.round("abundance", 4).alias("abundance"))
 
 
 @query

@@ -341,6 +341,13 @@ ORACLES = {
     "edge_capacities": w(FLOW + f", fe AS (SELECT {B}, w, list_concat([-1::BIGINT], p, [-2::BIGINT]) AS q FROM flow)", f"SELECT {B}, q[i] AS u, q[i + 1] AS v, round(sum(w), 4) AS capacity FROM (SELECT *, unnest(range(1, len(q))) AS i FROM fe) GROUP BY ALL"),
     "node_flux": w(FLOW, f"SELECT {B}, p[i] AS node, round(sum(CASE WHEN i > 1 THEN w ELSE 0 END), 4) AS abundin, round(sum(CASE WHEN i < len(p) THEN w ELSE 0 END), 4) AS abundout, round(sum(w), 4) AS longcov, round(greatest(sum(CASE WHEN i > 1 THEN w ELSE 0 END), sum(CASE WHEN i < len(p) THEN w ELSE 0 END)), 4) AS nodecov FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM flow) GROUP BY {B}, p[i]"),
     "max_flow": w(FLOW, f"SELECT {B}, round(sum(w), 4) AS max_flow FROM flow GROUP BY {B}"),
+    "absorbed_paths": w(
+        FLOW + f""", dp AS (SELECT {B}, p, sum(w) AS w FROM flow GROUP BY ALL),
+l AS (SELECT {B}, list([{{'t': ',' || array_to_string(p, ',') || ',', 'w': w, 'o': w}}] ORDER BY len(p) DESC, w DESC, p) AS k FROM dp GROUP BY {B}),
+r AS (SELECT {B}, list_reduce(k, lambda a, b: CASE WHEN len(list_filter(a, lambda h: contains(h.t, b[1].t))) = 0 THEN list_concat(a, b) ELSE list_transform(a, lambda h: {{'t': h.t, 'w': CASE WHEN contains(h.t, b[1].t)
+  THEN h.w + b[1].w * h.o / list_sum(list_transform(list_filter(a, lambda g: contains(g.t, b[1].t)), lambda g: g.o)) ELSE h.w END, 'o': h.o}}) END) AS k FROM l)""",
+        f"SELECT {B}, trim(u.x.t, ',') AS path, round(u.x.w, 4) AS abundance FROM r, LATERAL (SELECT unnest(k) AS x) u",
+    ),
     "partition_signature": f"SELECT {B}, array_to_string(list(t ORDER BY s, t), '+') AS signature FROM (SELECT DISTINCT {B}, start AS s, (start + 1) || '-' || \"end\" AS t FROM nodes WHERE chrom IS NOT NULL AND start < \"end\") GROUP BY {B}",
     "families": w(
         "RECURSIVE " + PLACES + ", l AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links), r AS (SELECT u, u AS v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u), c AS (SELECT u AS locus, min(v) AS family FROM r GROUP BY u)",

@@ -473,3 +473,30 @@ def first_alignments(spark: SparkSession, d: str) -> DataFrame:
 @R.query("SELECT run_id, chrom, count(*) AS n_descents FROM (SELECT run_id, chrom, start, lag(start) OVER (PARTITION BY run_id, chrom ORDER BY row_id) AS p FROM aligned_reads) WHERE p > start GROUP BY ALL")
 def order_guard(spark: SparkSession, d: str) -> DataFrame:
     return SS.check_order(table(spark, d, "aligned_reads"), ["run_id", "chrom"], "start", "row_id")
+
+
+FAM = (
+    "RECURSIVE " + Q.PLACES + ", l AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links), r AS (SELECT u, u AS v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u), fm AS (SELECT u AS locus, min(v) AS family FROM r GROUP BY u)"
+    + """, rb AS (SELECT chrom || ':' || region_start AS locus, chrom, region_start AS s, max(e) AS e FROM reg GROUP BY chrom, region_start),
+ji AS (SELECT locus, count(DISTINCT j) AS n FROM (SELECT chrom || ':' || region_start AS locus, unnest(list_transform(range(1, len(ex)), lambda i: {'d': ex[i].e, 'a': ex[i + 1].s})) AS j FROM reg) GROUP BY 1),
+m AS (SELECT fm.family, fm.locus, rb.chrom, rb.s, rb.e, coalesce(ji.n, 0) AS n FROM fm JOIN rb USING (locus) LEFT JOIN ji USING (locus)),"""
+    + f"gl AS (SELECT family, count(*) AS n_loci FROM ({Q._islands('m', 'family, chrom', 5000, 'min(s) AS i')}) GROUP BY family),"
+    + "ev AS (SELECT family, sum(n_shared) AS n_shared FROM links JOIN fm ON links.a = fm.locus GROUP BY 1), q AS (SELECT family, count(*) AS n_copies, CASE WHEN avg(n) > 0 THEN stddev_pop(n) / avg(n) ELSE 0 END AS cv FROM m GROUP BY 1)"
+)
+
+
+@R.query(W(FAM, "SELECT family, n_copies, n_loci, n_shared::BIGINT AS n_shared, round(n_shared / n_copies, 6) AS shared_per_copy, round(cv, 6) AS cv, n_copies BETWEEN 2 AND 30 AND n_shared >= 10 AND n_shared / n_copies >= 1 AND cv <= 1.5 AS keep FROM q JOIN gl USING (family) JOIN ev USING (family)"))
+def family_report(spark: SparkSession, d: str) -> DataFrame:
+    """The full report of families of linked loci: copies, gene loci over gaps of 5,000 bases, shared reads in all and
+    a copy, variation of the number of introns, and whether the family is kept."""
+    r = cut(lifts.reads(spark, d))
+    links = cut(FA.locus_links(lifts.placements(r)))
+    fam = cut(FA.families(links).select("locus", "family"))
+    name = F.concat_ws(":", "chrom", "region_start").alias("locus")
+    bounds = RG.region_table(r).select(name, "chrom", F.col("region_start").alias("start"), F.col("region_end").alias("end"))
+    j = RG.regions(r, ["chrom"]).select(name, F.explode(chains.junctions(F.col("exons"))).alias("j")).groupBy("locus").agg(F.countDistinct("j").alias("n_introns"))
+    m = cut(fam.join(bounds, "locus").join(j, "locus", "left").fillna(0, ["n_introns"]))
+    shared = links.join(fam.withColumnRenamed("locus", "a"), "a").select("family", "n_shared")
+    loci = FA.gene_loci(m).groupBy("family").agg(F.count(F.lit(1)).alias("n_loci"))
+    x = FA.family_quality(m, shared).join(loci, "family")
+    return x.select("family", "n_copies", "n_loci", "n_shared", F.round(F.col("n_shared") / F.col("n_copies"), 6).alias("shared_per_copy"), F.round("cv", 6).alias("cv"), "keep")
