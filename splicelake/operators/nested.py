@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # one token: a mark, a string, a bare word, or a character that fits nowhere
@@ -148,17 +148,24 @@ def pivot_paths(triples: DataFrame, leaves: Sequence[str] = (), children: Sequen
     given twice the first counts; elements without any leaf have rows as well.
     """
     path, ords = F.col("__path"), F.col("__ords")
-    own = F.regexp_extract(path, r"^(.*\[\])", 1)
-    leaf = F.regexp_replace(F.substring(path, F.length(own) + 1, F.length(path)), r"^\.", "")
+
+    def halves(p: Column) -> tuple[Column, Column]:
+        """A path up to its last ``[]``, and the name behind it."""
+        rest = F.substring_index(p, "[]", -1)
+        name = F.when(rest.startswith("."), F.substring(rest, F.lit(2), F.length(rest))).otherwise(rest)
+        return F.left(p, F.length(p) - F.length(rest)), name
+
+    own, leaf = halves(path)
     role = lambda anc, at, name, kind: F.struct(anc.alias("ancestor"), at.alias("ords"), name.alias("name"), F.lit(kind).alias("kind"))
     roles = F.array(role(own, ords, leaf, 1))
     if children:
         # an element counts for the row of its parent, too
-        array = F.regexp_extract(path, r"^(.*)\[\]$", 1)
-        above = F.regexp_extract(array, r"^(.*\[\])", 1)
-        name = F.regexp_replace(F.substring(array, F.length(above) + 1, F.length(array)), r"^\.", "")
+        above, name = halves(F.left(path, F.length(path) - 2))
         up = role(above, F.slice(ords, F.lit(1), F.greatest(F.size(ords) - 1, F.lit(0))), name, 2)
-        roles = F.when(path.endswith("[]") & name.isin(*children), F.concat(roles, F.array(up))).otherwise(roles)
+        ours = F.lit(False)
+        for c in children:
+            ours = ours | path.endswith(f".{c}[]") | (path == f"{c}[]")
+        roles = F.when(ours, F.array(role(own, ords, leaf, 1), up)).otherwise(roles)
     x = triples.select("__id", "__seq", "__val", F.explode(roles).alias("r")).select("__id", "__seq", "__val", "r.*")
     first = lambda n: F.min_by(F.when((F.col("kind") == 1) & (F.col("name") == n), F.col("__val")), F.when((F.col("kind") == 1) & (F.col("name") == n) & F.col("__val").isNotNull(), F.col("__seq")))
     aggs = [first(n).alias(n) for n in leaves]
