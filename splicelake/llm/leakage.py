@@ -9,10 +9,11 @@ suffix block selects a bucket, and the bucket is compared directly. Each hit is
 then extended to both sides, furthest-reaching by number of edits, which decides
 exactly whether it belongs to a passage.
 
-A passage of more than ``FAR`` words can be cut between two words that agree into two of
-at least ``LEAST`` (an edit spoils at most two of the cuts), and one of both has no
-more than one edit in ten. So a passage of at most ``FAR`` words lies in each, and an
-extension needs no more than ``FAR // PER_EDIT`` edits, however long item and document are.
+A passage of ``FAR`` words or more can be cut between two neighbouring words that agree into
+two of at least ``LEAST``: of L words there are L - 35 such cuts, and an edit, of which there are
+at most L / 10, spoils two at most. One of both has no more than one edit in ten. So a
+shorter passage lies in each, and an extension needs no more than four edits, however long
+item and document are.
 
 Items are the stated query set. While they are few (``ITEM_CHARS``, measured), one matcher
 goes to all executors and documents are read once, without a shuffle. Beyond that the
@@ -26,6 +27,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from splicelake.llm.normal import folded
 from splicelake.session import cut, spread
 
 LEAST, PER_EDIT, SEED = 18, 10, 6
-FAR = 60
+FAR = 44
 ITEM_CHARS = 2_000_000
 """Characters of items in one matcher."""
 BITMAP_BITS = 27
@@ -81,6 +83,21 @@ def words(text: str | None) -> list[str]:
     return out
 
 
+class _Pieces(dict):
+    """The ids of the words of a piece between white space, worked out once per distinct piece."""
+
+    def __init__(self, ids: dict[str, int]) -> None:
+        self.ids = ids
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        got = tuple(self.ids.get(w, 0) for w in folded(piece).translate(_LETTERS).split())
+        if len(piece) <= SHORT:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[piece] = got
+        return got
+
+
 @dataclass
 class Matcher:
     """Wu-Manber tables over the words of all items."""
@@ -90,6 +107,8 @@ class Matcher:
     shift: dict[tuple[int, int], int] = field(default_factory=dict)
     bucket: dict[tuple[int, int], dict[tuple[int, ...], list[tuple[int, int]]]] = field(default_factory=dict)
 
+    pieces: _Pieces | None = None
+
     @classmethod
     def build(cls, rows: Iterable[tuple[int, str | None]]) -> Matcher:
         m = cls()
@@ -110,8 +129,9 @@ class Matcher:
 
     def search(self, text: str | None) -> list[int]:
         """Items of which the text holds a passage."""
-        get = self.ids.get
-        seq = [get(w, 0) for w in words(text)]
+        if self.pieces is None:
+            self.pieces = _Pieces(self.ids)
+        seq = list(chain.from_iterable(map(self.pieces.__getitem__, (text or "").split())))
         n, i, found = len(seq), SEED - 1, set()
         # last maximal run per (item, diagonal), so a run is extended once
         runs: dict[tuple[int, int], int] = {}
@@ -145,7 +165,7 @@ class Matcher:
         run = e - a
         if run >= LEAST:
             return True, f
-        most = min(len(item), FAR) // PER_EDIT
+        most = min(len(item), FAR - 1) // PER_EDIT
         right = _reach(item, e, doc, f, most, 1)
         left = _reach(item, a - 1, doc, b - 1, most, -1)
         for x, lx in enumerate(left):

@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -94,26 +95,30 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Known(dict):
+    """Ids by piece, merged where they are first asked for."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = merge_piece(piece.encode("utf-8", "replace"), self.ranks)
+        if len(piece) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts; special tokens are never produced."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks, self.known = ranks, {}
+        self.known = _Known(ranks)
         self.pieces = regex.compile(PATTERN).findall
 
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        for p in self.pieces(text or ""):
-            ids = known.get(p)
-            if ids is None:
-                ids = merge_piece(p.encode("utf-8", "replace"), self.ranks)
-                if len(p) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[p] = ids
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self.known.__getitem__, self.pieces(text or ""))))
 
 
 def encode_corpus(df: DataFrame, ident: str = "doc_id", text: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
