@@ -99,6 +99,13 @@ def test_lookahead(spark, base):
     assert kinds == {"tag": 1, "object": 2, "continues": 12}
 
 
+def test_no_lines_at_all(spark):
+    df = spark.createDataFrame([], "run_id string, line_no int, line_id long, raw string, __state int, kind string")
+    assert logs.log_entries(df).count() == 0 and logs.line_kinds(df).count() == 0
+    one = spark.createDataFrame([(None, 5, None, None, 1, "x")], df.schema)
+    assert logs.log_entries(one).count() == 0 and [tuple(r) for r in logs.line_kinds(one).collect()] == [("continues", 1)]
+
+
 def test_unknown_layouts_are_counted(spark):
     lines = ["[A] x", "2026/01/05 10:00:00 something", "2026-01-05 10:00:00 LOUD y", "  2026-01-05 10:00:00 quoted", None]
     df = spark.createDataFrame([("r", i, i, x) for i, x in enumerate(lines)], "run_id string, line_no int, line_id long, raw string")
@@ -144,6 +151,14 @@ def test_pivot(spark):
     assert rows(pivot_ancestor(t, "a[].b[]")) == [(1, [0, 0], "1"), (1, [0, 1], "2")]
 
 
+def test_pivot_of_nothing(spark):
+    df = spark.createDataFrame([], "id long, rec string, ancestor string, kind int")
+    assert pivot_paths(path_triples(df, "id", "rec", ["a"]), ["k"], ["b"]).count() == 0
+    odd = spark.createDataFrame([(None, '{"a": [{"k": null}], "": {"": [1]}}', "z", 1), (2, "[]", "z", 1), (3, "7", "z", 1)], df.schema)
+    got = rows(pivot_paths(path_triples(odd, "id", "rec", ["a"]), ["k"], ["a"]))
+    assert (None, "a[]", [0], None, None, 0) in got and (None, "", [], None, None, 1) in got and (3, "", [], "7", None, 0) in got
+
+
 def test_pivot_of_all_paths(spark):
     """Ancestors come from the paths; of a key given twice the first counts."""
     rec = '{"t": "top", "a": [{"k": 1, "k": 2, "b": [{"k": "x"}, {}]}, 7], "c": {"d": [{"k": "y"}]}}'
