@@ -227,7 +227,8 @@ def test_pairs(spark):
         if a and b and a != b and normal.visible(a).strip() and normal.visible(a) == normal.visible(b)
     ]
     assert sorted(map(tuple, normal.look_alike_pairs(df).collect())) == want and len(want) == 7
-    assert normal.look_alike_pairs(df.limit(0)).count() == 0
+    assert normal.look_alike_pairs(df.limit(0)).count() == 0 and normal.look_alike_members(df.limit(0)).count() == 0
+    assert rows(normal.look_alike_members(df)) == [(i, 0, 3, 5) for i in (0, 1, 11, 2, 3)]
     got = {r["doc_id"]: r["text_norm"] for r in normal.consistent_text(df).collect()}
     assert got[2] == got[3] == "abc" and got[5] is None and got[4] == "ABC"
     assert normal.consistent_text(df, case_fold=True).where("doc_id = 4").first()["text_norm"] == "abc"
