@@ -190,6 +190,7 @@ def redirect_junctions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def demoted_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    """Donors within 1,000 bases: the tables hold no alternatives that are closer."""
     return J.demote_alternatives(_stats(spark, d), window=1000)
 
 
@@ -269,6 +270,7 @@ def containment_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def near_equal_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Chains within 500 bases at every site: the tables hold none that are closer."""
     return T.near_chain_pairs(_chained(spark, d), 500).select("tx_id", "r_tx_id")
 
 
@@ -289,6 +291,7 @@ def intronic(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def retained_introns(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh read keeps its introns of at most 2,500 bases: the tables hold no retained ones."""
     return T.retained_introns(T.raw_transcripts(lifts.retaining(lifts.reads(spark, d))), 1.0)
 
 
