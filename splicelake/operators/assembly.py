@@ -12,6 +12,7 @@ so a step meets the paths that can matter and not all of a locus.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splicelake.operators.folding import Rows, fold_groups, key_schema
-from splicelake.operators.graphs import EPS, best_match, greedy_decomposition, max_flow
+from splicelake.operators.graphs import EPS, greedy_decomposition, interval_flow
 from splicelake.session import cut
 
 Path = tuple[int, ...]
@@ -39,23 +40,53 @@ class Locus:
         self.before: dict[int, dict[int, float]] = defaultdict(dict)
         for p in self.guides:
             self.weight.setdefault(p, 0.0)
-        self.by_first: dict[int, list[Path]] = defaultdict(list)
-        self.by_node: dict[int, list[Path]] = defaultdict(list)
-        self.by_edge: dict[tuple[int, int], list[Path]] = defaultdict(list)
-        self.by_splice: dict[tuple[int, int], dict[Path, int]] = defaultdict(dict)
-        for p, w in self.weight.items():
-            self.by_first[p[0]].append(p)
-            for n in p:
-                self.by_node[n].append(p)
-            for u, v in zip(p, p[1:]):
-                self.by_edge[u, v].append(p)
+        # paths go by their numbers: hashing a path costs its length
+        self.paths: list[Path] = list(self.weight)
+        self.weights: list[float] = list(self.weight.values())
+        self.by_first: dict[int, list[int]] = defaultdict(list)
+        self.by_last: dict[int, list[int]] = defaultdict(list)
+        self.by_edge: dict[tuple[int, int], list[int]] = defaultdict(list)
+        self.by_splice: dict[tuple[int, int], set[int]] = defaultdict(set)
+        self.passing: dict[int, float] = defaultdict(float)
+        for i, (p, w) in enumerate(self.weight.items()):
+            self.by_first[p[0]].append(i)
+            self.by_last[p[-1]].append(i)
+            if len(p) > 1:
+                for n in p:
+                    self.passing[n] += w
+            for e in zip(p, p[1:]):
+                self.by_edge[e].append(i)
                 if w > 0:
+                    u, v = e
                     self.after[u][v] = self.after[u].get(v, 0.0) + w
                     self.before[v][u] = self.before[v].get(u, 0.0) + w
-        self.splices = {p: self.splice_edges(p) for p in self.weight}
-        for p, s in self.splices.items():
-            for i, e in enumerate(s):
-                self.by_splice[e].setdefault(p, i)
+        self.splices = [self.splice_edges(p) for p in self.paths]
+        for i, s in enumerate(self.splices):
+            for e in s:
+                self.by_splice[e].add(i)
+        self._together: dict[tuple, bool] = {}
+        self._around: dict[int, float] = {}
+
+    def together(self, a: tuple[int, int], b: tuple[int, int]) -> bool:
+        """Whether an input path with weight holds both splices; nodes ascend, so it holds them in order."""
+        got = self._together.get((a, b))
+        if got is None:
+            both = self.by_splice.get(a, set()) & self.by_splice.get(b, set())
+            got = self._together[a, b] = any(self.weights[i] > 0 for i in both)
+        return got
+
+    def around(self, i: int) -> float:
+        """Weight of the longer input paths that hold the whole path ``i``."""
+        got = self._around.get(i)
+        if got is None:
+            p = self.paths[i]
+            if len(p) == 1:
+                got = self.passing[p[0]]
+            else:
+                rare = min((self.by_edge[e] for e in zip(p, p[1:])), key=len)
+                got = sum(self.weights[j] for j in rare if len(self.paths[j]) > len(p) and inside(p, self.paths[j]))
+            self._around[i] = got
+        return got
 
     def splice_edges(self, p: Path) -> tuple[tuple[int, int], ...]:
         """Edges of a path that jump over bases."""
@@ -70,50 +101,82 @@ def compatible(part: Path, whole: Path) -> bool:
     lo, hi = max(part[0], whole[0]), min(part[-1], whole[-1])
     if lo > hi:
         return False
-    a, b = [n for n in part if lo <= n <= hi], [n for n in whole if lo <= n <= hi]
+    a, b = part[bisect_left(part, lo) : bisect_right(part, hi)], whole[bisect_left(whole, lo) : bisect_right(whole, hi)]
     return a == b and bool(a)
 
 
 def inside(part: Path, whole: Path) -> bool:
     """Whether ``part`` is a contiguous piece of ``whole``."""
-    try:
-        i = whole.index(part[0])
-    except ValueError:
-        return False
+    i = bisect_left(whole, part[0])
     return whole[i : i + len(part)] == part
 
 
-def extend(locus: Locus, seed: Path, left: dict[Path, float], forward: bool) -> Path:
+def extend(locus: Locus, seed: Path, left: Sequence[float], forward: bool) -> Path:
     """Grow a path to one side.
 
-    Among the neighbours in use the one with the most remaining weight of paths that
-    agree with the path so far is taken (ties: all weight of the edge, then the nearest
-    node); growth stops where no such path goes on."""
-    path = seed
-    while True:
-        end = path[-1] if forward else path[0]
-        options = (locus.after if forward else locus.before).get(end, {})
-        best = None
-        for n, total in options.items():
-            new = (*path, n) if forward else (n, *path)
-            step = (end, n) if forward else (n, end)
-            got = sum(left[p] for p in locus.by_edge[step] if left[p] > EPS and compatible(p, new))
-            rank = (got, total, -abs(n - end))
-            if got > EPS and (best is None or rank > best[0]):
-                best = (rank, new)
-        if best is None:
-            return path
-        path = best[1]
+    Among the neighbours in use the one with the most remaining weight (``left``, by path number) of
+    paths that agree with the path so far is taken (ties: all weight of the edge, then the nearest
+    node); growth stops where no such path goes on. The paths that agree are carried along: they go
+    on with the path, or begin at its end."""
+    paths, fresh, edges = locus.paths, locus.by_first if forward else locus.by_last, locus.after if forward else locus.before
+    end, move = (seed[-1], 1) if forward else (seed[0], -1)
+    agree: dict[int, int] = {}  # paths that agree and go on, with the place of the end less (backward: and) the steps so far
+    stop: dict[int, list[int]] = defaultdict(list)  # by step: those of them that end there
+    grown: list[int] = []
+
+    def add(i: int, k: int) -> None:
+        at = k - move * len(grown)
+        agree[i] = at
+        stop[len(paths[i]) - 1 - at if forward else at].append(i)
+
+    if len(seed) > 1:
+        for i in locus.by_edge.get(seed[-2:] if forward else seed[:2], ()):
+            if left[i] > EPS:
+                p = paths[i]
+                k = bisect_left(p, end)
+                if forward:
+                    m = min(k + 1, len(seed))
+                    same = p[k + 1 - m : k + 1] == seed[len(seed) - m :]
+                else:
+                    m = min(len(p) - k, len(seed))
+                    same = p[k : k + m] == seed[:m]
+                if same:
+                    add(i, k)
+    else:
+        for n in edges.get(end, ()):
+            for i in locus.by_edge[(end, n) if forward else (n, end)]:
+                if left[i] > EPS:
+                    add(i, bisect_left(paths[i], end))
+    while options := edges.get(end):
+        if grown or len(seed) > 1:
+            for i in fresh.get(end, ()):
+                if left[i] > EPS:
+                    add(i, 0 if forward else len(paths[i]) - 1)
+        for i in stop.pop(len(grown), ()):
+            agree.pop(i, None)
+        if not agree:
+            break
+        if len(options) == 1:
+            (end,) = options
+        else:
+            on: dict[int, list[int]] = defaultdict(list)
+            d = move * (len(grown) + 1)
+            for i, k in agree.items():
+                on[paths[i][k + d]].append(i)
+            if len(on) > 1:
+                best = max(((sum(left[i] for i in sorted(those)), options[n], -abs(n - end)), n) for n, those in on.items())[1]
+                agree = {i: agree[i] for i in on[best]}
+                end = best
+            else:
+                (end,) = on
+        grown.append(end)
+    return (*seed, *grown) if forward else (*grown[::-1], *seed)
 
 
 def witnessed(locus: Locus, path: Path) -> bool:
     """X15 (pairs): every two consecutive splices of a path occur together, in order, in some input path with weight."""
     s = locus.splice_edges(path)
-    for a, b in zip(s, s[1:]):
-        first, then = locus.by_splice.get(a, {}), locus.by_splice.get(b, {})
-        if not any(i < then[p] and locus.weight[p] > 0 for p, i in first.items() if p in then):
-            return False
-    return True
+    return all(locus.together(a, b) for a, b in zip(s, s[1:]))
 
 
 def full_witness(locus: Locus, path: Path) -> bool:
@@ -122,10 +185,14 @@ def full_witness(locus: Locus, path: Path) -> bool:
     if not s:
         return True
     k = len(s)
-    return any(locus.weight[p] > 0 and locus.splices[p][i : i + k] == s for p, i in locus.by_splice.get(s[0], {}).items())
+    for j in locus.by_splice.get(s[0], ()):
+        i = locus.splices[j].index(s[0])
+        if locus.weights[j] > 0 and locus.splices[j][i : i + k] == s:
+            return True
+    return False
 
 
-def path_flow(locus: Locus, path: Path, left: dict[Path, float], take: bool = True) -> tuple[float, list[float]]:
+def path_flow(locus: Locus, path: Path, left: list[float], take: bool = True) -> tuple[float, list[float]]:
     """Flow from the first to the last node of a path over the input paths that are its
     pieces, and the weight each node carries; that weight is taken from them.
 
@@ -135,38 +202,61 @@ def path_flow(locus: Locus, path: Path, left: dict[Path, float], take: bool = Tr
     all longer input paths with that piece (all of it where there are none)."""
     total, carried, taken = _flow(locus, path, left)
     if take:
-        for p, f in taken.items():
-            left[p] -= f
+        for i, f in taken.items():
+            left[i] -= f
     return total, carried
 
 
-def _flow(locus: Locus, path: Path, left: dict[Path, float]) -> tuple[float, list[float], dict[Path, float]]:
-    """Flow, weight by node, and what is taken from each piece."""
-    at = {n: i for i, n in enumerate(path)}
-    pieces = [(p, left[p]) for n in path for p in locus.by_first.get(n, ()) if left[p] > EPS and inside(p, path)]
-    edges = [(at[p[0]], at[p[-1]] + 1, w) for p, w in pieces]
-    edges += [(i + 1, i, 1e12) for i in range(len(path))]
-    total, used = max_flow(edges, 0, len(path)) if pieces else (0.0, {})
-    carried = [0.0] * len(path)
-    taken: dict[Path, float] = {}
+def _flow(locus: Locus, path: Path, left: Sequence[float]) -> tuple[float, list[float], dict[int, float]]:
+    """Flow, weight by node, and what is taken from each piece (by path number)."""
+    paths, size = locus.paths, len(path)
+    held = []  # input paths inside the path: place of the first node, place behind the last, number
+    for a, n in enumerate(path):
+        for i in locus.by_first.get(n, ()):
+            p = paths[i]
+            b = a + len(p)
+            if b <= size and p[-1] == path[b - 1] and p == path[a:b]:
+                held.append((a, b, i))
+    edges = [(a, b, left[i]) for a, b, i in held if left[i] > EPS]
+    total, used = interval_flow(edges, size) if edges else (0.0, {})
+    taken: dict[int, float] = {}
     if total <= EPS:
-        return 0.0, carried, taken
-    whole: dict[tuple[int, int], float] = defaultdict(float)
-    for q, x in pieces:
-        whole[q[0], q[-1]] += x
-    for p, w in pieces:
-        f = min(w, used.get((at[p[0]], at[p[-1]] + 1), 0.0) * w / whole[p[0], p[-1]])
-        if w - f > EPS and p != path:
-            hosts = [q for q in locus.by_node[p[0]] if len(q) > len(p) and inside(p, q)]
-            every = sum(locus.weight[q] for q in hosts)
-            own = sum(locus.weight[q] for q in hosts if inside(q, path))
-            f += (w - f) * (own / every if every else 1.0)
-        for n in p:
-            carried[at[n]] += f
-        taken[p] = f
+        return 0.0, [0.0] * size, taken
+    rest = []
+    for a, b, i in held:
+        if left[i] > EPS:
+            f = taken[i] = min(left[i], used.get((a, b), 0.0))
+            if left[i] - f > EPS and paths[i] != path:
+                rest.append(i)
+    if rest:
+        own = _inner(held, locus.weights, size)
+        for i in rest:
+            every = locus.around(i)
+            taken[i] += (left[i] - taken[i]) * (own[i] / every if every else 1.0)
+    carried = [0.0] * size
+    for a, b, i in held:
+        if f := taken.get(i, 0.0):
+            for k in range(a, b):
+                carried[k] += f
     return total, carried, taken
 
 
+def _inner(held: Sequence[tuple[int, int, int]], weights: Sequence[float], size: int) -> dict[int, float]:
+    """By number of each held path: weight of the longer held paths around it (sums by place of the end, longer ones first)."""
+    sums, out = [0.0] * (size + 2), {}
+    for a, b, i in sorted(held, key=lambda x: (x[0], -x[1])):
+        k, got = size + 1 - b, 0.0
+        j = k
+        while j:
+            got += sums[j]
+            j &= j - 1
+        out[i] = got
+        while k < len(sums):
+            sums[k] += weights[i]
+            k += k & -k
+    return out
+
+
 def exons_of(locus: Locus, path: Path) -> list[tuple[int, int]]:
     """Exons of a path: touching nodes joined."""
     out: list[list[int]] = []
@@ -188,76 +278,116 @@ def assemble(
     decomposition with one (greedy, X32) and the heaviest path of a competing splice (competing, X33),
     while seeds that are the end of a much longer kept path go to it (X13). With ``only_guides``
     (X8) every guide comes out, with coverage 0 where nothing supports it, and nothing else."""
-    left = dict(locus.weight)
-    kept: list[list] = []
+    left = list(locus.weights)
+    kept = Kept()
     place: dict[Path, int] = {}
-    deferred: list[Path] = []
-    order = sorted(locus.weight, key=lambda p: (p not in locus.guides, -locus.weight[p], -len(p), p))
-    for seed in order:
-        guide = seed in locus.guides
-        if not guide and (only_guides or left[seed] <= EPS):
+    deferred: list[int] = []
+    guides, paths, weights = locus.guides, locus.paths, locus.weights
+    order = sorted(range(len(paths)), key=lambda i: (paths[i] not in guides if guides else True, -weights[i], -len(paths[i]), paths[i]))
+    for i in order:
+        seed = paths[i]
+        guide = bool(guides) and seed in guides
+        if not guide and (only_guides or left[i] <= EPS):
             continue
         path = seed if guide else extend(locus, extend(locus, seed, left, False), left, True)
         least = read_least if locus.splice_edges(path) else single_least
         if not only_guides and (locus.length(path) < min_length or not (guide or witnessed(locus, path))):
-            deferred.append(seed)
+            deferred.append(i)
             continue
         flow, carried, taken = _flow(locus, path, left)
         if flow <= EPS:
             if only_guides:
-                place[path] = len(kept)
-                kept.append([path, 0.0, "guide"])
+                place[path] = kept.add(path, 0.0, "guide")
             else:
-                deferred.append(seed)
+                deferred.append(i)
             continue
         bases = sum(c * (locus.ends[n] - n) for c, n in zip(carried, path))
         cov = bases / locus.length(path)
         if cov < least and not guide:
-            deferred.append(seed)
+            deferred.append(i)
             continue
-        for p, f in taken.items():
-            left[p] -= f
-        if left[seed] > EPS:
-            deferred.append(seed)
+        for j, f in taken.items():
+            left[j] -= f
+        if left[i] > EPS:
+            deferred.append(i)
         if path in place:
-            kept[place[path]][1] += cov
+            kept.rows[place[path]][1] += cov
         else:
-            place[path] = len(kept)
-            kept.append([path, cov, "guide" if guide else "seed"])
+            place[path] = kept.add(path, cov, "guide" if guide else "seed")
     if only_guides:
-        return [(k[0], k[1], k[2]) for k in kept]
-    for seed in sorted(dict.fromkeys(deferred), key=lambda p: (-locus.weight[p], p)):
-        rest = left[seed]
+        return [(k[0], k[1], k[2]) for k in kept.rows]
+    for i in sorted(deferred, key=lambda i: (-weights[i], paths[i])):
+        seed, rest = paths[i], left[i]
         if rest <= EPS:
             continue
-        hosts = [i for i in best_match(seed, [k[0] for k in kept]) if compatible(seed, kept[i][0])]
-        total = sum(kept[i][1] for i in hosts)
-        whole = chimeric_suffix(seed, [k[0] for k in kept]) if supplement else None
+        hosts = [kept.rows[h] for h in kept.best_match(seed) if compatible(seed, kept.rows[h][0])]
+        total = sum(h[1] for h in hosts)
+        whole = kept.chimeric_suffix(seed) if supplement else None
         if whole is not None:
-            kept[whole][1] += rest * locus.length(seed) / locus.length(kept[whole][0])
+            kept.rows[whole][1] += rest * locus.length(seed) / locus.length(kept.rows[whole][0])
         elif hosts and total > 0:
-            for i in hosts:
-                share = rest * kept[i][1] / total
-                kept[i][1] += share * locus.length(seed) / locus.length(kept[i][0])
+            for h, cov in [(h, h[1]) for h in hosts]:
+                share = rest * cov / total
+                h[1] += share * locus.length(seed) / locus.length(h[0])
         elif rest >= (read_least if locus.splice_edges(seed) else single_least) and locus.length(seed) >= min_length and witnessed(locus, seed):
-            outer = supplement and any(same_outer(seed, k[0]) for k in kept)
-            kept.append([seed, rest, "alternative" if outer else "rescue"])
-        left[seed] = 0.0
+            outer = supplement and kept.same_outer(seed)
+            kept.add(seed, rest, "alternative" if outer else "rescue")
+        left[i] = 0.0
     if supplement:
         _supplement(locus, kept, min_length, read_least)
-    return [(k[0], k[1], k[2]) for k in kept]
-
-
-def _supplement(locus: Locus, kept: list[list], min_length: int, least: float) -> None:
+    return [(k[0], k[1], k[2]) for k in kept.rows]
+
+
+class Kept:
+    """Kept paths (path, coverage, origin), found by node, by ends and as a whole."""
+
+    def __init__(self) -> None:
+        self.rows: list[list] = []
+        self.whole: set[Path] = set()
+        self.by_node: dict[int, list[int]] = defaultdict(list)
+        self.by_last: dict[int, list[int]] = defaultdict(list)
+        self.by_outer: dict[tuple[int, int], list[Path]] = defaultdict(list)
+
+    def add(self, path: Path, cov: float, origin: str) -> int:
+        at = len(self.rows)
+        self.rows.append([path, cov, origin])
+        self.whole.add(path)
+        for n in path:
+            self.by_node[n].append(at)
+        self.by_last[path[-1]].append(at)
+        self.by_outer[path[0], path[-1]].append(path)
+        return at
+
+    def best_match(self, path: Path) -> list[int]:
+        """X11: as ``graphs.best_match``, by nodes shared."""
+        shared: dict[int, int] = defaultdict(int)
+        for n in path:
+            for i in self.by_node.get(n, ()):
+                shared[i] += 1
+        best = min(((-k, len(self.rows[i][0]) - k) for i, k in shared.items()), default=None)
+        return sorted(i for i, k in shared.items() if (-k, len(self.rows[i][0]) - k) == best)
+
+    def chimeric_suffix(self, seed: Path) -> int | None:
+        """Index of the first kept path that ends with the seed and is much longer."""
+        own = self.by_last.get(seed[-1], ())
+        at = chimeric_suffix(seed, [self.rows[i][0] for i in own])
+        return None if at is None else own[at]
+
+    def same_outer(self, seed: Path) -> bool:
+        """Whether a kept path has the seed's ends."""
+        return any(same_outer(seed, p) for p in self.by_outer.get((seed[0], seed[-1]), ()))
+
+
+def _supplement(locus: Locus, kept: Kept, min_length: int, least: float) -> None:
     """Paths with splices that nothing kept has, in this order, each once."""
 
     def add(path: Path, cov: float, origin: str) -> None:
-        if locus.length(path) >= min_length and all(k[0] != path for k in kept):
-            kept.append([path, cov, origin])
+        if locus.length(path) >= min_length and path not in kept.whole:
+            kept.add(path, cov, origin)
 
-    for p, w in sorted(novel_chains([k[0] for k in kept], locus, least), key=lambda x: (-x[1], x[0])):
-        known = {s for k in kept for s in locus.splice_edges(k[0])}
-        if any(s not in known for s in locus.splices[p]):
+    for p, w in sorted(novel_chains([k[0] for k in kept.rows], locus, least), key=lambda x: (-x[1], x[0])):
+        known = {s for k in kept.rows for s in locus.splice_edges(k[0])}
+        if any(s not in known for s in locus.splice_edges(p)):
             add(p, w, "novel")
     edges = [(u, v, c) for u, x in locus.after.items() for v, c in x.items()]
     heads, tails = defaultdict(float), defaultdict(float)
@@ -267,25 +397,25 @@ def _supplement(locus: Locus, kept: list[list], min_length: int, least: float) -
     edges += [(-1, n, w) for n, w in sorted(heads.items())] + [(n, -2, w) for n, w in sorted(tails.items())]
     for nodes, flow, _ in greedy_decomposition(edges, least=least):
         p = tuple(nodes)
-        known = {s for k in kept for s in locus.splice_edges(k[0])}
+        known = {s for k in kept.rows for s in locus.splice_edges(k[0])}
         if any(s not in known for s in locus.splice_edges(p)) and witnessed(locus, p):
             add(p, flow, "greedy")
-    for s in competing_acceptors([k[0] for k in kept], locus):
-        best = max(locus.by_splice[s], key=lambda p: (locus.weight[p], [-n for n in p]))
-        add(best, locus.weight[best], "competing")
+    for s in competing_acceptors([k[0] for k in kept.rows], locus):
+        best = max(locus.by_splice[s], key=lambda i: (locus.weights[i], [-n for n in locus.paths[i]]))
+        add(locus.paths[best], locus.weights[best], "competing")
 
 
 def novel_chains(kept: Sequence[Path], locus: Locus, least: float = 1.0) -> list[tuple[Path, float]]:
     """Input paths with a splice that no kept path has, weighted at least ``least``."""
     known = {s for k in kept for s in locus.splice_edges(k)}
-    return [(p, w) for p, w in sorted(locus.weight.items()) if w >= least and any(s not in known for s in locus.splices[p])]
+    return [(p, w) for p, w, own in sorted(zip(locus.paths, locus.weights, locus.splices)) if w >= least and any(s not in known for s in own)]
 
 
 def competing_acceptors(kept: Sequence[Path], locus: Locus, least: int = 3) -> list[tuple[int, int]]:
     """Splices of donors with several acceptors, seen by ``least`` input paths or more, that no kept path has."""
     known = {s for k in kept for s in locus.splice_edges(k)}
     seen: dict[tuple[int, int], int] = defaultdict(int)
-    for t in locus.splices.values():
+    for t in locus.splices:
         for s in set(t):
             seen[s] += 1
     by = defaultdict(set)

@@ -164,6 +164,52 @@ def greedy_decomposition(edges: Sequence[tuple[int, int, float]], s: int = -1, t
     return out
 
 
+def interval_flow(pieces: Sequence[tuple[int, int, float]], size: int) -> tuple[float, dict[tuple[int, int], float]]:
+    """``max_flow`` from 0 to ``size`` over pieces (a, b, weight) with a < b and free steps back: value and flow of the pieces."""
+    cap: dict[tuple[int, int], float] = defaultdict(float)
+    for a, b, w in pieces:
+        cap[a, b] += w
+    for k in range(size):
+        cap[k, k + 1] += 0.0  # steps back never fill up, and can be taken back
+    adj: list[list[int]] = [[k - 1] if k else [] for k in range(size + 1)]
+    for a, b in cap:
+        adj[a].append(b)
+        if b - a > 1:
+            adj[b].append(a)
+    for x in adj:
+        x.sort()
+    room = dict(cap)  # what is left of a piece; flow that can be sent back
+    for a, b in cap:
+        if b - a > 1:
+            room[b, a] = 0.0
+    total = 0.0
+    while True:
+        back = [-1] * (size + 1)
+        back[0], todo = 0, [0]
+        for u in todo:
+            for v in adj[u]:
+                if back[v] < 0 and (v == u - 1 or room[u, v] > EPS):
+                    back[v] = u
+                    if v == size:
+                        break
+                    todo.append(v)
+            if back[size] >= 0:
+                break
+        if back[size] < 0:
+            return total, {e: c - room[e] for e, c in cap.items() if c - room[e] > EPS}
+        path, v = [], size
+        while v:
+            path.append((back[v], v))
+            v = back[v]
+        step = min(room[e] for e in path if e[0] < e[1] or e[0] - e[1] > 1)
+        for a, b in path:
+            if (a, b) in room:
+                room[a, b] -= step
+            if (b, a) in room:
+                room[b, a] += step
+        total += step
+
+
 def max_flow(edges: Sequence[tuple[int, int, float]], s: int = -1, t: int = -2) -> tuple[float, dict[tuple[int, int], float]]:
     """Maximum flow by shortest augmenting paths: value and flow per edge."""
     cap, adj = defaultdict(float), defaultdict(set)

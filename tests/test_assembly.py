@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from splicelake.operators import assembly as A
 from splicelake.operators import coverage as CV
 from splicelake.operators import families as FA
+from splicelake.operators import graphs as G
 from splicelake.operators import locus_filters as LF
 from splicelake.operators import ranges
 
@@ -118,6 +119,33 @@ def test_supplements():
     assert A.full_witness(A.Locus(ENDS, {(0, 200, 400): 1.0}), (0, 200)) and not A.full_witness(A.Locus(ENDS, {(0, 200): 1.0, (200, 400): 1.0}), (0, 200, 400))
 
 
+def test_dense_locus_is_extended_by_index(monkeypatch):
+    """A path is compared with those that can take its weight, not with all that pass each step of its extension."""
+    calls, real = [0], A.compatible
+
+    def counted(part, whole):
+        calls[0] += 1
+        assert calls[0] < 2000
+        return real(part, whole)
+
+    monkeypatch.setattr(A, "compatible", counted)
+    ends = {n: n + 10 for n in range(0, 2000, 10)}
+    nodes = sorted(ends)
+    weight = {tuple(nodes[i : i + 40]): 1.0 + i % 5 for i in range(160)}
+    got = A.assemble(A.Locus(ends, weight))
+    assert (tuple(nodes[:199]), "seed") in {(p, o) for p, _, o in got}
+
+
+def test_interval_flow():
+    rng = random.Random(5)
+    for _ in range(300):
+        n = rng.randint(2, 9)
+        pieces = [(*sorted(rng.sample(range(n + 1), 2)), rng.choice([0.5, 1.0, 2.0, 7.0])) for _ in range(rng.randint(1, 12))]
+        total, used = G.max_flow([*pieces, *((i + 1, i, 1e12) for i in range(n))], 0, n)
+        got, own = G.interval_flow(pieces, n)
+        assert got == total and all(own.get((a, b), 0.0) == max(used.get((a, b), 0.0), 0.0) for a, b, _ in pieces)
+
+
 # filters -----------------------------------------------------------------------
 
 E3 = [(0, 100), (200, 300), (400, 500)]
