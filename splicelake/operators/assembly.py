@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splicelake.operators.folding import Rows, fold_groups, key_schema
-from splicelake.operators.graphs import EPS, greedy_decomposition, interval_flow
+from splicelake.operators.graphs import EPS, greedy_acyclic, interval_flow
 from splicelake.session import cut
 
 Path = tuple[int, ...]
@@ -380,13 +380,14 @@ class Kept:
 
 def _supplement(locus: Locus, kept: Kept, min_length: int, least: float) -> None:
     """Paths with splices that nothing kept has, in this order, each once."""
+    known = {s for k in kept.rows for s in locus.splice_edges(k[0])}
 
     def add(path: Path, cov: float, origin: str) -> None:
         if locus.length(path) >= min_length and path not in kept.whole:
             kept.add(path, cov, origin)
+            known.update(locus.splice_edges(path))
 
     for p, w in sorted(novel_chains([k[0] for k in kept.rows], locus, least), key=lambda x: (-x[1], x[0])):
-        known = {s for k in kept.rows for s in locus.splice_edges(k[0])}
         if any(s not in known for s in locus.splice_edges(p)):
             add(p, w, "novel")
     edges = [(u, v, c) for u, x in locus.after.items() for v, c in x.items()]
@@ -395,9 +396,8 @@ def _supplement(locus: Locus, kept: Kept, min_length: int, least: float) -> None
         heads[p[0]] += w
         tails[p[-1]] += w
     edges += [(-1, n, w) for n, w in sorted(heads.items())] + [(n, -2, w) for n, w in sorted(tails.items())]
-    for nodes, flow, _ in greedy_decomposition(edges, least=least):
+    for nodes, flow, _ in greedy_acyclic(edges, least=least):
         p = tuple(nodes)
-        known = {s for k in kept.rows for s in locus.splice_edges(k[0])}
         if any(s not in known for s in locus.splice_edges(p)) and witnessed(locus, p):
             add(p, flow, "greedy")
     for s in competing_acceptors([k[0] for k in kept.rows], locus):

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Sequence
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,6 +165,66 @@ def greedy_decomposition(edges: Sequence[tuple[int, int, float]], s: int = -1, t
     return out
 
 
+def greedy_acyclic(edges: Sequence[tuple[int, int, float]], s: int = -1, t: int = -2, least: float = EPS) -> list[tuple[list[int], float, float]]:
+    """``greedy_decomposition`` of a graph whose edges lead from smaller to larger nodes (and from ``s``, to ``t``).
+
+    The path that breadth first finds is, of those with fewest steps to the sink, the first by its
+    children's ranks. So the steps that are left to the sink are held for every node and mended where
+    edges are used up, and a path costs its own nodes and not the whole graph."""
+    g, none = build(edges), 1 << 60
+    into: dict[int, list[int]] = defaultdict(list)
+    for u, x in g.items():
+        for v in x:
+            into[v].append(u)
+    steps: dict[int, int] = {t: 0}
+
+    def nearest(u: int) -> int:
+        return min((steps.get(v, none) for v, c in g[u].items() if c >= least and c > EPS), default=none)
+
+    for u in sorted((n for n in g if n not in (s, t)), reverse=True):
+        if (k := nearest(u)) < none:
+            steps[u] = k + 1
+    heads = g.get(s, {})
+    first = [(steps[v], -c, v) for v, c in heads.items() if v in steps and c >= least and c > EPS]
+    heapify(first)
+    out, total = [], 0.0
+    while first:
+        k, c, v = first[0]
+        if steps.get(v, none) != k or heads[v] != -c:
+            heappop(first)
+            continue
+        path = [s, v]
+        while v != t:
+            k -= 1
+            v = min((-c, w) for w, c in g[v].items() if c >= least and c > EPS and steps.get(w, none) == k)[1]
+            path.append(v)
+        flow = min(g[a][b] for a, b in zip(path, path[1:]))
+        todo: list[int] = []
+        for a, b in zip(path, path[1:]):
+            c = g[a][b] = g[a][b] - flow
+            if a == s and c >= least and c > EPS:
+                heappush(first, (steps[b], -c, b))
+            elif a != s and not (c >= least and c > EPS):
+                heappush(todo, -a)
+        while todo:
+            u = -heappop(todo)
+            old, k = steps.get(u, none), min(nearest(u) + 1, none)
+            if k == old:
+                continue
+            steps[u] = k
+            for a in into[u]:
+                c = g[a][u]
+                if c >= least and c > EPS:
+                    if a != s:
+                        if steps.get(a, none) == old + 1:
+                            heappush(todo, -a)
+                    elif k < none:
+                        heappush(first, (k, -c, u))
+        total += flow
+        out.append((path[1:-1], flow, total))
+    return out
+
+
 def interval_flow(pieces: Sequence[tuple[int, int, float]], size: int) -> tuple[float, dict[tuple[int, int], float]]:
     """``max_flow`` from 0 to ``size`` over pieces (a, b, weight) with a < b and free steps back: value and flow of the pieces."""
     cap: dict[tuple[int, int], float] = defaultdict(float)

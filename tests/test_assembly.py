@@ -146,6 +146,28 @@ def test_interval_flow():
         assert got == total and all(own.get((a, b), 0.0) == max(used.get((a, b), 0.0), 0.0) for a, b, _ in pieces)
 
 
+def test_supplements_of_many_paths(monkeypatch):
+    """What is kept is not gone through again for every supplement, and a path of the decomposition costs its own nodes."""
+    n = 300
+    ends = {a: a + 120 for k in range(n) for a in (1000 * k, 1000 * k + 300, 1000 * k + 600)}
+    weight = {p: 3.0 for k in range(n) for a in [1000 * k] for p in ((a, a + 300), (a, a + 600), (a + 300, a + 600))}
+    calls, real = [0], A.Locus.splice_edges
+
+    def counted(locus, p):
+        calls[0] += 1
+        assert calls[0] < 20 * len(weight)
+        return real(locus, p)
+
+    monkeypatch.setattr(A.Locus, "splice_edges", counted)
+    held = {p for p, _, _ in A.assemble(A.Locus(ends, weight), supplement=True)}
+    assert {real(A.Locus(ends, {}), p) for p in held} >= {(p,) for p in weight if p[1] - p[0] == 600}
+    rng = random.Random(3)
+    for _ in range(300):
+        edges = [(*sorted(rng.sample(range(10), 2)), float(rng.randint(1, 6))) for _ in range(rng.randint(1, 30))]
+        edges += [e for k in range(10) for e in ((-1, k, float(rng.randint(0, 6))), (k, -2, float(rng.randint(0, 6)))) if rng.random() < 0.5]
+        assert G.greedy_acyclic(edges, least=1.0) == G.greedy_decomposition(edges, least=1.0)
+
+
 # filters -----------------------------------------------------------------------
 
 E3 = [(0, 100), (200, 300), (400, 500)]
